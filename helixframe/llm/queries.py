@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import lines, mixing
+from helixframe.llm import lines, mixing, packing
 from helixframe.llm.common import table
 
 
@@ -59,10 +59,16 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens; id 0 ends a document."""
+    return packing.pack(table(spark, sf_dir, "documents"), longest=1024, end_id=0)
+
+
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_line_dedup": op4_line_dedup,
+        "op6_packing": op6_packing,
     }
 
 
