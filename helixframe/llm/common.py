@@ -56,12 +56,9 @@ def word_count(column: Column) -> Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches, rows: int = 256):
-    """Arrow batches cut to a few rows, so that a worker holds few texts as Python strings at once."""
+def slices(batches, rows: int = 256, size: int = 1 << 23):
+    """Arrow batches cut to about size bytes and at most so many rows, so that a worker holds few texts as Python strings at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        step = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)

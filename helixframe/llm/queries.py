@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import lines, mixing, packing
+from helixframe.llm import langid, lines, mixing, packing
 from helixframe.llm.common import table
 
 
@@ -64,11 +64,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), longest=1024, end_id=0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2, at most about 3000 of each language; predicts for all."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.is_held_out(F.col("doc_id"))
+    fitted = langid.fit(docs.where(~held_out), max_docs=3000)
+    return langid.identify(docs.select("doc_id", "text"), fitted).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
+        "op7_language_id": op7_language_id,
     }
 
 
