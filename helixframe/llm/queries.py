@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, mixing, packing
+from helixframe.llm import langid, lines, mixing, packing, secrets
 from helixframe.llm.common import table
 
 
@@ -72,12 +72,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), fitted).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner is a source, a repository a source and language; values of at most 2 owners look live."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo_cols=["source", "lang"], owner_col="source", max_owners=2)
+    base = F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256")
+    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("found")).alias("spans"), "n_further", "n_copied")
+
+
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
         "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
