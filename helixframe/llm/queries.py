@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, mixing, packing, secrets
+from helixframe.llm import langid, lines, mixing, packing, quality, secrets
 from helixframe.llm.common import table
 
 
@@ -79,6 +79,13 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("found")).alias("spans"), "n_further", "n_copied")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of 8 median deviations about each language's median bits per character."""
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    bits = F.round("bits_per_char", 4).alias("bits_per_char")
+    return judged.select(F.col("doc").alias("doc_id"), *quality.BASE_FIELDS, "base_failed", "kept", bits)
+
+
 def queries() -> dict:
     return {
         "op2_mix_sources": op2_mix_sources,
@@ -86,6 +93,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
