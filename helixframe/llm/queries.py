@@ -80,7 +80,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of 8 median deviations about each language's median bits per character."""
+    """Bands of 10 median deviations about each language's median bits per character."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
     bits = F.round("bits_per_char", 4).alias("bits_per_char")
     return judged.select(F.col("doc").alias("doc_id"), *quality.BASE_FIELDS, "base_failed", "kept", bits)
