@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import langid, lines, mixing, packing, quality, secrets
+from helixframe.llm import jaccard, langid, lines, mixing, packing, quality, secrets
 from helixframe.llm.common import table
 
 
@@ -79,6 +79,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("found")).alias("spans"), "n_further", "n_copied")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of 3-word shingles; a link takes 90 % of both sets' shingles."""
+    joined = jaccard.jaccard_join(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return joined.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of 10 median deviations about each language's median bits per character."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
@@ -93,6 +99,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
     }
 
