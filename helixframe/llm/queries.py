@@ -3,10 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import jaccard, langid, lines, mixing, packing, quality, secrets
+from helixframe.llm import jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings
 from helixframe.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of at least 85 % of a template's words."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"), band=8, least=0.85)
+    return found.select(F.col("doc").alias("doc_id"), "license", "start", "end", "matched_words", "template_words", F.round("coverage", 6).alias("coverage"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 5, 2, 1 by source over one phase; at most three passes."""
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -39,6 +45,12 @@ FROM placed
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of at least 120 characters in chunks of 16 to 96 that a document with a smaller id has, too."""
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents"), least=16, bits=4, most=96, min_chars=120)
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_chunks", F.col("kept_doc").alias("kept_doc_id"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of 40 code points or more in 5 documents or more; the largest doc_id keeps them."""
     deduped = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5, keep="last")
@@ -94,7 +106,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_mix_sources": op2_mix_sources,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_line_dedup": op4_line_dedup,
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
