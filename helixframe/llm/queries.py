@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings
+from helixframe.llm import jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings, vectors
 from helixframe.llm.common import table
 
 
@@ -71,6 +71,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of 0.93 or more within a label."""
+    linked = vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return linked.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens; id 0 ends a document."""
     return packing.pack(table(spark, sf_dir, "documents"), longest=1024, end_id=0)
@@ -110,6 +116,7 @@ def queries() -> dict:
         "op2_mix_sources": op2_mix_sources,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_packing": op6_packing,
         "op7_language_id": op7_language_id,
         "op8_secret_scan": op8_secret_scan,
