@@ -1 +1 @@
-
+"""Column functions over sequences, qualities and barcodes."""
