@@ -68,6 +68,10 @@ def set_id(shingles: np.ndarray) -> int | None:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())))) if len(shingles) else None
 
 
+def text_id(text: str | None) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")))))
+
+
 @lru_cache(maxsize=4)
 def size_levels(num: int, den: int, most: int) -> tuple[tuple[int, int, int], ...]:
     """(least size, segments, spare) of each level up to size most.
@@ -110,16 +114,18 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, n, sid) of each row; sid is null for the empty set."""
+    """(doc, n, sid, tid) of each row: set size, set hash (null for the empty set) and text hash."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches):
         shingler = Shingler(words)
         for batch in slices(batches):
-            sets = [shingler(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc", "n", "sid"])
+            texts = batch.column(1).to_pylist()
+            sets = [shingler(t) for t in texts]
+            columns = [[len(s) for s in sets], [set_id(s) for s in sets], [text_id(t) for t in texts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc", "n", "sid", "tid"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "sid", "tid")]]))
 
 
 def signature_rows(docs: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
@@ -143,33 +149,32 @@ def signature_rows(docs: DataFrame, text_col: str, words: int, num: int, den: in
     return docs.select(text_col).mapInArrow(run, "sig long, sid long")
 
 
-def sid_filter(sids: DataFrame) -> np.ndarray:
-    """Bits set for the sids, by their low bits: 2**FILTER_BITS bits whatever their number."""
-    place = F.pmod("sid", F.lit(1 << FILTER_BITS)) + 1
-    rows = sids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits set for the ids in column id, by their low bits: 2**FILTER_BITS bits whatever their number."""
+    place = F.pmod("id", F.lit(1 << FILTER_BITS)) + 1
+    rows = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out
 
 
-def sets_of(docs: DataFrame, sids: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(sid, shingles) of the sids asked for: read anew from the texts, so no text is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(sid_filter(sids))
+def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(sid, shingles) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
+    wanted = keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
     def run(batches):
         bits, shingler, given = shared.value, Shingler(words), set()
         for batch in slices(batches):
             found = []
             for text in batch.column(0).to_pylist():
-                shingles = shingler(text)
-                sid = set_id(shingles)
-                if sid is None or sid in given:
-                    continue
-                place = sid % (1 << FILTER_BITS)
-                if bits[place >> 3] >> (place & 7) & 1:
-                    given.add(sid)
-                    found.append((sid, shingles.view(np.int64)))
+                tid = text_id(text)
+                place = tid % (1 << FILTER_BITS)
+                if bits[place >> 3] >> (place & 7) & 1 and tid not in given:
+                    given.add(tid)
+                    shingles = shingler(text)
+                    found.append((set_id(shingles), shingles.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
     rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>")
@@ -184,13 +189,10 @@ def needed(n1: int, n2: np.ndarray, num: int, den: int) -> np.ndarray:
 def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links of the queries to other sets of the block, as a spanning forest: DivideSkip over the block's inverted lists."""
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")  # within a list, sets stand in ascending order
-    postings = owner[order]
-    ordered = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    lengths = np.diff(np.append(first, len(ordered)))
-    lists = ordered[first]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    _, list_of, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    postings = np.repeat(np.arange(len(sets)), sizes)[np.argsort(list_of, kind="stable")]  # within a list, sets stand in ascending order
+    first = np.concatenate([[0], np.cumsum(lengths)])
     root, links = list(range(len(sets))), []
 
     def top(i: int) -> int:
@@ -200,28 +202,28 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
         return i
 
     for q in queries:
-        own = np.searchsorted(lists, sets[q])
-        least_size = -(-num * sizes[q] // den)
-        least = int(needed(int(sizes[q]), np.array([least_size]), num, den)[0])
+        own = list_of[bounds[q] : bounds[q + 1]]
+        own = own[lengths[own] > 1]  # other lists have the query only
+        least = int(needed(int(sizes[q]), np.array([-(-num * sizes[q] // den)]), num, den)[0])
+        if len(own) < least:
+            continue
         by_length = own[np.argsort(-lengths[own], kind="stable")]
         # the longest lists are left for probing as long as the others can still show T less their number
         most = int(lengths[by_length[0]])
         divide = 0 if most <= 2 else min(least - 1, max(int(least / (0.0085 * math.log2(most) + 1)), int(np.count_nonzero(lengths[own] > 64))))
-        long, short = by_length[:divide], by_length[divide:]
-        merged = np.concatenate([postings[first[i] : first[i] + lengths[i]] for i in short])
+        long, short = np.sort(by_length[:divide]), by_length[divide:]
+        reach = lengths[short]
+        merged = postings[np.repeat(first[short] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())]
         found, counts = np.unique(merged, return_counts=True)
         fit = (found != q) & (counts >= np.maximum(1, needed(int(sizes[q]), sizes[found], num, den) - len(long))) & (den * sizes[found] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[found])
         for other, count in zip(found[fit].tolist(), counts[fit].tolist(), strict=True):
             if top(other) == top(q):
                 continue
             wanted = int(needed(int(sizes[q]), np.array([sizes[other]]), num, den)[0])
-            if count < wanted:
-                for i in long:  # probe
-                    start = first[i]
-                    at = start + np.searchsorted(postings[start : start + lengths[i]], other)
-                    count += at < start + lengths[i] and postings[at] == other
-                    if count >= wanted:
-                        break
+            if count < wanted:  # probe the long lists for the other set, by binary search over its own lists
+                theirs = list_of[bounds[other] : bounds[other + 1]]
+                at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
+                count += np.count_nonzero(theirs[at] == long)
             if count >= wanted:
                 root[top(other)] = top(q)
                 links.append((q, other))
@@ -257,13 +259,13 @@ def chunked(members: DataFrame, blocks: int) -> DataFrame:
     return as_doc.unionByName(as_query)
 
 
-def similar_sets(docs: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """(node, component) over sids that are linked to another."""
+def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """(node, component) over sids that are linked to another; keyed as set_rows() gives it."""
     at = Window.partitionBy("sig")
     signed = signature_rows(docs, text_col, words, num, den)
     lists = signed.withColumn("pivot", F.min("sid").over(at)).withColumn("last", F.max("sid").over(at)).where("pivot < last")
     lists = materialize(lists.select("sig", "sid", "pivot").distinct())
-    sets = materialize(sets_of(docs, lists.select("sid").distinct(), text_col, words))
+    sets = materialize(sets_of(docs, keyed, lists.select("sid").distinct(), text_col, words))
 
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
@@ -294,7 +296,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is a component by itself (null) unless its set links to others. Sets are told apart by 64-bit hashes.
     """
     keyed = materialize(set_rows(docs, id_col, text_col, words))
-    linked = similar_sets(docs, text_col, words, num, den)
+    linked = similar_sets(docs, keyed, text_col, words, num, den)
     firsts = keyed.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("first"))
     named = firsts.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
     least = named.groupBy("comp").agg(F.min("first").alias("least"))
