@@ -593,11 +593,13 @@ def concordance(spark, d):
     return validation.concordance(truth, obs, "barcode").crossJoin(F.broadcast(validation.concordance(truth, obs, "gene")))  # one row each
 
 
-@query(f"WITH {CONFUSION}, r AS (SELECT {RATED} FROM c), s AS (SELECT 'extract' AS stage, f1::DOUBLE AS score, 0.95::DOUBLE AS threshold FROM r UNION ALL SELECT 'count', specificity::DOUBLE, 0.5::DOUBLE FROM r UNION ALL SELECT 'analysis', NULL, 0.7::DOUBLE) SELECT stage, score, threshold, score >= threshold AS passed FROM s UNION ALL SELECT 'overall', NULL, NULL, coalesce(bool_and(score >= threshold), false) FROM s")
+@query(f"WITH {CONFUSION}, r AS (SELECT {RATED} FROM c), s AS (SELECT 'extract' AS stage, f1::DOUBLE AS score, 0.95::DOUBLE AS threshold FROM r UNION ALL SELECT 'count', specificity::DOUBLE, 0.5::DOUBLE FROM r UNION ALL SELECT 'analysis', NULL, 0.7::DOUBLE) SELECT stage, coalesce(score, -1) AS score, threshold, CASE WHEN score >= threshold THEN 'passed' WHEN score < threshold THEN 'failed' ELSE 'not run' END AS outcome FROM s UNION ALL SELECT 'overall', -1, -1, CASE WHEN coalesce(bool_and(score >= threshold), false) THEN 'passed' ELSE 'failed' END FROM s")
 def pass_fail(spark, d):
     r = confusion_metrics(spark, d)
     stage = lambda name, score, least: r.select(F.lit(name).alias("stage"), score.cast("double").alias("score"), F.lit(least).alias("threshold"))
-    return validation.pass_fail(stage("extract", F.col("f1"), 0.95).unionByName(stage("count", F.col("specificity"), 0.5)).unionByName(stage("analysis", F.lit(None), 0.7)))
+    judged = validation.pass_fail(stage("extract", F.col("f1"), 0.95).unionByName(stage("count", F.col("specificity"), 0.5)).unionByName(stage("analysis", F.lit(None), 0.7)))
+    outcome = F.when(F.col("passed"), "passed").when(~F.col("passed"), "failed").otherwise("not run")
+    return judged.select("stage", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("score", "threshold")], outcome.alias("outcome"))
 
 
 # ---- batches and live views

@@ -6,6 +6,7 @@ or call register(spark).
 """
 
 import gzip
+import io
 import struct
 from pathlib import Path
 
@@ -25,7 +26,7 @@ def opened(path: str):
     if magic == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        return zstandard.open(path, "rb")
+        return io.BufferedReader(zstandard.open(path, "rb"))
     return open(path, "rb")
 
 
@@ -197,7 +198,7 @@ def bam_references(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of one text file, from 1; the file is one partition, so numbers follow its lines."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("at", "value")).select((F.col("at") + 1).cast("long").alias("line_no"), "value")
 
 
