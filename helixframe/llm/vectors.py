@@ -59,8 +59,13 @@ def centres_of(nodes: DataFrame) -> dict[str, np.ndarray]:
     return {k: unit(np.array(v)) for k, v in out.items()}
 
 
-def assign(nodes: DataFrame, centres: dict, visits: int) -> DataFrame:
-    """(shard, node, weight, v, home): the nearest shards of each node, its first one home. Labels without a centre are one shard."""
+def assign(nodes: DataFrame, centres: dict, visits: int, threshold: float) -> DataFrame:
+    """(shard, node, weight, v, home): the nearest shards of each node, its first one home. Labels without a centre are one shard.
+
+    Besides the nearest ones, a node visits all centres within twice the range's angle: in a dense
+    group that has many centres, those all hold nodes within range.
+    """
+    wide = 2 * threshold * threshold - 1
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
     kind = "shard string, node long, weight long, v array<double>, home boolean"
 
@@ -74,14 +79,15 @@ def assign(nodes: DataFrame, centres: dict, visits: int) -> DataFrame:
             for (label, size), rows in groups.items():
                 middle = shared.value.get((label, size))
                 if middle is None:
-                    near = np.zeros((len(rows), 1), dtype=int)
+                    near, many = np.zeros((len(rows), 1), dtype=int), np.ones(len(rows), dtype=int)
                 else:
-                    v = unit(matrix(batch.column(3).take(pa.array(rows))))
-                    near = np.argsort(-(v @ middle.T), axis=1, kind="stable")[:, :visits]
-                for k in range(near.shape[1]):
-                    at += rows
-                    shards += [f"{label}/{size}/{c}" for c in near[:, k]]
-                    home += [k == 0] * len(rows)
+                    close = unit(matrix(batch.column(3).take(pa.array(rows)))) @ middle.T
+                    near, many = np.argsort(-close, axis=1, kind="stable"), np.maximum(visits, (close >= wide).sum(axis=1))
+                for k in range(min(near.shape[1], many.max())):
+                    here = np.flatnonzero(many > k)
+                    at += [rows[i] for i in here]
+                    shards += [f"{label}/{size}/{c}" for c in near[here, k]]
+                    home += [k == 0] * len(here)
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(home, pa.bool_())], names=["shard", "node", "weight", "v", "home"])
 
@@ -225,7 +231,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = clean(vectors, id_col, vector_col, label_col)
     nodes = rows.where("good").groupBy("label", "v").agg(F.min("vec").alias("node"), F.count(F.lit(1)).alias("weight"))
     nodes = materialize(nodes)
-    placed = materialize(parted(assign(nodes, centres_of(nodes), visits)))
+    placed = materialize(parted(assign(nodes, centres_of(nodes), visits, threshold)))
     lists = placed.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(build, "node long, near array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as a node has parts
     searched = placed.join(graph, "node", "left").groupBy("shard", "part").applyInArrow(search(threshold), "node long, n long, other long")
