@@ -9,7 +9,8 @@
    least T shingles: inverted lists of the block's shingles are divided into the longest, which are
    probed, and the others, which are merged and must alone bring T less the number of long lists.
    In the first round the queries are the lists' least sets; then those lists that still hold more
-   than one component are searched in full, with all but their largest component as queries.
+   than one component are searched in full, with all but their largest component as queries. Before
+   a block's shingles are sent, bitmaps of their parities rule out sets that differ too much.
 4. Components of the links; one row per document.
 
 Lists and blocks of any length are cut into chunks, so no task holds a large group of copies; links
@@ -33,6 +34,7 @@ M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 KEPT_WORDS = 500_000
 BLOCK = 2000
 FILTER_BITS = 25
+PARITIES = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -160,7 +162,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(sid, shingles) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
+    """(sid, shingles, size, bits) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
     wanted = keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id"))
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
@@ -174,13 +176,19 @@ def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, w
                 if bits[place >> 3] >> (place & 7) & 1 and tid not in given:
                     given.add(tid)
                     shingles = shingler(text)
-                    found.append((set_id(shingles), shingles.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["sid", "shingles"])
+                    found.append((set_id(shingles), shingles.view(np.int64), len(shingles), parities(shingles)))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["sid", "shingles", "size", "bits"])
 
-    rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>")
+    rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>, size long, bits binary")
     return rows.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each of PARITIES bits: two sets differ in at least as many shingles as their parities in bits."""
+    return np.packbits((np.bincount((shingles >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
 def needed(n1: int, n2: np.ndarray, num: int, den: int) -> np.ndarray:
     """Shingles that sets of these sizes must share."""
     return -(-num * (n1 + n2) // (num + den))
@@ -230,9 +238,30 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
     return links
 
 
+def prune_block(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Rows of the block that may link: sizes fit, components differ, and parities differ in no more bits than similar sets may in shingles."""
+        queries, sizes, comps = table["query"].to_numpy(zero_copy_only=False), table["size"].to_numpy(), table["comp"].to_numpy()
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
+        keep, asks = np.zeros(len(sizes), dtype=bool), np.zeros(len(sizes), dtype=bool)
+        for q in np.flatnonzero(queries).tolist():
+            fit = np.flatnonzero((comps != comps[q]) & (den * sizes >= num * sizes[q]) & (den * sizes[q] >= num * sizes))
+            off = np.bitwise_count(bits[fit] ^ bits[q]).sum(axis=1)
+            near = fit[off <= sizes[fit] + sizes[q] - 2 * needed(int(sizes[q]), sizes[fit], num, den)]
+            if len(near):
+                keep[near] = keep[q] = asks[q] = True
+        at = np.flatnonzero(keep)
+        return pa.table({"block": table["block"].take(at), "sid": table["sid"].take(at), "query": asks[at]})
+
+    return run
+
+
 def search_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) links found in blocks; rows has (block, sid, query, comp), comp being what is known to be linked already."""
-    full = rows.groupBy("block", "sid").agg(F.max("query").alias("query")).join(sets, "sid")
+    full = rows.groupBy("block", "sid").agg(F.max("query").alias("query"), F.max("comp").alias("comp"))
+    small = full.join(sets.select("sid", "size", "bits"), "sid")
+    pruned = small.groupBy("block").applyInArrow(prune_block(num, den), "block long, sid long, query boolean")
+    full = pruned.join(sets.select("sid", "shingles"), "sid")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("sid")
@@ -246,7 +275,7 @@ def search_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 
 
 def chunked(members: DataFrame, blocks: int) -> DataFrame:
-    """(block, sid, query) from (list, sid, query): small lists share blocks, large ones are cut into chunks of queries by chunks of all."""
+    """(block, sid, query, comp) from (list, sid, query, comp): small lists share blocks, large ones are cut into chunks of queries by chunks of all."""
     counts = members.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.count_if("query").alias("q"))
     rows = members.join(counts, "list")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
@@ -254,8 +283,8 @@ def chunked(members: DataFrame, blocks: int) -> DataFrame:
     chunk = lambda p, seed: F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col(p)).cast("int")
     small = (F.col("pd") == 1) & (F.col("pq") == 1)
     place = lambda i, j: F.when(small, F.pmod(F.xxhash64("list"), F.lit(blocks))).otherwise(F.xxhash64("list", i, j))
-    as_doc = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pq") - 1))).select(place(chunk("pd", "d"), F.col("j")).alias("block"), "sid", F.lit(False).alias("query"))
-    as_query = rows.where("query").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pd") - 1))).select(place(F.col("i"), chunk("pq", "q")).alias("block"), "sid", F.lit(True).alias("query"))
+    as_doc = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pq") - 1))).select(place(chunk("pd", "d"), F.col("j")).alias("block"), "sid", F.lit(False).alias("query"), "comp")
+    as_query = rows.where("query").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pd") - 1))).select(place(F.col("i"), chunk("pq", "q")).alias("block"), "sid", F.lit(True).alias("query"), "comp")
     return as_doc.unionByName(as_query)
 
 
@@ -269,6 +298,7 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
 
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
+    stars = stars.withColumn("comp", F.col("sid"))
     blocks = max(1, pairs.count() // BLOCK)
     found = materialize(search_blocks(chunked(stars, blocks), sets, num, den))
     known = materialize(components(found))
@@ -280,7 +310,7 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     left = materialize(named.join(open_lists, "sig"))
     per_comp = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = per_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
-    members = left.join(largest, "sig").select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"))
+    members = left.join(largest, "sig").select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"), "comp")
     more = search_blocks(chunked(members, max(1, left.count() // BLOCK)), sets, num, den)
     stars_known = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(stars_known.unionByName(more))
