@@ -46,8 +46,8 @@ FROM placed
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of at least 120 characters in chunks of 16 to 96 that a document with a smaller id has, too."""
-    found = substrings.repeated_spans(table(spark, sf_dir, "documents"), least=16, bits=4, most=96, min_chars=120)
+    """Spans of at least 120 characters in chunks of 12 to 80 that a document with a smaller id has, too."""
+    found = substrings.repeated_spans(table(spark, sf_dir, "documents"), least=12, bits=4, most=80, min_chars=120)
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_chunks", F.col("kept_doc").alias("kept_doc_id"))
 
 

@@ -89,7 +89,7 @@ def digest_filter(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 16, bits: int = 4, most: int = 96, min_chars: int = 120) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 12, bits: int = 4, most: int = 80, min_chars: int = 120) -> DataFrame:
     """One row per span: doc, start, end (characters), n_chunks, kept_doc.
 
     A chunk has least to most characters, about least + 2**bits on average; one that two documents or
