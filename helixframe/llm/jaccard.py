@@ -116,7 +116,7 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, n, sid, tid) of each row: set size, set hash (null for the empty set) and text hash."""
+    """(doc, n, sid, tid, bits) of each row: set size, set hash (null for the empty set), text hash and parities."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches):
@@ -125,9 +125,9 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             texts = batch.column(1).to_pylist()
             sets = [shingler(t) for t in texts]
             columns = [[len(s) for s in sets], [set_id(s) for s in sets], [text_id(t) for t in texts]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns]], names=["doc", "n", "sid", "tid"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary())], names=["doc", "n", "sid", "tid", "bits"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "sid", "tid")]]))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "sid", "tid")], T.StructField("bits", T.BinaryType())]))
 
 
 def signature_rows(docs: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
@@ -162,7 +162,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(sid, shingles, size, bits) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
+    """(sid, shingles) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
     wanted = keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id"))
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
 
@@ -176,11 +176,10 @@ def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, w
                 if bits[place >> 3] >> (place & 7) & 1 and tid not in given:
                     given.add(tid)
                     shingles = shingler(text)
-                    found.append((set_id(shingles), shingles.view(np.int64), len(shingles), parities(shingles)))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["sid", "shingles", "size", "bits"])
+                    found.append((set_id(shingles), shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
-    rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>, size long, bits binary")
+    rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>")
     return rows.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -256,12 +255,14 @@ def prune_block(num: int, den: int):
     return run
 
 
-def search_blocks(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links found in blocks; rows has (block, sid, query, comp), comp being what is known to be linked already."""
-    full = rows.groupBy("block", "sid").agg(F.max("query").alias("query"), F.max("comp").alias("comp"))
-    small = full.join(sets.select("sid", "size", "bits"), "sid")
-    pruned = small.groupBy("block").applyInArrow(prune_block(num, den), "block long, sid long, query boolean")
-    full = pruned.join(sets.select("sid", "shingles"), "sid")
+def search_blocks(rows: DataFrame, small: DataFrame, fetch, num: int, den: int) -> DataFrame:
+    """(a, b) links found in blocks; rows has (block, sid, query, comp), comp being what is known to be linked already.
+
+    small has (sid, size, bits); fetch gives the shingles of the sids that pruning leaves.
+    """
+    full = rows.groupBy("block", "sid").agg(F.max("query").alias("query"), F.max("comp").alias("comp")).join(small, "sid")
+    pruned = materialize(full.groupBy("block").applyInArrow(prune_block(num, den), "block long, sid long, query boolean"))
+    full = pruned.join(fetch(pruned.select("sid").distinct()), "sid")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("sid")
@@ -294,13 +295,15 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     signed = signature_rows(docs, text_col, words, num, den)
     lists = signed.withColumn("pivot", F.min("sid").over(at)).withColumn("last", F.max("sid").over(at)).where("pivot < last")
     lists = materialize(lists.select("sig", "sid", "pivot").distinct())
-    sets = materialize(sets_of(docs, keyed, lists.select("sid").distinct(), text_col, words))
+    involved = lists.select("sid").distinct()
+    small = materialize(keyed.join(involved, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("size"), F.first("bits").alias("bits")))
+    fetch = lambda sids: sets_of(docs, keyed, sids, text_col, words)
 
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
     stars = stars.withColumn("comp", F.col("sid"))
     blocks = max(1, pairs.count() // BLOCK)
-    found = materialize(search_blocks(chunked(stars, blocks), sets, num, den))
+    found = materialize(search_blocks(chunked(stars, blocks), small, fetch, num, den))
     known = materialize(components(found))
 
     named = lists.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
@@ -311,7 +314,7 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     per_comp = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = per_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
     members = left.join(largest, "sig").select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"), "comp")
-    more = search_blocks(chunked(members, max(1, left.count() // BLOCK)), sets, num, den)
+    more = search_blocks(chunked(members, max(1, left.count() // BLOCK)), small, fetch, num, den)
     stars_known = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(stars_known.unionByName(more))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import slices
+from helixframe.llm.common import materialize, slices
 
 #: Words are summed over in chunks of at most so many characters; a longer word is the product of its chunks.
 CHUNK = 96
@@ -23,6 +23,8 @@ UNKNOWN = 1e-7
 #: Keeps products of small probabilities in range: each character's factor is raised by this.
 LIFT = 64.0
 KEPT_WORDS = 200_000
+#: A table of so many languages is broadcast.
+FEW = 10_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SLOT_BITS = 20
 POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(CHUNK + 1)], dtype=np.uint64)
@@ -56,7 +58,9 @@ def is_held_out(id_column: Column) -> Column:
 def sample_for_fit(labelled: DataFrame, key: Column, lang_col: str, max_docs: int) -> DataFrame:
     """About max_docs rows of each language, those with the smallest hash of the key; all of a language with fewer."""
     counts = labelled.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.select("__lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("__n")).alias("__part"))
+    counts = materialize(counts.select("__lang", F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("__n")).alias("__part")))
+    if counts.count() <= FEW:  # else the join deals the texts out by language
+        counts = F.broadcast(counts)
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
     return labelled.join(counts, F.col(lang_col) == F.col("__lang")).where(place < F.col("__part")).drop("__lang", "__part")
 
