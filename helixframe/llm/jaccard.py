@@ -200,14 +200,7 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
     _, list_of, lengths = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     postings = np.repeat(np.arange(len(sets)), sizes)[np.argsort(list_of, kind="stable")]  # within a list, sets stand in ascending order
     first = np.concatenate([[0], np.cumsum(lengths)])
-    root, links = list(range(len(sets))), []
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    forest, links = Forest(len(sets)), []
     for q in queries:
         own = list_of[bounds[q] : bounds[q + 1]]
         own = own[lengths[own] > 1]  # other lists have the query only
@@ -224,7 +217,7 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
         found, counts = np.unique(merged, return_counts=True)
         fit = (found != q) & (counts >= np.maximum(1, needed(int(sizes[q]), sizes[found], num, den) - len(long))) & (den * sizes[found] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[found])
         for other, count in zip(found[fit].tolist(), counts[fit].tolist(), strict=True):
-            if top(other) == top(q):
+            if forest.top(other) == forest.top(q):
                 continue
             wanted = int(needed(int(sizes[q]), np.array([sizes[other]]), num, den)[0])
             if count < wanted:  # probe the long lists for the other set, by binary search over its own lists
@@ -232,37 +225,64 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
                 at = np.minimum(np.searchsorted(theirs, long), len(theirs) - 1)
                 count += np.count_nonzero(theirs[at] == long)
             if count >= wanted:
-                root[top(other)] = top(q)
+                forest.join(q, other)
                 links.append((q, other))
     return links
 
 
+class Forest:
+    """Union-find over numbers; join() tells whether two were apart."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.top(i), self.top(j)
+        self.root[j] = i
+        return i != j
+
+
 def prune_block(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
-        """Rows of the block that may link: sizes fit, components differ, and parities differ in no more bits than similar sets may in shingles."""
+        """(a, b) pairs that may link, as a spanning forest, and (a, null) for each query with such a pair.
+
+        In such a pair, sizes fit, components differ, and parities differ in no more bits than similar sets may in shingles.
+        """
+        sids = table["sid"].to_numpy()
         queries, sizes, comps = table["query"].to_numpy(zero_copy_only=False), table["size"].to_numpy(), table["comp"].to_numpy()
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
-        keep, asks = np.zeros(len(sizes), dtype=bool), np.zeros(len(sizes), dtype=bool)
+        forest, out = Forest(len(sids)), []
         for q in np.flatnonzero(queries).tolist():
             fit = np.flatnonzero((comps != comps[q]) & (den * sizes >= num * sizes[q]) & (den * sizes[q] >= num * sizes))
             off = np.bitwise_count(bits[fit] ^ bits[q]).sum(axis=1)
             near = fit[off <= sizes[fit] + sizes[q] - 2 * needed(int(sizes[q]), sizes[fit], num, den)]
             if len(near):
-                keep[near] = keep[q] = asks[q] = True
-        at = np.flatnonzero(keep)
-        return pa.table({"block": table["block"].take(at), "sid": table["sid"].take(at), "query": asks[at]})
+                out.append((int(sids[q]), None))
+                out += [(int(sids[q]), int(sids[j])) for j in near.tolist() if forest.join(q, j)]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def search_blocks(rows: DataFrame, small: DataFrame, fetch, num: int, den: int) -> DataFrame:
-    """(a, b) links found in blocks; rows has (block, sid, query, comp), comp being what is known to be linked already.
+def search_blocks(members: DataFrame, rows: int, small: DataFrame, fetch, num: int, den: int) -> DataFrame:
+    """(a, b) links among the lists of members (list, sid, query, comp), about so many rows; comp is what is known to be linked already.
 
-    small has (sid, size, bits); fetch gives the shingles of the sids that pruning leaves.
+    small has (sid, size, bits). Sets that may link, by pruning, are grouped anew, so that each is sent
+    once however many lists it has; fetch gives the shingles of the sids that are left.
     """
-    full = rows.groupBy("block", "sid").agg(F.max("query").alias("query"), F.max("comp").alias("comp")).join(small, "sid")
-    pruned = materialize(full.groupBy("block").applyInArrow(prune_block(num, den), "block long, sid long, query boolean"))
-    full = pruned.join(fetch(pruned.select("sid").distinct()), "sid")
+    full = chunked(members, max(1, rows // BLOCK)).groupBy("block", "sid").agg(F.max("query").alias("query"), F.max("comp").alias("comp")).join(small, "sid")
+    maybe = materialize(full.groupBy("block").applyInArrow(prune_block(num, den), "a long, b long"))
+    groups = components(maybe.where("b is not null"))
+    asking = maybe.where("b is null").select(F.col("a").alias("sid")).distinct().withColumn("query", F.lit(True))
+    left = groups.select(F.col("component").alias("list"), F.col("node").alias("sid")).join(asking, "sid", "left")
+    left = materialize(left.select("list", "sid", F.coalesce("query", F.lit(False)).alias("query"), F.col("sid").alias("comp")))
+    blocks = chunked(left, max(1, left.count() // BLOCK)).groupBy("block", "sid").agg(F.max("query").alias("query"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("sid")
@@ -272,7 +292,7 @@ def search_blocks(rows: DataFrame, small: DataFrame, fetch, num: int, den: int)
         links = t_occurrence(queries, sets, num, den)
         return pa.table({"a": pa.array([sids[a] for a, _ in links], pa.int64()), "b": pa.array([sids[b] for _, b in links], pa.int64())})
 
-    return full.groupBy("block").applyInArrow(run, "a long, b long")
+    return blocks.join(fetch(left.select("sid").distinct()), "sid").groupBy("block").applyInArrow(run, "a long, b long")
 
 
 def chunked(members: DataFrame, blocks: int) -> DataFrame:
@@ -302,8 +322,7 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
     stars = stars.withColumn("comp", F.col("sid"))
-    blocks = max(1, pairs.count() // BLOCK)
-    found = materialize(search_blocks(chunked(stars, blocks), small, fetch, num, den))
+    found = materialize(search_blocks(stars, pairs.count(), small, fetch, num, den))
     known = materialize(components(found))
 
     named = lists.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
@@ -314,7 +333,7 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     per_comp = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
     largest = per_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
     members = left.join(largest, "sig").select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"), "comp")
-    more = search_blocks(chunked(members, max(1, left.count() // BLOCK)), small, fetch, num, den)
+    more = search_blocks(members, left.count(), small, fetch, num, den)
     stars_known = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(stars_known.unionByName(more))
 
