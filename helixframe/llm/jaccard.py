@@ -184,8 +184,18 @@ def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, w
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of PARITIES bits: two sets differ in at least as many shingles as their parities in bits."""
-    return np.packbits((np.bincount((shingles >> np.uint64(7)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+    """Parity of the shingles that fall on each of so many bits: two sets differ in at least as many shingles as their parities in bits.
+
+    A power of two of bits, at least PARITIES and the number of shingles; folded() brings two sets to the smaller one's.
+    """
+    bits = max(PARITIES, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Parities (sets x words) over half as many bits."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
 
 
 def needed(n1: int, n2: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -256,12 +266,27 @@ def prune_block(num: int, den: int):
         """
         sids = table["sid"].to_numpy()
         queries, sizes, comps = table["query"].to_numpy(zero_copy_only=False), table["size"].to_numpy(), table["comp"].to_numpy()
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint64).reshape(len(sizes), -1)
+        raw = table["bits"].to_pylist()
+        widths = np.array([len(x) for x in raw])
+        rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+        bits = {w: np.frombuffer(b"".join([raw[i] for i in at]), dtype=np.uint64).reshape(len(at), -1) for w, at in rows.items()}
+        place = np.zeros(len(raw), dtype=int)
+        for at in rows.values():
+            place[at] = np.arange(len(at))
+        halves = {w: folded(x) for w, x in bits.items()}
         forest, out = Forest(len(sids)), []
         for q in np.flatnonzero(queries).tolist():
-            fit = np.flatnonzero((comps != comps[q]) & (den * sizes >= num * sizes[q]) & (den * sizes[q] >= num * sizes))
-            off = np.bitwise_count(bits[fit] ^ bits[q]).sum(axis=1)
-            near = fit[off <= sizes[fit] + sizes[q] - 2 * needed(int(sizes[q]), sizes[fit], num, den)]
+            width, hits = int(widths[q]), []
+            for other in (width, 2 * width, width // 2):  # similar sets are at most one step apart
+                if other not in rows:
+                    continue
+                at = rows[other]
+                fit = np.flatnonzero((comps[at] != comps[q]) & (den * sizes[at] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[at]))
+                mine = (halves if other < width else bits)[width][place[q]]
+                theirs = (halves if other > width else bits)[other][fit]
+                off = np.bitwise_count(theirs ^ mine).sum(axis=1)
+                hits.append(at[fit][off <= sizes[at[fit]] + sizes[q] - 2 * needed(int(sizes[q]), sizes[at[fit]], num, den)])
+            near = np.concatenate(hits)
             if len(near):
                 out.append((int(sids[q]), None))
                 out += [(int(sids[q]), int(sids[j])) for j in near.tolist() if forest.join(q, j)]
