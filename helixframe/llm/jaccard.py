@@ -33,6 +33,8 @@ from helixframe.llm.components import components
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 KEPT_WORDS = 500_000
 BLOCK = 2000
+#: Shingles of a set of usual size: blocks with shingles have at most about BLOCK times so many.
+SHINGLES = 300
 FILTER_BITS = 25
 PARITIES = 1024
 
@@ -306,8 +308,10 @@ def search_blocks(members: DataFrame, rows: int, small: DataFrame, fetch, num: i
     groups = components(maybe.where("b is not null"))
     asking = maybe.where("b is null").select(F.col("a").alias("sid")).distinct().withColumn("query", F.lit(True))
     left = groups.select(F.col("component").alias("list"), F.col("node").alias("sid")).join(asking, "sid", "left")
-    left = materialize(left.select("list", "sid", F.coalesce("query", F.lit(False)).alias("query"), F.col("sid").alias("comp")))
-    blocks = chunked(left, max(1, left.count() // BLOCK)).groupBy("block", "sid").agg(F.max("query").alias("query"))
+    left = left.join(small.select("sid", "size"), "sid")
+    left = materialize(left.select("list", "sid", F.coalesce("query", F.lit(False)).alias("query"), F.col("sid").alias("comp"), "size"))
+    most = BLOCK * SHINGLES
+    blocks = chunked(left, (left.agg(F.sum("size")).first()[0] or 0) // most + 1, "size", most).groupBy("block", "sid").agg(F.max("query").alias("query"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("sid")
@@ -320,11 +324,15 @@ def search_blocks(members: DataFrame, rows: int, small: DataFrame, fetch, num: i
     return blocks.join(fetch(left.select("sid").distinct()), "sid").groupBy("block").applyInArrow(run, "a long, b long")
 
 
-def chunked(members: DataFrame, blocks: int) -> DataFrame:
-    """(block, sid, query, comp) from (list, sid, query, comp): small lists share blocks, large ones are cut into chunks of queries by chunks of all."""
-    counts = members.groupBy("list").agg(F.count(F.lit(1)).alias("m"), F.count_if("query").alias("q"))
+def chunked(members: DataFrame, blocks: int, weight: str | None = None, most: int | None = None) -> DataFrame:
+    """(block, sid, query, comp) from (list, sid, query, comp): small lists share blocks, large ones are cut into chunks of queries by chunks of all.
+
+    A chunk has about BLOCK rows, or `most` of the sum of the column weight.
+    """
+    each, most = F.lit(1) if weight is None else F.col(weight), most or BLOCK
+    counts = members.groupBy("list").agg(F.sum(each).alias("m"), F.sum(F.when(F.col("query"), each).otherwise(0)).alias("q"))
     rows = members.join(counts, "list")
-    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    parts = lambda n: F.ceil(F.col(n) / most).cast("int")
     rows = rows.withColumn("pd", parts("m")).withColumn("pq", parts("q"))
     chunk = lambda p, seed: F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col(p)).cast("int")
     small = (F.col("pd") == 1) & (F.col("pq") == 1)

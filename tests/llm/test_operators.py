@@ -73,6 +73,7 @@ def test_jaccard_against_brute_force(spark, words, num):
 
 def test_jaccard_cuts_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "SHINGLES", 100)
     texts = texts_with_copies(7)
     sets = list(sets_of(texts, 3))
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
