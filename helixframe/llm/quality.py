@@ -1,18 +1,16 @@
 """Quality rules: simple counts of a text, and character n-gram perplexity within bands of its language.
 
-The language model is modified Kneser-Ney over 4-grams of characters, one model per language in one
-set of tables. Spark counts the 4-grams of all documents (each task sends sums), derives the
-continuation counts, discounts and probabilities of all orders by joins, and leaves each order as an
-array sorted by the hash of (language, n-gram). A slot number, not the n-gram, is the key, so an
-array has at most 2**bits entries whatever the corpus has; n-grams that share a slot share the
-likeliest one's cost.
+The language model is modified Kneser-Ney over 4-grams of characters, one model per language. Spark
+counts the 4-grams of all documents (each task sends sums), derives the continuation counts and
+discounts of all orders, and prices each 4-gram that the documents have by joins. N-grams are kept
+whole, 21 bits a character, so tables have a row for each and grow with the corpus. A table of at most
+FEW_GRAMS rows is broadcast; a larger one is joined to the distinct 4-grams of blocks of texts, and
+each block is measured with its own part.
 """
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +18,15 @@ from pyspark.sql import types as T
 from helixframe.llm.common import materialize, slices
 
 ORDER = 4
-TOP_BITS, LOW_BITS = 23, 21
 #: Before a text's first character.
 START = 2
-#: Dense costs of the highest order, in eighths of a bit; MISS: not in the array.
-STEP, MISS = 8, 255
-MIX = 0x9E3779B97F4A7C15
+#: Bits of a character in an n-gram.
+WIDE = 21
+#: Characters that there may be, for a language without a model.
+ALL_CHARACTERS = 0x110000
+#: A table of so many priced 4-grams is broadcast; with a larger one, blocks have so many bytes of text.
+FEW_GRAMS, BLOCK_BYTES = 4_000_000, 1 << 24
+MIX, MIX_LEAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 WINDOW = 5
 
@@ -59,180 +60,194 @@ def repeated_words(words: list[bytes]) -> int:
     return int(np.count_nonzero(np.cumsum(covered[:-1])))
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all 4-grams of the texts, 16 bits a character, and the place where each text's begin."""
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all 4-grams of the texts the first character and the other three, WIDE bits each, and the place where each text's begin."""
     start = chr(START) * (ORDER - 1)
-    codes = np.frombuffer("".join([start + t for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) & np.uint64(0xFFFF)
-    sizes = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join([start + t for t in texts]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
     if len(codes) < ORDER:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    keys = codes[3:] | codes[2:-1] << np.uint64(16) | codes[1:-2] << np.uint64(32) | codes[:-3] << np.uint64(48)
+        return codes[:0], codes[:0], np.zeros(len(texts), dtype=np.int64)
+    last = codes[1:-2] << 2 * WIDE | codes[2:-1] << WIDE | codes[3:]
     begins = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)[:-1]])
-    inside = np.ones(len(keys), dtype=bool)  # without the windows that reach over a text's end
+    inside = np.ones(len(last), dtype=bool)  # without the windows that reach over a text's end
     for k in range(ORDER - 1):
         over = begins[1:] - 1 - k
         inside[over[over >= 0]] = False
-    return keys[inside], np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return codes[:-3][inside], last[inside], np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
+def counted_grams(batches, block: bool):
+    """Rows ([block,] model, first, gram, n) of batches ([block,] model, text)."""
+    for batch in slices(batches, 4096):
+        groups: dict = {}
+        keys = zip(*[c.to_pylist() for c in batch.columns[:-1]], strict=True)
+        for key, text in zip(keys, batch.columns[-1].to_pylist(), strict=True):
+            groups.setdefault(key, []).append(text or "")
+        for key, texts in groups.items():
+            first, gram, _ = grams_of(texts)
+            found = pa.table({"first": first, "gram": gram}).group_by(["first", "gram"], use_threads=False).aggregate([([], "count_all")])
+            same = [pa.array([k] * len(found), pa.int64() if block and i == 0 else pa.string()) for i, k in enumerate(key)]
+            columns = [found[c].combine_chunks() for c in ("first", "gram", "count_all")]
+            yield pa.RecordBatch.from_arrays([*same, *columns], names=[*(["block"] if block else []), "model", "first", "gram", "n"])
+
 
+def count_grams(docs: DataFrame, model: Column, text_col: str) -> DataFrame:
+    """(model, first, gram, n) over all texts; first is the 4-gram's first character and gram has the other three."""
+    parts = docs.select(model, text_col).mapInArrow(lambda batches: counted_grams(batches, False), "model string, first long, gram long, n long")
+    return parts.groupBy("model", "first", "gram").agg(F.sum("n").alias("n"))
 
-def count_grams(docs: DataFrame, lang: Column, text_col: str) -> DataFrame:
-    """(lang, gram, n) over all texts."""
 
-    def count(batches):
-        for batch in slices(batches, 4096):
-            by_lang: dict[str, list[str]] = {}
-            for code, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(code, []).append(text or "")
-            for code, texts in by_lang.items():
-                found = pc.value_counts(pa.array(grams_of(texts)[0].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([code] * len(found), pa.string()), found.field(0), found.field(1)], names=["lang", "gram", "n"])
+def suffix(order: int) -> Column:
+    """An n-gram without its first character."""
+    return F.col("gram").bitwiseAND(F.lit((1 << WIDE * (order - 1)) - 1))
 
-    return docs.select(lang, text_col).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+def context() -> Column:
+    """An n-gram without its last character."""
+    return F.shiftleft("first", 2 * WIDE).bitwiseOR(F.shiftrightunsigned("gram", WIDE))
 
 
 def discounts(grams: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) of one order, from its counts of counts."""
+    """(model, d1, d2, d3) of one order, from its counts of counts."""
     of = [F.count_if(F.col("n") == k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
     y = F.coalesce(F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2")), F.lit(0.5))
     d = lambda k: F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}")), F.lit(k - 0.5)))).alias(f"d{k}")
-    return grams.groupBy("lang").agg(*of).select("lang", d(1), d(2), d(3))
-
+    return grams.groupBy("model").agg(*of).select("model", d(1), d(2), d(3))
 
-def discounted(grams: DataFrame) -> DataFrame:
-    """(lang, gram, context, part, gamma): part of the probability before backing off, and its context's weight for backing off."""
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = grams.join(discounts(grams), "lang").withColumn("cut", cut).withColumn("context", F.shiftrightunsigned("gram", 16))
-    contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spared"))
-    contexts = contexts.select("lang", "context", "total", (F.col("spared") / F.col("total")).alias("gamma"))
-    return rows.join(contexts, ["lang", "context"]).select("lang", "gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("part"), "gamma")
 
+def train(docs: DataFrame, model: Column, text_col: str) -> dict:
+    """The models' tables: (model, first, gram, n) by order, n counting occurrences or, below ORDER, different characters before; ("part", n) and ("gamma", n).
 
-def probabilities(grams: DataFrame) -> dict[int, DataFrame]:
-    """By order: (lang, gram, context, gamma, p), p interpolated down to a uniform share for unseen characters."""
-    counts = {ORDER: grams}
+    part is an n-gram's share of the probability before backing off, gamma its context's weight for
+    backing off. characters has the number of each model's characters and one for the unseen ones.
+    """
+    tables: dict = {ORDER: materialize(count_grams(docs, model, text_col))}
     for n in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1))
-        counts[n] = materialize(counts[n + 1].groupBy("lang", suffix.alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-    characters = counts[1].groupBy("lang").agg((F.count(F.lit(1)) + 1).alias("characters"))
-    out = {1: discounted(counts[1]).join(characters, "lang").withColumn("p", F.col("part") + F.col("gamma") / F.col("characters"))}
-    # unseen characters share what the first order spares
-    out[0] = out[1].groupBy("lang").agg(F.max(F.col("gamma") / F.col("characters")).alias("p"))
-    for n in range(2, ORDER + 1):
-        lower = out[n - 1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
-        rows = discounted(counts[n]).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1)))
-        out[n] = materialize(rows.join(lower, ["lang", "suffix"]).withColumn("p", F.col("part") + F.col("gamma") * F.col("lower")).select("lang", "gram", "context", "gamma", "p"))
-    return out
-
-
-def lang_salt(lang: str) -> int:
-    """Tells apart the n-grams of languages; 64 bits."""
-    h = 1469598103934665603
-    for byte in lang.encode():
-        h = (h ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-def slots_of(grams: np.ndarray, salt: np.ndarray | np.uint64, bits: int) -> np.ndarray:
-    mixed = (grams ^ salt) * np.uint64(MIX)
-    mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def hash_array(rows: DataFrame, key: str, value: Column, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots, sorted, and costs in bits; at most 2**bits come to the driver."""
-
-    def place(batches):
-        for batch in batches:
-            salts = {lang: lang_salt(lang) for lang in set(batch.column(0).to_pylist())}
-            salt = np.array([salts[lang] for lang in batch.column(0).to_pylist()], dtype=np.uint64)
-            slots = slots_of(batch.column(1).to_numpy().view(np.uint64), salt, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(2)], names=["slot", "cost"])
-
-    placed = rows.select("lang", key, value.alias("cost")).distinct().mapInArrow(place, "slot long, cost double")
-    best = placed.groupBy("slot").agg(F.min("cost").cast("float").alias("cost")).toArrow().sort_by("slot")
-    return best["slot"].to_numpy(), best["cost"].to_numpy()
-
-
-def train(docs: DataFrame, lang: Column, text_col: str) -> dict:
-    """The arrays: ("p", n) and ("gamma", n) by order, and the cost of an unseen character by language."""
-    by_order = probabilities(materialize(count_grams(docs, lang, text_col)))
-    bits = lambda n: TOP_BITS if n == ORDER else LOW_BITS
-    cost = lambda c: -F.log2(c)
-    model: dict = {("p", n): hash_array(by_order[n], "gram", cost(F.col("p")), bits(n)) for n in range(1, ORDER + 1)}
-    model |= {("gamma", n): hash_array(by_order[n], "context", cost(F.col("gamma")), LOW_BITS) for n in range(2, ORDER + 1)}
-    unseen = by_order[0].agg(F.max(cost(F.col("p")))).first()[0]
-    return model | {"unseen": 20.0 if unseen is None else float(unseen)}
+        tables[n] = materialize(tables[n + 1].groupBy("model", suffix(n + 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(0).cast("long").alias("first"), "gram", "n"))
+    tables["characters"] = tables[1].groupBy("model").agg((F.count(F.lit(1)) + 1).alias("characters"))
+    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    for n in range(1, ORDER + 1):
+        rows = tables[n].join(discounts(tables[n]), "model").withColumn("cut", cut).withColumn("context", context())
+        contexts = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spared"))
+        contexts = materialize(contexts.select("model", "context", "total", (F.col("spared") / F.col("total")).alias("gamma")))
+        tables["gamma", n] = contexts.select("model", "context", "gamma")
+        tables["part", n] = rows.join(contexts, ["model", "context"]).select("model", "first", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("part"))
+    return tables
 
 
-class Scorer:
-    """Costs in bits by the trained arrays; the highest order is opened to a dense table of bytes."""
-
-    def __init__(self, model: dict):
-        self.model = model
-        self.dense = np.full(1 << TOP_BITS, MISS, dtype=np.uint8)
-        slots, costs = model["p", ORDER]
-        self.dense[slots] = np.minimum(np.rint(costs * STEP), MISS - 1)
-        self.salts: OrderedDict[str, np.uint64] = OrderedDict()
-
-    def find(self, table: tuple, grams: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each is there, and its cost or 0."""
-        slots, costs = self.model[table]
-        if not len(slots):
-            return np.zeros(len(grams), dtype=bool), np.zeros(len(grams))
-        wanted = slots_of(grams, salt, LOW_BITS)
-        at = np.minimum(np.searchsorted(slots, wanted), len(slots) - 1)
-        there = slots[at] == wanted
-        return there, np.where(there, costs[at], 0.0)
-
-    def backed_off(self, grams: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """Costs of 4-grams that the highest order lacks."""
-        total, left = np.zeros(len(grams)), np.arange(len(grams))
-        for n in range(ORDER - 1, -1, -1):
-            own = grams[left]
-            context = (own & np.uint64((1 << 16 * (n + 1)) - 1)) >> np.uint64(16)
-            if n:
-                total[left] += self.find(("gamma", n + 1), context, salt[left])[1]
-                there, cost = self.find(("p", n), own & np.uint64((1 << 16 * n) - 1), salt[left])
-                total[left[there]] += cost[there]
-                left = left[~there]
-            else:
-                total[left] += self.model["unseen"]
-        return total
-
-    def costs(self, langs: list[str], texts: list[str]) -> np.ndarray:
+def priced(wanted: DataFrame, tables: dict) -> DataFrame:
+    """(model, first, gram, cost) of distinct 4-grams (model, first, gram): bits, interpolated down to a uniform share for unseen characters.
+
+    A model that has no text gives each character an equal share of all that there may be.
+    """
+    by_order = {ORDER: wanted}
+    for n in range(ORDER - 1, 0, -1):
+        by_order[n] = by_order[n + 1].select("model", F.lit(0).cast("long").alias("first"), suffix(n + 1).alias("gram")).distinct()
+    known = tables["characters"].select("model", (1 / F.col("characters")).alias("lower"))
+    p = F.coalesce("part", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.coalesce("lower", F.lit(1 / ALL_CHARACTERS))
+    for n in range(1, ORDER + 1):
+        rows = by_order[n].withColumn("context", context()).withColumn("suffix", suffix(n))
+        rows = rows.join(known, ["model"] if n == 1 else ["model", "suffix"], "left")
+        rows = rows.join(tables["part", n], ["model", "first", "gram"], "left").join(tables["gamma", n], ["model", "context"], "left")
+        rows = materialize(rows.select("model", "first", "gram", p.alias("p")))
+        known = rows.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+    return rows.select("model", "first", "gram", (-F.log2("p")).cast("float").alias("cost"))
+
+
+class Costs:
+    """Costs in bits by 4-gram, found by hash and compared whole."""
+
+    def __init__(self, table: pa.Table):
+        models = table["model"].combine_chunks().dictionary_encode()
+        self.models = {m: i for i, m in enumerate(models.dictionary.to_pylist())}
+        self.lead = models.indices.to_numpy().astype(np.int64) << WIDE | table["first"].to_numpy()
+        self.gram, self.cost = table["gram"].to_numpy(), table["cost"].to_numpy()
+        self.slots = np.full(1 << max(4, (3 * len(table)).bit_length()), -1, dtype=np.int32)
+        left, at = np.arange(len(table), dtype=np.int32), self.home(self.lead, self.gram)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def home(self, lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        mixed = gram.view(np.uint64) * MIX ^ lead.view(np.uint64) * MIX_LEAD
+        mixed ^= mixed >> np.uint64(29)
+        return (mixed * MIX_LEAD >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def of(self, models: list[str], texts: list[str]) -> np.ndarray:
         """Bits of each text."""
-        for lang in set(langs):
-            self.salts.setdefault(lang, np.uint64(lang_salt(lang)))
-        sizes = np.array([len(t) for t in texts])
-        keys, begins = grams_of(texts)
-        salt = np.repeat(np.array([self.salts[lang] for lang in langs], dtype=np.uint64), sizes)
-        dense = self.dense[slots_of(keys, salt, TOP_BITS)]
-        bits = dense.astype(np.float64) / STEP
-        missing = np.flatnonzero(dense == MISS)
-        if len(missing):
-            bits[missing] = self.backed_off(keys[missing], salt[missing])
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        first, gram, begins = grams_of(texts)
+        lead = np.repeat(np.array([self.models.get(m, -1) for m in models], dtype=np.int64) << WIDE, sizes) | first
+        at = self.home(lead, gram)
+        row = self.slots[at]
+        left = np.flatnonzero((self.lead[row] != lead) | (self.gram[row] != gram)) if len(self.gram) else np.arange(len(row))
+        while len(left):
+            if (row[left] < 0).any():
+                raise RuntimeError("a text has a 4-gram that was not counted; the documents must be the same each time they are read")
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            row[left] = self.slots[at[left]]
+            left = left[(self.lead[row[left]] != lead[left]) | (self.gram[row[left]] != gram[left])]
         out, full = np.zeros(len(texts)), np.flatnonzero(sizes)
         if len(full):
-            out[full] = np.add.reduceat(bits, begins[full])
+            out[full] = np.add.reduceat(self.cost[row].astype(np.float64), begins[full])
         return out
 
 
-def measure(docs: DataFrame, model: dict, id_col: str, lang: Column, text_col: str) -> DataFrame:
-    """(doc, lang, the counts, n_chars, bits) of each row."""
-    rows = docs.select(F.col(id_col).alias("doc"), lang.alias("lang"), F.col(text_col).alias("text"))
+class Scorer:
+    """Prices single texts by trained tables."""
+
+    def __init__(self, tables: dict):
+        self.tables = tables
+
+    def costs(self, models: list[str], texts: list[str]) -> np.ndarray:
+        """Bits of each text."""
+        rows = self.tables[ORDER].sparkSession.createDataFrame(list(zip(models, texts, strict=True)), "model string, text string")
+        wanted = count_grams(rows, F.col("model"), "text").select("model", "first", "gram")
+        return Costs(priced(wanted, self.tables).toArrow()).of(models, texts)
+
+
+def numbered_blocks(rows: DataFrame) -> DataFrame:
+    """rows with block: within a partition, rows in their order, about BLOCK_BYTES each."""
+
+    def run(batches):
+        number, size = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, 1024, 1 << 21):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, number))], names=[*batch.schema.names, "block"])
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                number, size = number + 1, 0
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())]))
+
+
+def measure(rows: DataFrame, prices: DataFrame) -> DataFrame:
+    """(doc, lang, the counts, n_chars, bits) of each row (doc, lang, model, text)."""
     longs = [*BASE_FIELDS, "n_chars"]
     schema = T.StructType([*rows.schema.fields[:2], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("bits", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in slices(batches, 1024):
-            texts = [t or "" for t in batch.column(2).to_pylist()]
+    def measured(batches, costs: Costs):
+        for batch in slices(batches, 1024, 1 << 21):
+            texts = [t or "" for t in batch.column(3).to_pylist()]
             counts = np.array([(*text_counts(t), len(t)) for t in texts], dtype=np.int64).reshape(-1, len(longs))
-            bits = scorer.costs(batch.column(1).to_pylist(), texts)
+            bits = costs.of(batch.column(2).to_pylist(), texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(c) for c in counts.T], pa.array(bits)], names=[f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    if prices.count() <= FEW_GRAMS:
+        table = prices.toArrow().combine_chunks()
+        shared = rows.sparkSession.sparkContext.broadcast(table)
+        return rows.mapInArrow(lambda batches: measured(batches, Costs(shared.value)), schema)
+
+    blocks = materialize(numbered_blocks(rows))
+    parts = blocks.select("block", "model", "text").mapInArrow(lambda batches: counted_grams(batches, True), "block long, model string, first long, gram long, n long")
+    own = parts.select("block", "model", "first", "gram").distinct().join(prices, ["model", "first", "gram"])
+
+    def measure_block(texts: pa.Table, part: pa.Table) -> pa.Table:
+        found = list(measured(texts.to_batches(), Costs(part)))
+        return pa.Table.from_batches(found)
+
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(measure_block, schema)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", width: float = 10.0, least_spread: float = 0.05, short: int = 300, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
@@ -246,8 +261,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     are one language. Repeated rows give a row each.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    model = train(docs, lang.alias("lang"), text_col)
-    rows = materialize(measure(docs, model, id_col, lang, text_col)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
+    texts = docs.select(F.col(id_col).alias("doc"), lang.alias("lang"), lang.alias("model"), F.col(text_col).alias("text"))
+    tables = train(texts, F.col("model"), "text")
+    prices = materialize(priced(tables[ORDER].select("model", "first", "gram"), tables))
+    rows = materialize(measure(texts, prices)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
     middle = rows.where(F.col("n_chars") > 0).groupBy("lang").agg(F.percentile_approx("bits_per_char", 0.5, 10000).alias("middle"))
     off = rows.where(F.col("n_chars") > 0).join(middle, "lang").withColumn("off", F.abs(F.col("bits_per_char") - F.col("middle")))
     bands = off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("spread"))

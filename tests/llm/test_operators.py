@@ -286,6 +286,20 @@ def test_quality_rules(spark):
     assert quality.judge(documents(spark, texts).where("false")).count() == 0
 
 
+def test_quality_tables_keep_every_gram(spark, monkeypatch):
+    texts = ["".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(i).integers(0, 20_000, 400)) for i in range(40)] + ["x\U0001f600y" * 9, "x\uf600y" * 9, *ODD]
+    docs = documents(spark, texts, lang=["zh", "en"] * 20 + ["zh"] * (len(texts) - 40))
+    model = quality.train(docs, F.col("lang"), "text")
+    counts = {(r["model"], r["first"], r["gram"]): r["n"] for r in model[quality.ORDER].collect()}
+    lang = ["zh", "en"] * 20 + ["zh"] * (len(texts) - 40)
+    brute = Counter((lg, ord(p[i]), ord(p[i + 1]) << 42 | ord(p[i + 2]) << 21 | ord(p[i + 3])) for lg, t in zip(lang, texts) for p in [chr(quality.START) * 3 + (t or "")] for i in range(len(t or "")))
+    assert counts == brute
+    few = {tuple(r) for r in quality.judge(docs).collect()}
+    monkeypatch.setattr(quality, "FEW_GRAMS", 10)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 3000)
+    assert {tuple(r) for r in quality.judge(docs).collect()} == few
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES[4][1]
     words = mit.split()
