@@ -257,14 +257,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     windows of five. kept: not that, and the text's bits per character (the log of its perplexity)
     within low..high, which are the median of its language less and plus width times the median
     deviation (at least least_spread), wider for texts of few characters by sqrt(1 + short / n_chars).
-    All documents train the model and set the bands. Null texts are empty and fail; null languages
-    are one language. Repeated rows give a row each.
+    A hash deals the texts out to two halves, copies to the same one, and each half is scored by the
+    model of the other, so that no text is known from itself; all documents set the bands. Where the
+    other half has no text of a language, all characters cost the same. Null texts are empty and fail;
+    null languages are one language. Repeated rows give a row each.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("doc"), lang.alias("lang"), lang.alias("model"), F.col(text_col).alias("text"))
+    fold = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(2)).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc"), lang.alias("lang"), F.concat(fold, lang).alias("model"), F.col(text_col).alias("text"))
     tables = train(texts, F.col("model"), "text")
-    prices = materialize(priced(tables[ORDER].select("model", "first", "gram"), tables))
-    rows = materialize(measure(texts, prices)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
+    other = F.overlay("model", F.translate(F.substring("model", 1, 1), "01", "10"), F.lit(1))
+    prices = materialize(priced(tables[ORDER].select(other.alias("model"), "first", "gram"), tables))
+    rows = materialize(measure(texts.withColumn("model", other), prices)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
     middle = rows.where(F.col("n_chars") > 0).groupBy("lang").agg(F.percentile_approx("bits_per_char", 0.5, 10000).alias("middle"))
     off = rows.where(F.col("n_chars") > 0).join(middle, "lang").withColumn("off", F.abs(F.col("bits_per_char") - F.col("middle")))
     bands = off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("spread"))

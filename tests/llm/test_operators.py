@@ -286,6 +286,18 @@ def test_quality_rules(spark):
     assert quality.judge(documents(spark, texts).where("false")).count() == 0
 
 
+def test_unique_noise_fails(spark):
+    rng = np.random.default_rng(3)
+    drawn = lambda alphabet, words=280: " ".join("".join(rng.choice(list(alphabet), 6)) for _ in range(words))
+    fine = [drawn("abcdef", 200) for _ in range(60)]  # about 2.3 bits a character
+    noise = [" ".join(chr(0x4E00 + 37 * i) * 8 for i in range(60)), " ".join("".join(chr(0x4E00 + 37 * i + 2300 * k) for k in range(6)) for i in range(60))]
+    noise += [drawn("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), drawn([chr(c) for c in range(33, 127)])]
+    noise.append(noise[-1])  # copies are no evidence either
+    by = {r["doc"]: r for r in quality.judge(documents(spark, fine + noise)).collect()}
+    assert all(by[i]["kept"] for i in range(60))
+    assert not any(by[i]["kept"] or by[i]["base_failed"] for i in range(60, 65))
+
+
 def test_quality_tables_keep_every_gram(spark, monkeypatch):
     texts = ["".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(i).integers(0, 20_000, 400)) for i in range(40)] + ["x\U0001f600y" * 9, "x\uf600y" * 9, *ODD]
     docs = documents(spark, texts, lang=["zh", "en"] * 20 + ["zh"] * (len(texts) - 40))
