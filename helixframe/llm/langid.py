@@ -22,6 +22,8 @@ SPACE = "▁"
 UNKNOWN = 1e-7
 #: Keeps products of small probabilities in range: each character's factor is raised by this.
 LIFT = 64.0
+#: Sums below SMALL are raised by its inverse, which the logarithm takes back.
+SMALL = 1e-150
 KEPT_WORDS = 200_000
 #: A table of so many languages is broadcast.
 FEW = 10_000
@@ -130,7 +132,7 @@ class PieceModel:
             at = np.flatnonzero(lengths == size)
             codes = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le"), dtype="<u4").reshape(len(at), size).astype(np.uint64) + np.uint64(1)
             alpha = np.zeros((size + 1, len(at), len(self.langs)))
-            alpha[0] = 1.0
+            alpha[0], carried = 1.0, np.zeros((len(at), len(self.langs)))
             for end in range(1, size + 1):
                 h = np.zeros(len(at), dtype=np.uint64)
                 for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
@@ -140,7 +142,11 @@ class PieceModel:
                     if len(found):
                         alpha[end, found] += alpha[start, found] * self.table[row[found]]
                 alpha[end] += alpha[end - 1] * (UNKNOWN * LIFT)
-            out[at] = np.log(alpha[size]) - size * np.log(LIFT)
+                low = alpha[end] < SMALL
+                if low.any():  # all that later ends start from
+                    alpha[max(0, end + 1 - self.longest) : end + 1] *= np.where(low, 1 / SMALL, 1.0)
+                    carried[low] += np.log(SMALL)
+            out[at] = np.log(alpha[size]) + carried - size * np.log(LIFT)
         return out
 
     def score_new(self, words: list[str]) -> None:

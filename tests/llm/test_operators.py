@@ -218,6 +218,16 @@ def spans_of(text):
     return ",".join(s for *_, s in sorted(out))
 
 
+def test_unknown_runs_leave_the_rest_to_decide():
+    texts = sorted({*"abcdehlnrtu ▁", "▁the", "▁und"})
+    counts = np.array([[50.0, 1.0] if t == "▁the" else [1.0, 50.0] if t == "▁und" else [3.0, 3.0] for t in texts])
+    model = langid.PieceModel(["en", "xx"], counts, texts)
+    alone = model.predict(["the and the", "und und a"])
+    for run in ("\u4e00" * 60, "\u4e00" * 100, "\U0001f600" * 95, "\u4e00" * 1000):
+        langs, scores = model.predict([f"the and {run} the", f"und {run} und a", run])
+        assert langs[:2] == alone[0] == ["en", "xx"] and scores[:2] == pytest.approx(alone[1], abs=1e-6) and 0 <= scores[2] <= 1
+
+
 def test_secrets(spark):
     key, jwt = "AKIA" + "Q7" * 8, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2"
     texts = [f"é PassWord = 'abc123' {key}", "token:token: abcdefgh secret: x", "deadbeef" * 3 + " api_key=\"0123456789abcdef01234567\"", f"see {jwt} here", *[f"example {jwt.replace('F2', 'F3')}"] * 4, *ODD]
