@@ -97,8 +97,8 @@ class Templates:
         self.coarse = np.zeros(1 << 16, dtype=bool)
         self.coarse[(self.known >> np.uint64(48)).astype(np.int64)] = True
 
-    def candidates(self, text: str) -> tuple[list[tuple[int, int]], list[re.Match]]:
-        """(template, offset in words) by decreasing support, one for each template and band; the text's words."""
+    def candidates(self, text: str) -> tuple[list[tuple[int, int, list[int]]], list[re.Match]]:
+        """(template, offset in words, words of the fingerprints) by decreasing support; the text's words."""
         values, places, kept = windows_least(text)
         near = np.flatnonzero(self.coarse[(values >> np.uint64(48)).astype(np.int64)])
         near = near[np.isin(values[near], self.known)]
@@ -106,15 +106,15 @@ class Templates:
             return [], []
         words = list(WORDS.finditer(text))
         starts = np.array([m.start() for m in words])
-        found: dict[tuple[int, int], int] = defaultdict(int)
+        found: dict[tuple[int, int], list[int]] = defaultdict(list)
         for i in near.tolist():
             at = int(np.searchsorted(starts, kept[places[i]], side="right")) - 1
             for template, place in self.index[int(values[i])]:
-                found[template, at - place] += 1
-        return [key for key, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))], words
+                found[template, at - place].append(at)
+        return [(*key, ats) for key, ats in sorted(found.items(), key=lambda x: (-len(x[1]), x[0]))], words
 
 
-def align(template: list[str], words: list[str], offset: int, band: int) -> tuple[int, int, int]:
+def align(template: list[str], words: list[str | None], offset: int, band: int) -> tuple[int, int, int]:
     """Most words of the template matched in order within the band about offset, and the text's first and last matched word."""
     m, n = len(template), len(words)
     before: dict[int, tuple[int, int, int]] = {}
@@ -137,15 +137,16 @@ def scan_text(text: str, templates: Templates, band: int, least: float) -> list[
     places, matches = templates.candidates(text)
     if not places:
         return []
-    words, found, tried = [m[0].lower() for m in matches], [], defaultdict(list)
-    for number, offset in places:
-        if any(abs(offset - o) <= band for o in tried[number]):
-            continue
-        tried[number].append(offset)
-        template = templates.words[number]
-        matched, first, last = align(template, words, offset, band)
-        if matched >= least * len(template):
+    words, found = [m[0].lower() for m in matches], []
+    left: dict[int, list[str | None]] = {}  # by template, the words outside its matches
+    for number, offset, fingerprints in places:
+        template, rest = templates.words[number], left.setdefault(number, list(words))
+        while any(rest[at] is not None for at in fingerprints):  # a match may be another one within the band
+            matched, first, last = align(template, rest, offset, band)
+            if not matched or matched < least * len(template):
+                break
             found.append((templates.names[number], matches[first].start(), matches[last].end(), matched, len(template)))
+            rest[first : last + 1] = [None] * (last + 1 - first)
     kept: list[tuple[str, int, int, int, int]] = []
     for span in sorted(found, key=lambda s: (-s[3], -s[3] / s[4], s[1], s[0])):
         if all(span[2] <= k[1] or span[1] >= k[2] for k in kept):

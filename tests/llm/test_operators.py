@@ -331,6 +331,16 @@ def test_licenses(spark):
     assert rows[0][2:4] == (6, 6 + len(mit)) and rows[0][4] == 1 and rows[1][2:] == (0, 30, 1.0) and 0.9 < rows[2][4] < 1
 
 
+def test_adjacent_licenses():
+    templates = licenses.Templates(licenses.TEMPLATES)
+    for notice in ("Released under the MIT License.", "Licensed under CC BY 4.0.", licenses.TEMPLATES[4][1] + "."):
+        for n in (1, 2, 3, 10):
+            text = " ".join([notice] * n)
+            found = licenses.scan_text(text, templates, 8, 0.85)
+            size = len(notice) - 1
+            assert [f[1:3] for f in found] == [(i * (size + 2), i * (size + 2) + size) for i in range(n)]
+
+
 def test_substrings(spark):
     rng = np.random.default_rng(2)
     text = lambda n: " ".join(rng.choice(WORDS, n))
