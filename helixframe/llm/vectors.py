@@ -10,6 +10,7 @@ nodes are cut into parts that every visitor of the shard searches.
 """
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -59,15 +60,21 @@ def centres_of(nodes: DataFrame) -> dict[str, np.ndarray]:
     return {k: unit(np.array(v)) for k, v in out.items()}
 
 
+def visits_among(centres: int, least: int) -> int:
+    """Shards that a node visits. Their share falls but their number grows with the centres: in 64 dimensions, links at 0.93 have their home among so many for 95 % or more of 10 to 4000 centres."""
+    return max(least, math.ceil(centres**0.42))
+
+
 def assign(nodes: DataFrame, centres: dict, visits: int, threshold: float) -> DataFrame:
-    """(shard, node, weight, v, home): the nearest shards of each node, its first one home. Labels without a centre are one shard.
+    """(shard, node, weight, v, home, built): the nearest shards of each node, its first one home. Labels without a centre are one shard.
 
+    built: among the nearest `visits`, whose graphs have the node; in others it only searches.
     Besides the nearest ones, a node visits all centres within twice the range's angle: in a dense
     group that has many centres, those all hold nodes within range.
     """
     wide = 2 * threshold * threshold - 1
     shared = nodes.sparkSession.sparkContext.broadcast(centres)
-    kind = "shard string, node long, weight long, v array<double>, home boolean"
+    kind = "shard string, node long, weight long, v array<double>, home boolean, built boolean"
 
     def run(batches):
         for batch in batches:
@@ -75,21 +82,22 @@ def assign(nodes: DataFrame, centres: dict, visits: int, threshold: float) -> Da
             groups: dict = {}
             for i, key in enumerate(zip(labels, sizes, strict=True)):
                 groups.setdefault(key, []).append(i)
-            at, shards, home = [], [], []
+            at, shards, home, built = [], [], [], []
             for (label, size), rows in groups.items():
                 middle = shared.value.get((label, size))
                 if middle is None:
                     near, many = np.zeros((len(rows), 1), dtype=int), np.ones(len(rows), dtype=int)
                 else:
                     close = unit(matrix(batch.column(3).take(pa.array(rows)))) @ middle.T
-                    near, many = np.argsort(-close, axis=1, kind="stable"), np.maximum(visits, (close >= wide).sum(axis=1))
+                    near, many = np.argsort(-close, axis=1, kind="stable"), np.maximum(visits_among(len(middle), visits), (close >= wide).sum(axis=1))
                 for k in range(min(near.shape[1], many.max())):
                     here = np.flatnonzero(many > k)
                     at += [rows[i] for i in here]
                     shards += [f"{label}/{size}/{c}" for c in near[here, k]]
                     home += [k == 0] * len(here)
+                    built += (np.full(len(here), k < visits) | (middle is not None and close[here, near[here, k]] >= wide)).tolist()
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(home, pa.bool_())], names=["shard", "node", "weight", "v", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), pa.array(home, pa.bool_()), pa.array(built, pa.bool_())], names=["shard", "node", "weight", "v", "home", "built"])
 
     return nodes.select("node", "weight", "label", "v").mapInArrow(run, kind)
 
@@ -100,7 +108,7 @@ def parted(assigned: DataFrame) -> DataFrame:
     rows = assigned.join(parts, "shard")
     own = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     every = rows.withColumn("own", own).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return every.select("shard", "part", "node", "weight", "v", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"))
+    return every.select("shard", "part", "node", "weight", "v", "built", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"))
 
 
 def robust_prune(v: np.ndarray, near: np.ndarray, i: int) -> list[int]:
@@ -232,7 +240,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.where("good").groupBy("label", "v").agg(F.min("vec").alias("node"), F.count(F.lit(1)).alias("weight"))
     nodes = materialize(nodes)
     placed = materialize(parted(assign(nodes, centres_of(nodes), visits, threshold)))
-    lists = placed.select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(build, "node long, near array<long>")
+    lists = placed.where("built").select("shard", "part", "node", "v").groupBy("shard", "part").applyInArrow(build, "node long, near array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # as many lists as a node has parts
     searched = placed.join(graph, "node", "left").groupBy("shard", "part").applyInArrow(search(threshold), "node long, n long, other long")
     searched = materialize(searched)

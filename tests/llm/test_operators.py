@@ -394,6 +394,17 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_recall_with_many_centres(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(np.vstack([a, b]))], "vec_id long, embedding array<double>, label string").cache()
+    assert vectors.audit(rows, vectors.near_duplicates(rows), queries=3000) >= 0.92
+
+
 def test_vector_shards_are_cut(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 40)
     rng = np.random.default_rng(8)
