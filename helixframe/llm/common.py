@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,19 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may lack it, as tests do: it gets a temporary one."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(known)
-    elif not context.getCheckpointDir():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(known)
     return known
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a Parquet table in the shared folder, removed when the application ends.
+    """Cuts lineage by a Parquet table in the shared folder, removed by discard() or when the application ends.
 
     Unlike checkpoint(), later readers decode only the columns they use and the files are compressed.
     """
@@ -39,7 +42,38 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out.written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that materialize() wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    table.written_to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table.written_to, True)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, deal_by: list[str], how: str = "inner", most: int = 1000, few: int | None = 50_000) -> DataFrame:
+    """rows with the columns of keyed, which is materialized and has one row for each key; no key makes a hot task.
+
+    weight counts a key's rows. Up to `few` keys, counted first, are broadcast. Beyond that the `most`
+    keys of largest weight are, among which is each key with more than one in `most` of all rows; the
+    rows of those are dealt out by deal_by in the shuffle that serves the others. how: inner or left.
+    """
+    fields = [c for c in keyed.columns if c not in on]
+    hidden = [F.col(k).alias(f"__{k}") for k in on]
+    same = reduce(and_, [F.col(k) == F.col(f"__{k}") for k in on])
+    if few is not None and keyed.count() <= few:
+        return rows.join(F.broadcast(keyed.select(*hidden, *fields)), same, how).select(*rows.columns, *fields)
+    packed = F.struct(*fields)
+    hot = keyed.orderBy(F.col(weight).desc(), *on).limit(most).select(*hidden, packed.alias("__hot"))
+    dealt = F.when(F.col("__hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*deal_by), F.lit(1 << 30)) + 1)
+    marked = rows.join(F.broadcast(hot), same, "left").select(*rows.columns, "__hot", dealt.alias("__deal"))
+    cold = keyed.select(*on, F.lit(0).cast("long").alias("__deal"), packed.alias("__cold"))
+    found = marked.join(cold, [*on, "__deal"], "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    if how == "inner":
+        found = found.where("__found is not null")
+    return found.select(*rows.columns, *[F.col("__found")[c].alias(c) for c in fields])
 
 
 def ascii_lower(column: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize
+from helixframe.llm.common import discard, materialize
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,14 @@ def small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for each node that has an edge (a, b) to another.
 
-    Every round is written out; the links end as stars about the least nodes. Partial minima go
-    before each shuffle, so a node with very many links is no hot key there.
+    Every round is written out and the one before removed; the links end as stars about the least
+    nodes. Minima are partial before the shuffle. The join back to them has all links of a node on one
+    key; adaptive execution splits such a partition where it is large.
     """
     state, before = materialize(edges.where("a <> b").select("a", "b")), None
     for _ in range(most_rounds):
-        state = materialize(small_star(large_star(state)))
+        last, state = state, materialize(small_star(large_star(state)))
+        discard(last)
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

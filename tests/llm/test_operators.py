@@ -405,13 +405,58 @@ def test_vectors_recall_with_many_centres(spark, monkeypatch):
     assert vectors.audit(rows, vectors.near_duplicates(rows), queries=3000) >= 0.92
 
 
-def test_vector_shards_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD", 40)
-    rng = np.random.default_rng(8)
-    rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.1).tolist(), 1) for i in range(150)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    linked = vectors.near_duplicates(df, threshold=0.97)
-    assert vectors.audit(df, linked, 150, threshold=0.97) >= 0.9
+def close_vectors(spark, n, noise, seed=8, dims=64):
+    rng = np.random.default_rng(seed)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.ones((n, dims)) / np.sqrt(dims) + rng.normal(size=(n, dims)) * noise / np.sqrt(dims))]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4).cache()
+
+
+@pytest.mark.parametrize("noise,cells", [(0.15, 1), (0.21, 0)])
+def test_dense_groups_stay_small(spark, monkeypatch, noise, cells):
+    """3,000 vectors that are all close: within half the range they are one cell, which nothing searches; else parts are bounded."""
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    df = close_vectors(spark, 3000, noise)
+    angles = vectors.Angles(0.93)
+    nodes = vectors.clean(df, "vec_id", "embedding", "label").select(F.col("vec").alias("node"), F.lit(1).cast("long").alias("weight"), "label", "v")
+    centres = vectors.centres_of(nodes, angles, 0.93)
+    assert [len(c) for _, c in centres.values()] == [cells]
+    placed = vectors.parted(vectors.assign(nodes, centres, 3, angles)).withColumn("near", F.lit(None).cast("array<long>"))
+    groups = [r["count"] for r in vectors.groups_of(placed).groupBy("shard", "m", "a").count().collect()]
+    most = vectors.PARTS * vectors.SHARD
+    assert max(groups, default=0) <= 2.4 * most and sum(groups) <= 3000 * 2.5 * (1 if cells else 3000 / most + 1)
+    linked = vectors.near_duplicates(df).cache()
+    assert vectors.audit(df, linked, 300) >= 0.98
+    v = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((v @ v.T) >= 0.93).sum(axis=1) - 1
+    got = {r["vec"]: r for r in linked.collect()}
+    assert all(got[i]["n_links"] <= want[i] for i in range(3000)) and sum(r["n_links"] for r in got.values()) >= 0.98 * want.sum()
+    assert {r["component"] for r in got.values()} == {0}
+
+
+def test_vectors_with_odd_ids(spark):
+    """Null ids, ids that occur twice, values that overflow when squared, and columns with the names used inside."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, b), (6, [1.0, 0.01, 0.0]), (7, [0.01, 1.0, 0.0]), (None, [1.0, 0.02, 0.0]), (None, c), (8, [1e200, 0.0, 0.0]), (9, [0.0, 0.0, -1e-300]), (10, [0.0, 0.0, -1e200])]
+    schema = "vec_id long, embedding array<double>"
+    df = spark.createDataFrame(rows, schema).withColumn("label", F.lit("x"))
+    for name in ("vec", "node", "n", "component", "weight", "v", "kept"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = sorted(((r["vec"], r["n_links"], r["component"], r["kept"]) for r in vectors.near_duplicates(df).collect()), key=str)
+    want = [(5, 3, 5, True), (5, 1, 5, True), (6, 3, 5, False), (7, 1, 5, False), (None, 3, 5, False), (None, 0, None, True), (8, 3, 5, False), (9, 1, 9, True), (10, 1, 9, False)]
+    assert got == sorted(want, key=str)
+    assert vectors.near_duplicates(df.where("false")).count() == 0
+
+
+def test_join_hot_equals_a_join(spark):
+    from helixframe.llm.common import join_hot, materialize
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).alias("k"), "id")
+    keyed = materialize(rows.where("k % 5 <> 1").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")))
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(keyed, "k", how).select("k", "id", "n", "least").collect()))
+        for few, most in ((None, 3), (0, 1), (10_000, 3)):
+            assert sorted(map(str, join_hot(rows, keyed, ["k"], "n", ["id"], how, most, few).collect())) == want
 
 
 @pytest.mark.parametrize("name", ["op2_mix_sources", "op4_line_dedup"])
