@@ -5,6 +5,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,26 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, deal
     return found.select(*rows.columns, *[F.col("__found")[c].alias(c) for c in fields])
 
 
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A bit set for each of the longs in column id, by their low bits; eight bits or more for each long, 2**20 to 2**29 (64 MB) in all.
+
+    A size is a power of two, so in_filter() knows it. Beyond some 10**8 ids more bits hit by chance; who asks must check what passes.
+    """
+    size = 1 << min(29, max(20, (8 * ids.count()).bit_length()))
+    place = (F.pmod("id", F.lit(size)) + 1).alias("p")
+    rows = ids.select(place).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    out = np.zeros(size >> 3, dtype=np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the bit of each id (uint64) is set."""
+    place = ids & np.uint64(8 * len(bits) - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)

@@ -1,24 +1,29 @@
 """Exact Jaccard join of word shingle sets, by T-occurrence search.
 
-1. Equal sets become one set, by a 64-bit hash of the whole set.
+1. Equal sets become one set, by a hash of the whole set: 64 bits of 128, and the other 64 for the few
+   sets whose first ones collide.
 2. A lossless partition brings similar sets together. Sets of like size are cut at the same places of
    the hash range into more segments than two similar sets can differ in, so they have a whole
    segment in common; its digest is the key of an inverted list of sets. Passages that many documents
    share do not make long lists, since the rest of a segment differs.
 3. In blocks of such lists, the T-occurrence search finds, for each query, all sets that share at
    least T shingles: inverted lists of the block's shingles are divided into the longest, which are
-   probed, and the others, which are merged and must alone bring T less the number of long lists.
+   probed, and the others, which are heap-merged and must alone bring T less the number of long lists.
    In the first round the queries are the lists' least sets; then those lists that still hold more
    than one component are searched in full, with all but their largest component as queries. Before
    a block's shingles are sent, bitmaps of their parities rule out sets that differ too much.
 4. Components of the links; one row per document.
 
 Lists and blocks of any length are cut into chunks, so no task holds a large group of copies; links
-inside a block are reduced to a spanning forest, so a group never gives all its pairs.
+inside a block are reduced to a spanning forest, so a group never gives all its pairs. A task sends one
+set of each list on, the list's head there, and ties the others it reads to it; joins on lists and sets
+broadcast the most frequent keys.
 """
 
+import heapq
 import math
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import materialize, slices
+from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize, slices
 from helixframe.llm.components import components
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -35,8 +40,11 @@ KEPT_WORDS = 500_000
 BLOCK = 2000
 #: Shingles of a set of usual size: blocks with shingles have at most about BLOCK times so many.
 SHINGLES = 300
-FILTER_BITS = 25
 PARITIES = 1024
+#: Lists that a task has found to be long, at most; then it starts anew.
+KEPT_LISTS = 1_000_000
+#: Short lists with more entries are merged by a stable sort, which merges sorted runs, instead of a heap.
+HEAP_MERGED = 4096
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,12 +76,26 @@ class Shingler:
         return np.unique(total)
 
 
-def set_id(shingles: np.ndarray) -> int | None:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())))) if len(shingles) else None
+def halves(digest: int) -> tuple[int, int]:
+    """The low and the high 64 bits of 128, signed."""
+    low, high = np.array([digest & 0xFFFFFFFFFFFFFFFF, digest >> 64], dtype=np.uint64).view(np.int64).tolist()
+    return low, high
 
 
-def text_id(text: str | None) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")))))
+def set_digest(shingles: np.ndarray) -> int:
+    return xxhash.xxh3_128_intdigest(shingles.tobytes())
+
+
+def set_id(shingles: np.ndarray, doubled: frozenset[int]) -> int | None:
+    """The set's number: the low bits of its digest, the high ones where other sets share the low ones; null for the empty set."""
+    if not len(shingles):
+        return None
+    low, high = halves(set_digest(shingles))
+    return high if low in doubled else low
+
+
+def text_digest(text: str | None) -> int:
+    return xxhash.xxh3_128_intdigest((text or "").encode("utf-8", "surrogatepass"))
 
 
 @lru_cache(maxsize=4)
@@ -117,68 +139,94 @@ def signatures(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, n, sid, tid, bits) of each row: set size, set hash (null for the empty set), text hash and parities."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+class Heads:
+    """For each list, the first set that this task has read of it: by slice for all lists, by task for those that have had two."""
 
-    def run(batches):
-        shingler = Shingler(words)
-        for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            sets = [shingler(t) for t in texts]
-            columns = [[len(s) for s in sets], [set_id(s) for s in sets], [text_id(t) for t in texts]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary())], names=["doc", "n", "sid", "tid", "bits"])
+    def __init__(self):
+        self.known: dict[int, int] = {}
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "sid", "tid")], T.StructField("bits", T.BinaryType())]))
+    def __call__(self, sigs: np.ndarray, sids: np.ndarray) -> np.ndarray:
+        """The head of each row's list; sigs and sids stand for rows of several sets."""
+        values, first, at, counts = np.unique(sigs, return_index=True, return_inverse=True, return_counts=True)
+        heads = sids[first]
+        if self.known:
+            old = np.fromiter((self.known.get(x, 0) for x in values.tolist()), dtype=np.int64, count=len(values))
+            heads = np.where(old != 0, old, heads)
+        more = np.flatnonzero(counts > 1)
+        if len(self.known) + len(more) > KEPT_LISTS:
+            self.known.clear()
+        self.known.update(zip(values[more].tolist(), heads[more].tolist(), strict=True))
+        return heads[at]
 
 
-def signature_rows(docs: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """(sig, sid); a task gives an equal set once."""
+def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """(doc, n, low, high, tid, bits, sigs, heads) of each row, in one pass over the texts.
+
+    n: set size; low, high: the set's hash, null for the empty set; tid: half of the text's; bits:
+    parities; sigs: digests of the segments, which a task gives once for equal sets; heads: low of
+    the head of each one's list.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    longs = pa.list_(pa.int64())
 
     def run(batches):
-        shingler, given = Shingler(words), set()
+        shingler, given, heads_of = Shingler(words), set(), Heads()
         for batch in slices(batches):
-            sigs, sids = [], []
-            for text in batch.column(0).to_pylist():
-                shingles = shingler(text)
-                sid = set_id(shingles)
-                if sid is not None and sid not in given:
-                    given.add(sid)
-                    found = signatures(shingles, num, den)
-                    sigs.append(found)
-                    sids.append(np.full(len(found), sid))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(sids))], names=["sig", "sid"])
-
-    return docs.select(text_col).mapInArrow(run, "sig long, sid long")
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits set for the ids in column id, by their low bits: 2**FILTER_BITS bits whatever their number."""
-    place = F.pmod("id", F.lit(1 << FILTER_BITS)) + 1
-    rows = ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
-    out = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
-    for r in rows:
-        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
-
-def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, text_col: str, words: int) -> DataFrame:
+            texts = batch.column(1).to_pylist()
+            sets = [shingler(t) for t in texts]
+            digests = [set_digest(s) if len(s) else None for s in sets]
+            lows, highs = zip(*[(None, None) if d is None else halves(d) for d in digests], strict=True)
+            found = []
+            for shingles, digest in zip(sets, digests, strict=True):
+                new = digest is not None and digest not in given
+                if new:
+                    given.add(digest)
+                found.append(signatures(shingles, num, den).view(np.int64) if new else None)
+            new = [i for i, f in enumerate(found) if f is not None]
+            sizes = np.array([0 if f is None else len(f) for f in found])
+            flat = np.concatenate([found[i] for i in new]) if new else np.zeros(0, dtype=np.int64)
+            heads = heads_of(flat, np.repeat(np.array([lows[i] or 0 for i in range(len(texts))], dtype=np.int64), sizes)) if len(flat) else flat
+            offsets, empty = np.concatenate([[0], np.cumsum(sizes)]), pa.array([f is None for f in found])
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x), mask=empty) for x in (flat, heads)]
+            columns = [[len(s) for s in sets], lows, highs, [halves(text_digest(t))[0] for t in texts]]
+            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([("doc", batch.schema.field(0).type), *[(c, pa.int64()) for c in ("n", "low", "high", "tid")], ("bits", pa.binary()), ("sigs", longs), ("heads", longs)]))
+
+    array = T.ArrayType(T.LongType())
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "low", "high", "tid")], T.StructField("bits", T.BinaryType()), T.StructField("sigs", array), T.StructField("heads", array)]))
+
+
+def collided(keyed: DataFrame) -> frozenset[int]:
+    """Low halves that sets with different high ones share: of 10**11 sets some hundreds, so the driver may hold them."""
+    both = keyed.where("low is not null").groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b"))
+    return frozenset(r["low"] for r in both.where("a <> b").select("low").collect())
+
+
+def numbered(keyed: DataFrame, doubled: frozenset[int]) -> DataFrame:
+    """keyed with sid, the number of its set."""
+    if not doubled:
+        return keyed.withColumn("sid", F.col("low"))
+    return keyed.withColumn("sid", F.when(F.col("low").isin(*doubled), F.col("high")).otherwise(F.col("low")))
+
+
+def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, doubled: frozenset[int], text_col: str, words: int) -> DataFrame:
     """(sid, shingles) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
-    wanted = keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id"))
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    wanted = materialize(keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id")).select("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def run(batches):
         bits, shingler, given = shared.value, Shingler(words), set()
         for batch in slices(batches):
+            texts = batch.column(0).to_pylist()
+            digests = [text_digest(t) for t in texts]
+            hit = in_filter(bits, np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], dtype=np.uint64))
             found = []
-            for text in batch.column(0).to_pylist():
-                tid = text_id(text)
-                place = tid % (1 << FILTER_BITS)
-                if bits[place >> 3] >> (place & 7) & 1 and tid not in given:
-                    given.add(tid)
-                    shingles = shingler(text)
-                    found.append((set_id(shingles), shingles.view(np.int64)))
+            for i in np.flatnonzero(hit).tolist():
+                if digests[i] not in given:
+                    given.add(digests[i])
+                    shingles = shingler(texts[i])
+                    if len(shingles):
+                        found.append((set_id(shingles, doubled), shingles.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["sid", "shingles"])
 
     rows = docs.select(text_col).mapInArrow(run, "sid long, shingles array<long>")
@@ -205,6 +253,18 @@ def needed(n1: int, n2: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * (n1 + n2) // (num + den))
 
 
+def merge_counts(merged: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets in sorted lists of lengths `reach` that stand in one array, and how many lists have each."""
+    if len(merged) > HEAP_MERGED:
+        merged = np.sort(merged, kind="stable")
+        starts = np.flatnonzero(np.diff(merged, prepend=-1))
+        return merged[starts], np.diff(starts, append=len(merged))
+    ends = np.cumsum(reach)
+    entries = merged.tolist()
+    runs = [(x, sum(1 for _ in same)) for x, same in groupby(heapq.merge(*[entries[e - n : e] for e, n in zip(ends.tolist(), reach.tolist(), strict=True)]))]
+    return np.array([x for x, _ in runs], dtype=int), np.array([c for _, c in runs], dtype=int)
+
+
 def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links of the queries to other sets of the block, as a spanning forest: DivideSkip over the block's inverted lists."""
     sizes = np.array([len(s) for s in sets])
@@ -226,7 +286,7 @@ def t_occurrence(queries: list[int], sets: list[np.ndarray], num: int, den: int)
         long, short = np.sort(by_length[:divide]), by_length[divide:]
         reach = lengths[short]
         merged = postings[np.repeat(first[short] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())]
-        found, counts = np.unique(merged, return_counts=True)
+        found, counts = merge_counts(merged, reach)
         fit = (found != q) & (counts >= np.maximum(1, needed(int(sizes[q]), sizes[found], num, den) - len(long))) & (den * sizes[found] >= num * sizes[q]) & (den * sizes[q] >= num * sizes[found])
         for other, count in zip(found[fit].tolist(), counts[fit].tolist(), strict=True):
             if forest.top(other) == forest.top(q):
@@ -331,7 +391,7 @@ def chunked(members: DataFrame, blocks: int, weight: str | None = None, most: in
     """
     each, most = F.lit(1) if weight is None else F.col(weight), most or BLOCK
     counts = members.groupBy("list").agg(F.sum(each).alias("m"), F.sum(F.when(F.col("query"), each).otherwise(0)).alias("q"))
-    rows = members.join(counts, "list")
+    rows = join_hot(members, materialize(counts), ["list"], "m", ["sid"])
     parts = lambda n: F.ceil(F.col(n) / most).cast("int")
     rows = rows.withColumn("pd", parts("m")).withColumn("pq", parts("q"))
     chunk = lambda p, seed: F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col(p)).cast("int")
@@ -342,15 +402,22 @@ def chunked(members: DataFrame, blocks: int, weight: str | None = None, most: in
     return as_doc.unionByName(as_query)
 
 
-def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """(node, component) over sids that are linked to another; keyed as set_rows() gives it."""
+def lists_of(keyed: DataFrame) -> DataFrame:
+    """(sig, sid, pivot) of the lists with two sets or more; pivot is the least of the heads in a head's row, the head in other rows."""
+    rows = keyed.select("sid", F.explode(F.arrays_zip("sigs", "heads")).alias("s")).select("sid", F.col("s.sigs").alias("sig"), F.col("s.heads").alias("head"))
+    tails = rows.where("head <> sid").select("sig", "sid", F.col("head").alias("pivot"))
     at = Window.partitionBy("sig")
-    signed = signature_rows(docs, text_col, words, num, den)
-    lists = signed.withColumn("pivot", F.min("sid").over(at)).withColumn("last", F.max("sid").over(at)).where("pivot < last")
-    lists = materialize(lists.select("sig", "sid", "pivot").distinct())
+    heads = rows.where("head = sid").select("sig", "sid", F.min("sid").over(at).alias("pivot"), F.max("sid").over(at).alias("last")).where("pivot < last").drop("last")
+    of_tails = tails.select("sig", F.col("pivot").alias("sid"), "pivot")
+    return heads.unionByName(tails).unionByName(of_tails).distinct()
+
+
+def similar_sets(docs: DataFrame, keyed: DataFrame, doubled: frozenset[int], text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """(node, component) over sids that are linked to another; keyed as set_rows() and numbered() give it."""
+    lists = materialize(lists_of(keyed))
     involved = lists.select("sid").distinct()
     small = materialize(keyed.join(involved, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("size"), F.first("bits").alias("bits")))
-    fetch = lambda sids: sets_of(docs, keyed, sids, text_col, words)
+    fetch = lambda sids: sets_of(docs, keyed, sids, doubled, text_col, words)
 
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
@@ -358,15 +425,16 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, n
     found = materialize(search_blocks(stars, pairs.count(), small, fetch, num, den))
     known = materialize(components(found))
 
-    named = lists.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp"))
+    members = lists.select("sig", "sid").distinct()
+    named = materialize(members.join(known.withColumnRenamed("node", "sid"), "sid", "left").select("sig", "sid", F.coalesce("component", "sid").alias("comp")))
     h = F.xxhash64("sid")
     open_lists = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("lo < hi")
-    open_lists = open_lists.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig")  # lists of the same sets count once
-    left = materialize(named.join(open_lists, "sig"))
+    open_lists = materialize(open_lists.groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "m"))  # lists of the same sets count once
+    left = materialize(join_hot(named, open_lists, ["sig"], "m", ["sid"]).drop("m"))
     per_comp = left.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = per_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"))
-    members = left.join(largest, "sig").select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"), "comp")
-    more = search_blocks(members, left.count(), small, fetch, num, den)
+    largest = materialize(per_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("largest"), F.sum("m").alias("m")))
+    queries = join_hot(left, largest, ["sig"], "m", ["sid"]).select(F.col("sig").alias("list"), "sid", (F.col("comp") != F.col("largest")).alias("query"), "comp")
+    more = search_blocks(queries, left.count(), small, fetch, num, den)
     stars_known = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(stars_known.unionByName(more))
 
@@ -375,16 +443,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc, n_shingles, component.
 
     A document's set: its distinct shingles of so many words (ASCII white space between, A-Z
-    lower-cased); all words as one shingle where they are fewer; empty for null and blank texts.
-    Documents link when den * shared >= num * all shingles of the two, and a component is the least
-    id reachable by links. Empty sets link with nothing. Rows with one id are one document; a null id
-    is a component by itself (null) unless its set links to others. Sets are told apart by 64-bit hashes.
+    lower-cased), of its whole text however long; all words as one shingle where they are fewer; empty
+    for null and blank texts. Documents link when den * shared >= num * all shingles of the two, and a
+    component is the least id reachable by links. Empty sets link with nothing. Rows with one id are
+    one document; a null id is a component by itself (null) unless its set links to others. An empty
+    table gives an empty one; other columns of docs are not read.
     """
-    keyed = materialize(set_rows(docs, id_col, text_col, words))
-    linked = similar_sets(docs, keyed, text_col, words, num, den)
-    firsts = keyed.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("first"))
-    named = firsts.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid"))
-    least = named.groupBy("comp").agg(F.min("first").alias("least"))
-    of_sid = named.join(least, "comp").select("sid", "least")
-    rows = keyed.join(of_sid, "sid", "left")
+    keyed = materialize(set_rows(docs, id_col, text_col, words, num, den))
+    doubled = collided(keyed)
+    keyed = numbered(keyed, doubled)
+    if doubled:  # heads are low halves, which do not tell these sets apart: each of their rows is a head
+        alone = F.transform("heads", lambda h: F.when(h.isin(*doubled) | F.col("low").isin(*doubled), F.col("sid")).otherwise(h))
+        keyed = keyed.withColumn("heads", alone)
+    linked = similar_sets(docs, keyed, doubled, text_col, words, num, den)
+    firsts = keyed.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"))
+    named = materialize(firsts.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    least = materialize(named.groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets")))
+    of_sid = materialize(join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "least", "docs"))
+    rows = join_hot(keyed.select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
     return rows.select("doc", F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component"))

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import materialize, slices
 
-#: Words are summed over in chunks of at most so many characters; a longer word is the product of its chunks.
-CHUNK = 96
+#: Words of one length up to this are summed over together; longer ones each alone.
+TOGETHER = 96
+#: Characters of such a word whose pieces are looked up at once.
+STRETCH = 1 << 14
 SPACE = "▁"
 UNKNOWN = 1e-7
 #: Keeps products of small probabilities in range: each character's factor is raised by this.
@@ -29,7 +31,7 @@ KEPT_WORDS = 200_000
 FEW = 10_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 SLOT_BITS = 20
-POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(CHUNK + 1)], dtype=np.uint64)
+POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(TOGETHER + 1)], dtype=np.uint64)
 
 
 @lru_cache(maxsize=2)
@@ -46,7 +48,7 @@ def pieces_of(path: str | None) -> dict[str, int]:
     model = vocabulary(path)
     plain = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
     named = ((model.id_to_piece(i), i) for i in plain)
-    return {p: i for p, i in named if p == p.lower() and SPACE not in p[1:] and p != SPACE and len(p) <= CHUNK}
+    return {p: i for p, i in named if p == p.lower() and SPACE not in p[1:] and p != SPACE and len(p) <= TOGETHER}
 
 
 def words_of(text: str) -> list[str]:
@@ -125,7 +127,7 @@ class PieceModel:
         return first
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Log probabilities (words x languages), summed over all segmentations of each word of at most CHUNK characters."""
+        """Log probabilities (words x languages), summed over all segmentations of each word of at most TOGETHER characters."""
         out = np.zeros((len(words), len(self.langs)))
         lengths = np.array([len(w) for w in words])
         for size in np.unique(lengths):
@@ -149,17 +151,40 @@ class PieceModel:
             out[at] = np.log(alpha[size]) + carried - size * np.log(LIFT)
         return out
 
+    def forward_alone(self, word: str) -> np.ndarray:
+        """The same of one word of any length, by language; it keeps the sums of the last characters only."""
+        codes = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+        widest, carried = min(self.longest, len(codes)), np.zeros(len(self.langs))
+        last = np.zeros((widest, len(self.langs)))  # sums that end k characters before
+        last[0] = 1.0
+        for start in range(0, len(codes), STRETCH):
+            ends = np.arange(start, min(start + STRETCH, len(codes)))
+            found = np.full((len(ends), widest), len(self.keys) - 1, dtype=np.int32)  # by end and length, the rows of pieces
+            h = np.zeros(len(ends), dtype=np.uint64)
+            for k in range(widest):
+                here = ends >= k
+                h[here] += codes[ends[here] - k] * POWERS[k]
+                found[here, k] = self.rows(h[here])
+            for rows in found:
+                total = (self.table[rows] * last).sum(axis=0) + last[0] * (UNKNOWN * LIFT)
+                last = np.vstack([total, last[:-1]])
+                low = total < SMALL
+                if low.any():
+                    last *= np.where(low, 1 / SMALL, 1.0)
+                    carried[low] += np.log(SMALL)
+        return np.log(last[0]) + carried - len(codes) * np.log(LIFT)
+
     def score_new(self, words: list[str]) -> None:
         """Adds what self.scores lacks of distinct words; starts anew when it has got large."""
         new = [w for w in words if w not in self.cached]
         if len(self.cached) + len(new) > KEPT_WORDS:
             self.cached, self.scores, new = {}, np.zeros((0, len(self.langs))), words
         if new:
-            parts = [(SPACE + w)[i : i + CHUNK] for w in new for i in range(0, len(w) + 1, CHUNK)]
-            owner = np.repeat(np.arange(len(new)), [len(w) // CHUNK + 1 for w in new])
-            total = self.forward(parts)
-            if len(parts) > len(new):
-                total = np.add.reduceat(total, np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+            whole, total = [SPACE + w for w in new], np.zeros((len(new), len(self.langs)))
+            short = np.array([len(w) <= TOGETHER for w in whole])
+            total[short] = self.forward([w for w, s in zip(whole, short, strict=True) if s])
+            for i in np.flatnonzero(~short).tolist():
+                total[i] = self.forward_alone(whole[i])
             start = len(self.scores)
             self.cached.update(zip(new, range(start, start + len(new)), strict=True))
             self.scores = np.vstack([self.scores, total])
@@ -204,7 +229,9 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
 def identify(docs: DataFrame, fitted: tuple, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score besides its columns (clashing ones are replaced).
 
-    score, 0 to 1, is the language's posterior under equal priors. Null texts and texts without a letter are und, 0.
+    score, 0 to 1, is the language's posterior under equal priors; of equal ones the first by name wins.
+    Null texts and texts without a letter are und, 0, and so is every text if no language was learned.
+    Texts and words are read whole, however long. Repeated rows give a row each; an empty table an empty one.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     docs = docs.select(names)

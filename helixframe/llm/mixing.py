@@ -115,11 +115,18 @@ def mix(docs: DataFrame, schedule: DataFrame | None = None, id_col: str = "doc_i
 
     A pass that takes half a document or more gives a row with its whole text, so each source's words
     are within half a document of its target. Documents without words are not taken.
-    Repeated rows with one id and one text are taken alike.
+    Each of several rows with one id, text and source has a place of its own in the plan; which of them
+    takes which place is open, as they differ at most in other columns. Null ids, sources and texts are
+    values like others. An empty table gives an empty one. Columns of docs keep their names and values.
     """
-    plan = plan_mix(docs, schedule, id_col, source_col, text_col, max_epochs).where("taken > 0")
+    plan = plan_mix(docs, schedule, id_col, source_col, text_col, max_epochs)
     whole = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    plan = plan.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.slice("positions", F.lit(1), whole).alias("__positions")).dropDuplicates(["__doc", "__version"])
-    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__version")))
-    rows = rows.withColumn("__position", F.explode("__positions"))
+    plan = plan.where("taken > 0").select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("source").alias("__source"), F.slice("positions", F.lit(1), whole).alias("__positions"))
+    own = ["__doc", "__version", "__source"]
+    plan = materialize(plan.groupBy(*own).agg(F.sort_array(F.collect_list("__positions")).alias("__places")))
+    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__version")) & F.col(source_col).eqNullSafe(F.col("__source"))
+    rows = docs.join(plan, same).withColumn("__nth", F.lit(1))
+    if plan.where(F.size("__places") > 1).limit(1).count():  # repeated rows
+        rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0))))
+    rows = rows.withColumn("__position", F.explode(F.try_element_at("__places", F.col("__nth"))))
     return rows.repartitionByRange("__position").sortWithinPartitions("__position").select(docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import materialize, slices
+from helixframe.llm.common import join_hot, materialize, slices
 
 ORDER = 4
 #: Before a text's first character.
@@ -108,11 +108,11 @@ def context() -> Column:
 
 
 def discounts(grams: DataFrame) -> DataFrame:
-    """(model, d1, d2, d3) of one order, from its counts of counts."""
+    """(model, grams, d1, d2, d3) of one order, from its counts of counts."""
     of = [F.count_if(F.col("n") == k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
     y = F.coalesce(F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2")), F.lit(0.5))
     d = lambda k: F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}")), F.lit(k - 0.5)))).alias(f"d{k}")
-    return grams.groupBy("model").agg(*of).select("model", d(1), d(2), d(3))
+    return grams.groupBy("model").agg(*of, F.count(F.lit(1)).alias("grams")).select("model", "grams", d(1), d(2), d(3))
 
 
 def train(docs: DataFrame, model: Column, text_col: str) -> dict:
@@ -124,10 +124,10 @@ def train(docs: DataFrame, model: Column, text_col: str) -> dict:
     tables: dict = {ORDER: materialize(count_grams(docs, model, text_col))}
     for n in range(ORDER - 1, 0, -1):
         tables[n] = materialize(tables[n + 1].groupBy("model", suffix(n + 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")).select("model", F.lit(0).cast("long").alias("first"), "gram", "n"))
-    tables["characters"] = tables[1].groupBy("model").agg((F.count(F.lit(1)) + 1).alias("characters"))
+    tables["characters"] = materialize(tables[1].groupBy("model").agg((F.count(F.lit(1)) + 1).alias("characters")))
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     for n in range(1, ORDER + 1):
-        rows = tables[n].join(discounts(tables[n]), "model").withColumn("cut", cut).withColumn("context", context())
+        rows = join_hot(tables[n], materialize(discounts(tables[n])), ["model"], "grams", ["gram"]).withColumn("cut", cut).withColumn("context", context())
         contexts = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spared"))
         contexts = materialize(contexts.select("model", "context", "total", (F.col("spared") / F.col("total")).alias("gamma")))
         tables["gamma", n] = contexts.select("model", "context", "gamma")
@@ -143,11 +143,14 @@ def priced(wanted: DataFrame, tables: dict) -> DataFrame:
     by_order = {ORDER: wanted}
     for n in range(ORDER - 1, 0, -1):
         by_order[n] = by_order[n + 1].select("model", F.lit(0).cast("long").alias("first"), suffix(n + 1).alias("gram")).distinct()
-    known = tables["characters"].select("model", (1 / F.col("characters")).alias("lower"))
+    known = tables["characters"]
     p = F.coalesce("part", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.coalesce("lower", F.lit(1 / ALL_CHARACTERS))
     for n in range(1, ORDER + 1):
         rows = by_order[n].withColumn("context", context()).withColumn("suffix", suffix(n))
-        rows = rows.join(known, ["model"] if n == 1 else ["model", "suffix"], "left")
+        if n == 1:
+            rows = join_hot(rows, known, ["model"], "characters", ["gram"], "left").withColumn("lower", 1 / F.col("characters"))
+        else:
+            rows = rows.join(known, ["model", "suffix"], "left")
         rows = rows.join(tables["part", n], ["model", "first", "gram"], "left").join(tables["gamma", n], ["model", "context"], "left")
         rows = materialize(rows.select("model", "first", "gram", p.alias("p")))
         known = rows.select("model", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
@@ -250,7 +253,7 @@ def measure(rows: DataFrame, prices: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(measure_block, schema)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", width: float = 10.0, least_spread: float = 0.05, short: int = 300, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", width: float = 3.5, least_spread: float = 0.05, short: int = 300, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """One row per row of docs: doc, lang, the counts, n_chars, bits_per_char, low, high, base_failed, kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent % of them in repeated
@@ -260,7 +263,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     A hash deals the texts out to two halves, copies to the same one, and each half is scored by the
     model of the other, so that no text is known from itself; all documents set the bands. Where the
     other half has no text of a language, all characters cost the same. Null texts are empty and fail;
-    null languages are one language. Repeated rows give a row each.
+    null languages are one language, and an empty text fails. Repeated rows give a row each; texts are
+    read whole, however long; an empty table gives an empty one. Other columns of docs are not read.
     """
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
     fold = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(2)).cast("string")
@@ -269,11 +273,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     other = F.overlay("model", F.translate(F.substring("model", 1, 1), "01", "10"), F.lit(1))
     prices = materialize(priced(tables[ORDER].select(other.alias("model"), "first", "gram"), tables))
     rows = materialize(measure(texts.withColumn("model", other), prices)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
-    middle = rows.where(F.col("n_chars") > 0).groupBy("lang").agg(F.percentile_approx("bits_per_char", 0.5, 10000).alias("middle"))
-    off = rows.where(F.col("n_chars") > 0).join(middle, "lang").withColumn("off", F.abs(F.col("bits_per_char") - F.col("middle")))
-    bands = off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("spread"))
+    full = rows.where(F.col("n_chars") > 0)
+    middle = materialize(full.groupBy("lang").agg(F.percentile_approx("bits_per_char", 0.5, 10000).alias("middle"), F.count(F.lit(1)).alias("docs")))
+    off = join_hot(full, middle, ["lang"], "docs", ["doc"]).withColumn("off", F.abs(F.col("bits_per_char") - F.col("middle")))
+    bands = materialize(off.groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx("off", 0.5, 10000).alias("spread"), F.count(F.lit(1)).alias("docs")))
     wide = width * F.greatest(F.col("spread"), F.lit(least_spread)) * F.sqrt(1 + short / F.greatest(F.col("n_chars"), F.lit(1)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    banded = rows.join(bands, "lang", "left").withColumn("low", F.col("middle") - wide).withColumn("high", F.col("middle") + wide).withColumn("base_failed", failed)
+    banded = join_hot(rows, bands, ["lang"], "docs", ["doc"], "left").withColumn("low", F.col("middle") - wide).withColumn("high", F.col("middle") + wide).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits_per_char").between(F.col("low"), F.col("high")), F.lit(False))
     return banded.withColumn("kept", kept).select("doc", "lang", *BASE_FIELDS, "n_chars", "bits_per_char", "low", "high", "base_failed", "kept")

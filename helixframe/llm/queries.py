@@ -46,9 +46,9 @@ FROM placed
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of at least 120 characters in chunks of 12 to 80 that a document with a smaller id has, too."""
+    """Spans of at least 120 characters in chunks of 12 to 80 that stand before in the corpus, in pieces with one source each."""
     found = substrings.repeated_spans(table(spark, sf_dir, "documents"), least=12, bits=4, most=80, min_chars=120)
-    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_chunks", F.col("kept_doc").alias("kept_doc_id"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_chunks", F.col("kept_doc").alias("kept_doc_id"), "kept_start", "span_start", "span_end")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +91,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An owner is a source, a repository a source and language; values of at most 2 owners look live."""
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo_cols=["source", "lang"], owner_col="source", max_owners=2)
+    """An owner is a source, a repository a source and language; values of at most 2 owners and 3 repositories look live."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), repo_cols=["source", "lang"], owner_col="source", max_owners=2, max_repos=3)
     base = F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256")
-    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("found")).alias("spans"), "n_further", "n_copied")
+    return found.select(F.col("doc").alias("doc_id"), "n_assign", "n_access", "n_hex", base, secrets.spelled(F.col("found")).alias("spans"), "n_further", "n_live", "n_copied")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of 10 median deviations about each language's median bits per character."""
+    """Bands of 3.5 median deviations about each language's median bits per character."""
     judged = quality.judge(table(spark, sf_dir, "documents"))
     bits = F.round("bits_per_char", 4).alias("bits_per_char")
     return judged.select(F.col("doc").alias("doc_id"), *quality.BASE_FIELDS, "base_failed", "kept", bits)

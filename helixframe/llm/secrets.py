@@ -2,8 +2,8 @@
 
 A scan finds candidates in each text: base kinds, which always count, and further kinds that also hit
 harmless strings. Hashes of the candidates are counted over the corpus by distinct owners and
-repositories. A further candidate that many owners have is a copied example; one that a few owners
-have looks live, and its span is added to the document's.
+repositories. A further candidate that many owners or many repositories have is a copied example; one
+that belongs to a few of both looks live, and its span is added to the document's.
 """
 
 import hashlib
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import materialize, slices
+from helixframe.llm.common import join_hot, materialize, slices
 
 # Fixed patterns. Base kinds: name, pattern, group, least length; matches that are too short are dropped after matching.
 BASE = (
@@ -70,29 +70,33 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_docs"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: list[str] | None = None, owner_col: str = "source", max_owners: int = 2) -> DataFrame:
-    """One row per row of docs: doc, n_assign, n_access, n_hex, n_further, n_copied, base, found.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: list[str] | None = None, owner_col: str = "source", max_owners: int = 2, max_repos: int = 3) -> DataFrame:
+    """One row per row of docs: doc, n_assign, n_access, n_hex, n_further, n_live, n_copied, base, found.
 
-    base and found are arrays of (start, kind, end, n_owners, live) by start, then kind: the base spans,
-    and those with the further spans whose value at most max_owners owners have. live says this of
-    base spans, too; n_copied counts base spans that are not live and further ones left out.
-    Null and empty texts have no spans. A null owner is one owner. Repeated rows give a row each.
+    A value is live if at most max_owners owners and at most max_repos repositories have it; a value
+    within one owner that many of its repositories copy is an example, too. base and found are arrays
+    of (start, kind, end, name, n_owners, n_repos, live) by start, then kind: the base spans, and
+    those with the further spans that are live. n_live counts the live spans of found, n_copied base spans
+    that are not and further ones left out. Null and empty texts have no spans; whole texts are read,
+    however long. A null owner is one owner. Repeated rows give a row each, but count once for their
+    repository. An empty table gives an empty one; other columns of docs are not read.
     """
     scanned = materialize(scan(docs, id_col, text_col, repo_cols or [owner_col], owner_col).withColumn("row", F.monotonically_increasing_id()))
     spans = scanned.select("row", "repo", "owner", F.explode("spans").alias("s")).select("row", "repo", "owner", "s.*")
-    counts = ownership(spans.select("value", "repo", "owner"))
-    judged = spans.join(counts, "value").withColumn("live", F.col("n_owners") <= max_owners)
+    counts = materialize(ownership(spans.select("value", "repo", "owner")))
+    judged = join_hot(spans, counts, ["value"], "n_docs", ["row", "start"]).withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     base, names = F.col("kind") < len(BASE), F.array(*[F.lit(k) for k in KINDS])
-    span = F.struct("start", "kind", "end", F.element_at(names, F.col("kind") + 1).alias("name"), "n_owners", "live")
+    span = F.struct("start", "kind", "end", F.element_at(names, F.col("kind") + 1).alias("name"), "n_owners", "n_repos", "live")
     by_row = judged.groupBy("row").agg(
         *[F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(KINDS[: len(BASE)])],
         F.count_if(~base & F.col("live")).alias("n_further"),
+        F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
         F.sort_array(F.collect_list(F.when(base, span))).alias("base"),
         F.sort_array(F.collect_list(F.when(base | F.col("live"), span))).alias("found"),
     )
     joined = scanned.select("row", "doc").join(by_row, "row", "left")
-    counted = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*(f"n_{k}" for k in KINDS[: len(BASE)]), "n_further", "n_copied")]
+    counted = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*(f"n_{k}" for k in KINDS[: len(BASE)]), "n_further", "n_live", "n_copied")]
     none = F.array().cast(by_row.schema["found"].dataType)
     return joined.select("doc", *counted, F.coalesce("base", none).alias("base"), F.coalesce("found", none).alias("found"))
 
