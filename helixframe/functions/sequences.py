@@ -1,7 +1,10 @@
-"""Column expressions over bases and qualities; all stay in the JVM."""
+"""Column expressions over bases and qualities. All stay in the JVM but sums of qualities, which Arrow hands over as buffers."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 BASES = ("A", "C", "G", "T", "N")
 PHRED = 33
@@ -21,11 +24,24 @@ def phred(character: Column) -> Column:
     return F.ascii(character) - PHRED
 
 
+@F.arrow_udf(LongType())
+def byte_sum(texts: pa.Array) -> pa.Array:
+    """Sum of the bytes of each string; null for null."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    upto = np.concatenate([[0], np.cumsum(np.frombuffer(data, dtype=np.uint8, count=ends[-1]), dtype=np.int64)]) if ends[-1] else np.zeros(1, dtype=np.int64)
+    return pa.array(upto[ends[1:]] - upto[ends[:-1]], mask=np.array(texts.is_null()))
+
+
+def phred_total(qual) -> Column:
+    """Sum of the Phred scores of a string."""
+    return byte_sum(col(qual)) - PHRED * F.length(col(qual))
+
+
 def mean_quality(qual) -> Column:
     """Mean Phred score; 0 for an empty string."""
-    qual = col(qual)
-    total = F.aggregate(F.split(qual, ""), F.lit(0), lambda s, c: s + phred(c))
-    return F.when(F.length(qual) == 0, F.lit(0.0)).otherwise(total / F.length(qual))
+    return F.coalesce(F.try_divide(phred_total(qual).cast("double"), F.length(col(qual)).cast("double")), F.when(col(qual).isNotNull(), 0.0))
 
 
 def mean_quality_region(qual, start, length) -> Column:
@@ -35,8 +51,7 @@ def mean_quality_region(qual, start, length) -> Column:
 
 def quality_ok(qual, least: int) -> Column:
     """Mean Phred of at least `least`, inclusive; an empty string fails."""
-    qual = col(qual)
-    return (F.length(qual) > 0) & (mean_quality(qual) >= least)
+    return (F.length(col(qual)) > 0) & (phred_total(qual) >= least * F.length(col(qual)))
 
 
 def hamming(a, b) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import hamming, neighbours, segments
+from helixframe.operators.graph import checkpointed
 
 
 def match_exact(barcodes: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -27,43 +28,71 @@ def nearest(barcodes: DataFrame, whitelist: DataFrame, max_distance: int) -> Dat
     """(barcode, distance, n, original): the least distance up to max_distance to the whitelist and how many have it."""
     parts = max_distance + 1
     cut = lambda df, c, name: df.select(F.col(c).alias(name), F.length(c).alias("len"), F.explode(segments(c, parts)).alias("s")).select(name, "len", "s.part", "s.text")
-    near = cut(barcodes, "barcode", "barcode").join(cut(whitelist, "barcode", "original"), ["len", "part", "text"]).select("barcode", "original").distinct()
+    near = cut(barcodes, "barcode", "barcode").join(cut(whitelist.distinct(), "barcode", "original"), ["len", "part", "text"]).select("barcode", "original").distinct()
     near = near.withColumn("distance", hamming("barcode", "original")).where(F.col("distance") <= max_distance)
     ranked = near.groupBy("barcode", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original"))
     return ranked.groupBy("barcode").agg(F.min(F.struct("distance", "n", "original")).alias("best")).select("barcode", "best.*")
 
 
+def lookup(whitelist: DataFrame, by: tuple = ()) -> DataFrame:
+    """(*by, key, exact, n, original): every whitelist entry and every sequence one substitution from some, n of them; one row a key of each by."""
+    wl = whitelist.select(*by, F.col("barcode").alias("original")).distinct()
+    own = F.array(F.struct(F.col("original").alias("key"), F.lit(True).alias("exact")))
+    near = F.transform(neighbours("original"), lambda s: F.struct(s.alias("key"), F.lit(False).alias("exact")))
+    spread = wl.select(*by, "original", F.explode(F.concat(own, near)).alias("k")).select(*by, "original", "k.*")
+    return spread.groupBy(*by, "key").agg(F.bool_or("exact").alias("exact"), F.count_if(~F.col("exact")).alias("n"), F.min(F.when(~F.col("exact"), F.col("original"))).alias("original"))
+
+
+def judged(rows: DataFrame, table: DataFrame, max_distance: int, by: tuple = ()) -> DataFrame:
+    """rows with status, corrected, distance and open: whether the barcode is neither listed nor a variant. One left join."""
+    known = (table if max_distance else table.where("exact")).withColumnsRenamed({c: f"__{c}" for c in by})
+    joined = rows.join(known, [F.col("barcode") == F.col("key"), *[F.col(c) == F.col(f"__{c}") for c in by]], "left")
+    exact = F.coalesce(F.col("exact"), F.lit(False))
+    one = F.coalesce(~exact & (F.col("n") == 1), F.lit(False))
+    added = {
+        "status": F.when(F.col("barcode").isNull(), F.lit(None)).when(exact, "exact").when(one, "corrected").otherwise("no_match"),
+        "corrected": F.when(exact, F.col("key")).when(one, F.col("original")),
+        "distance": F.when(F.col("barcode").isNotNull(), one.cast("int")),
+        "open": F.col("barcode").isNotNull() & F.col("key").isNull(),
+    }
+    return joined.withColumns(added).select(*rows.columns, *added)
+
+
 def correct(barcodes: DataFrame, whitelist: DataFrame, max_distance: int = 1) -> DataFrame:
     """(barcode, status, corrected, distance) of each distinct barcode; status exact, corrected or no_match.
 
     Exact matches come first. A one-mismatch variant of one whitelist entry is corrected to it; of
     several, it has no match, whatever the distance allowed. Only barcodes that are no such variant go
-    on to the nearest entry within max_distance, which must be the only one at its distance.
+    on to the nearest entry within max_distance, which must be the only one at its distance. The
+    barcodes are read once: beyond distance 1, the distinct ones are written before the second search.
     """
-    wl = whitelist.select("barcode").distinct()
-    seen = match_exact(barcodes.where("barcode is not null"), wl)
-    exact = seen.where("status = 'exact'").select("barcode", "status", F.col("barcode").alias("corrected"), F.lit(0).alias("distance"))
-    rest = seen.where("status <> 'exact'").select("barcode")
-    none = (F.lit("no_match").alias("status"), F.lit(None).cast("string").alias("corrected"), F.lit(0).alias("distance"))
-    if max_distance == 0:
-        return exact.unionByName(rest.select("barcode", *none))
-    one = rest.join(mismatch_index(wl), F.col("barcode") == F.col("variant"), "left")
-    unique = F.col("n") == 1
-    status = lambda ok: F.when(ok, "corrected").otherwise("no_match").alias("status")
-    indexed = one.where("n is not null").select("barcode", status(unique), F.when(unique, F.col("original")).alias("corrected"), F.when(unique, 1).otherwise(0).alias("distance"))
-    left = one.where("n is null").select("barcode")
-    if max_distance == 1:
-        return exact.unionByName(indexed).unionByName(left.select("barcode", *none))
-    far = left.join(nearest(left, wl, max_distance), "barcode", "left")
-    alone = F.coalesce(F.col("n") == 1, F.lit(False))
-    found = far.select("barcode", status(alone), F.when(alone, F.col("original")).alias("corrected"), F.when(alone, F.col("distance")).otherwise(0).alias("distance"))
-    return exact.unionByName(indexed).unionByName(found)
+    wl = whitelist.select("barcode")
+    seen = barcodes.select("barcode").distinct()
+    if max_distance <= 1:
+        return judged(seen.where("barcode is not null"), lookup(wl), max_distance).drop("open")
+    first = checkpointed(judged(checkpointed(seen).where("barcode is not null"), lookup(wl), max_distance))
+    far = nearest(first.where("open").select("barcode"), wl, max_distance).where("n = 1").select("barcode", F.col("distance").alias("far"), F.col("original").alias("found"))
+    return with_far(first, far)
+
+
+def with_far(rows: DataFrame, far: DataFrame) -> DataFrame:
+    """rows of judged() with the only nearest entries (barcode, far, found) put in."""
+    joined, hit = rows.join(far, "barcode", "left"), F.col("far").isNotNull()
+    added = {"status": F.when(hit, "corrected").otherwise(F.col("status")), "corrected": F.coalesce("found", "corrected"), "distance": F.coalesce("far", "distance")}
+    return joined.withColumns(added).drop("open", "far", "found")
 
 
 def correct_reads(reads: DataFrame, whitelist: DataFrame, max_distance: int = 1) -> DataFrame:
-    """Adds status, cell (the corrected barcode or null) and distance to each read; null barcodes stay null."""
-    fixed = correct(reads.select("barcode"), whitelist, max_distance).select(F.col("barcode").alias("seen"), "status", F.col("corrected").alias("cell"), "distance")
-    return reads.join(fixed, F.col("barcode") == F.col("seen"), "left").drop("seen")
+    """Adds status, cell (the corrected barcode or null) and distance to each read; null barcodes stay null.
+
+    Within distance 1 the reads meet the lookup table in one join, without a pass for distinct barcodes.
+    """
+    first = judged(reads, lookup(whitelist.select("barcode")), max_distance)
+    if max_distance <= 1:
+        return first.drop("open").withColumnRenamed("corrected", "cell")
+    left = checkpointed(first.where("open").select("barcode").distinct())
+    far = nearest(left, whitelist.select("barcode").distinct(), max_distance).where("n = 1").select("barcode", F.col("distance").alias("far"), F.col("original").alias("found"))
+    return with_far(first, far).select(*reads.columns, "status", F.col("corrected").alias("cell"), "distance")
 
 
 def check_lengths(whitelist: DataFrame) -> DataFrame:

@@ -1,57 +1,97 @@
-"""Connected components and label propagation over edge tables."""
+"""Cutting lineage, running totals, connected components and label propagation."""
 
 import tempfile
+import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder; a temporary one only where none is set."""
+    """Cuts lineage in the cluster's checkpoint folder; a local session that has none gets a temporary one."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not known and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds name: the sum of value over all rows before, in the order of distinct keys; 0 for the first.
+
+    Two levels, so that no task orders all rows: ranges of the order, whose sums give each its start,
+    and a running sum inside each. What is broadcast is a row for each range.
+    """
+    placed = checkpointed(df.withColumn("__value", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part").agg(F.sum("__value").alias("__sum"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("__part", before("__sum", Window.orderBy("__part")).alias("__start"))
+    inside = placed.withColumn(name, before("__value", Window.partitionBy("__part").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col(name)).cast("long")).drop("__value", "__part", "__start")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds name: numbers from 0 in the order of distinct keys."""
+    return running_total(df, order, F.lit(1), name)
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Ties each larger neighbour of a node to the least of the node and its neighbours."""
+    ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    least = ways.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    return ways.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Ties a node and its smaller neighbours to the least of them."""
+    down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    least = down.groupBy("src").agg(F.min("dst").alias("m"))
+    tied = down.join(least, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e"))
+    return tied.select("e.src", "e.dst").where("src <> dst").distinct()
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the least node reachable by edges (src, dst) in either direction.
 
-    Each round takes the least label among a node's neighbours and then the label of that label, so
-    chains halve.
+    Rounds of large and small stars over the edges alone, until they are stars about the least nodes;
+    nodes without edges are not in them. A chain of n takes about log n rounds.
     """
-    ways = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")).distinct())
+    state, before = checkpointed(edges.where("src <> dst").select("src", "dst").distinct()), None
     for _ in range(most_rounds):
-        near = ways.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("src"), "left").select("node", "label", F.least("label", "near").alias("new"))
-        jump = lower.select(F.col("node").alias("at"), F.col("new").alias("jumped"))
-        after = checkpointed(lower.join(jump, F.col("new") == F.col("at"), "left").select("node", "label", F.least("new", "jumped").alias("new")))
-        changed = after.where("label <> new").limit(1).count()
-        labels = after.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
+        state = checkpointed(small_star(large_star(state)))
+        mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if mark == before:
+            found = state.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+            return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        before = mark
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
-def label_propagation(spark: SparkSession, nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, most_rounds: int = 20) -> DataFrame:
+def label_propagation(spark: SparkSession, nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, most_rounds: int = 100) -> DataFrame:
     """(node, label): each node takes the label with the largest sum of resolution / (dist + 1e-10) over its edges (src, dst, dist).
 
-    All nodes vote at once, from their own label too with a slight weight against oscillation; ties go
-    to the smallest label. Labels are then numbered by first appearance in the order of nodes.
+    In each round all nodes vote and three quarters, drawn by hash anew each round, take the winner, so
+    that neighbours do not swap labels for ever; a node after the other, as a single process does it,
+    would be one task. It ends when no node would change; where that takes more than most_rounds, a
+    warning says so. Ties go to the smallest label; nodes without edges keep theirs. Labels are then
+    numbered by first appearance in the order of nodes.
     """
     near = checkpointed(edges.select("src", "dst", (resolution / (F.col("dist") + 1e-10)).alias("w")))
     labels = checkpointed(nodes.select("node", F.col("node").alias("label")).distinct())
-    for _ in range(most_rounds):
-        votes = near.join(labels, F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "label", "w")
-        own = votes.groupBy("node").agg((F.min("w") * 0.5).alias("w")).join(labels, "node").select("node", "label", "w")
-        sums = votes.unionByName(own).groupBy("node", "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = sums.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
-        after = checkpointed(labels.join(best, "node", "left").select("node", "label", F.coalesce("new", "label").alias("new")))
+    for number in range(most_rounds):
+        votes = near.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "label").agg(F.round(F.sum("w"), 9).alias("w"))
+        best = votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
+        turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(4)) > 0
+        after = labels.join(best, "node", "left").select("node", "label", F.coalesce("new", "label").alias("new"))
+        after = checkpointed(after.select("node", "label", "new", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("next")))
         changed = after.where("label <> new").limit(1).count()
-        labels = after.select("node", F.col("new").alias("label"))
+        labels = after.select("node", F.col("next").alias("label"))
         if not changed:
             break
+    else:
+        warnings.warn(f"labels have not settled in {most_rounds} rounds", stacklevel=2)
     return renumbered(labels)
 
 

@@ -1,8 +1,10 @@
 """Count matrices as a long table (gene, barcode, n) with dimensions of genes and cells."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import numbered, running_total
+
 
 def count(rows: DataFrame) -> DataFrame:
     """Rows of (gene, barcode) summed up."""
@@ -14,8 +16,9 @@ def add(counts: DataFrame) -> DataFrame:
     return counts.groupBy("gene", "barcode").agg(F.sum("n").alias("n"))
 
 
-def merge(parts: list[DataFrame]) -> DataFrame:
-    """Sum of the matrices of several shards; at least one."""
+def merge(parts: list[DataFrame | None]) -> DataFrame:
+    """Sum of the matrices of several shards; those that are missing (None) are left out, at least one must be there."""
+    parts = [p for p in parts if p is not None]
     if not parts:
         raise ValueError("there is nothing to merge")
     union = parts[0]
@@ -30,8 +33,8 @@ def last_wins(entries: DataFrame) -> DataFrame:
 
 
 def indexed(names: DataFrame, name: str, index: str) -> DataFrame:
-    """(name, index) numbered from 0 in sorted order; dimensions are small next to the entries."""
-    return names.select(name).distinct().select(name, (F.row_number().over(Window.orderBy(name)) - 1).cast("long").alias(index))
+    """(name, index) numbered from 0 in sorted order, by ranges, so that no task orders all names."""
+    return numbered(names.select(name).distinct(), [name], index)
 
 
 def genes(counts: DataFrame) -> DataFrame:
@@ -82,11 +85,12 @@ def value_at(counts: DataFrame, gene: str, barcode: str) -> DataFrame:
 
 
 def csr(indexed_counts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(gene_idx, start, cells, values) for each row of the dimension rows(gene_idx); start is the running sum of entries."""
+    """(gene_idx, start, cells, values) for each row of the dimension rows(gene_idx); start is the running sum of entries, over sizes alone."""
+    sizes = indexed_counts.groupBy("gene_idx").agg(F.count(F.lit(1)).alias("size"))
+    starts = running_total(rows.select("gene_idx").join(sizes, "gene_idx", "left"), ["gene_idx"], F.coalesce("size", F.lit(0)), "start")
     packed = indexed_counts.groupBy("gene_idx").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "n"))).alias("entries"))
-    full = rows.select("gene_idx").join(packed, "gene_idx", "left").withColumn("entries", F.coalesce("entries", F.array().cast(packed.schema["entries"].dataType)))
-    before = F.sum(F.size("entries")).over(Window.orderBy("gene_idx").rowsBetween(Window.unboundedPreceding, -1))
-    return full.select("gene_idx", F.coalesce(before, F.lit(0)).cast("long").alias("start"), F.col("entries.cell_idx").alias("cells"), F.col("entries.n").alias("values"))
+    full = starts.join(packed, "gene_idx", "left").withColumn("entries", F.coalesce("entries", F.array().cast(packed.schema["entries"].dataType)))
+    return full.select("gene_idx", "start", F.col("entries.cell_idx").alias("cells"), F.col("entries.n").alias("values"))
 
 
 def from_dense(dense: DataFrame) -> DataFrame:

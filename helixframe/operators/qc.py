@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import is_mito, ratio
+from helixframe.operators.graph import numbered
 
 # Thresholds of the warnings.
 MIN_VALIDITY, MIN_MAPPING, MIN_SATURATION, MIN_MEDIAN_GENES = 0.5, 0.5, 0.3, 200
@@ -19,27 +20,22 @@ def cell_metrics(counts: DataFrame, known: DataFrame | None = None) -> DataFrame
     return sums.select("barcode", "n_genes", "total", F.round(100 * ratio("mito", "total"), 6).alias("mito_percent"))
 
 
-def upper_median(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the value at place floor(n / 2) from 0 in ascending order, 0 for no rows.
+def upper_median(column: str) -> Column:
+    """The value at place floor(n / 2) from 0 in ascending order; 0 for no rows.
 
-    Values are counted first, so the order is over distinct values only.
+    Spark counts the distinct values of each task and merges the counts, so no task orders all rows.
     """
-    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))
-    half = F.floor(F.sum("c").over(Window.partitionBy(F.lit(1))) / 2)
-    return counted.withColumn("upto", upto).withColumn("half", half).where("upto > half").agg(F.coalesce(F.min("v"), F.lit(0)).alias(f"median_{column}"))
+    return F.coalesce(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)"), F.lit(0))
 
 
 def summary(cells: DataFrame, columns: tuple = ("n_genes", "total")) -> DataFrame:
     """One row: the number of cells, means, upper medians, and medians truncated to integers."""
-    row = cells.agg(
+    return cells.agg(
         F.count(F.lit(1)).alias("n_cells"),
         *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in columns],
         *[F.coalesce(F.median(c).cast("long"), F.lit(0)).alias(f"int_median_{c}") for c in columns],
+        *[upper_median(c).cast("long").alias(f"median_{c}") for c in columns],
     )
-    for c in columns:
-        row = row.crossJoin(F.broadcast(upper_median(cells, c)))  # one row each
-    return row
 
 
 def rates(metrics: DataFrame) -> DataFrame:
@@ -95,22 +91,40 @@ def filter_genes(counts: DataFrame, min_cells: int = 3) -> DataFrame:
 def knee(cells: DataFrame, column: str = "total") -> DataFrame:
     """Adds rank from 1 by decreasing counts, ties by barcode.
 
-    Ranks come from counts of the distinct values and a number among equals, so no task orders all cells.
+    Cells are numbered by ranges, so no task orders all of them.
     """
-    counted = cells.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-    above = F.coalesce(F.sum("c").over(Window.orderBy(F.col(column).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.row_number().over(Window.partitionBy(column).orderBy("barcode"))
-    joined = cells.withColumn("number", number).join(counted.select(column, above.alias("above")), column)
-    return joined.select("barcode", column, (F.col("above") + F.col("number")).alias("rank"))
+    ranked = numbered(cells.select("barcode", column, (-F.col(column)).alias("__down")), ["__down", "barcode"], "rank")
+    return ranked.select("barcode", column, (F.col("rank") + 1).alias("rank"))
 
 
 def cluster_stats(cells: DataFrame) -> DataFrame:
     """(cluster, n_cells, percent, median_genes, median_total) with upper medians."""
-    at = lambda c: F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int"))
-    sizes = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cells"), at("n_genes").alias("median_genes"), at("total").alias("median_total"))
+    sizes = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cells"), upper_median("n_genes").cast("long").alias("median_genes"), upper_median("total").cast("long").alias("median_total"))
     return sizes.withColumn("percent", F.round(100 * F.col("n_cells") / F.sum("n_cells").over(Window.partitionBy(F.lit(1))), 6))
 
 
+def of_clusters(cells: DataFrame, wanted: list | None) -> DataFrame:
+    """Cells of the clusters asked for; all where none is named."""
+    return cells.where(F.col("cluster").isin(*wanted)) if wanted else cells
+
+
+def long_metrics(cells: DataFrame, keys: tuple = ("n_genes", "total", "mito_percent")) -> DataFrame:
+    """(barcode, metric, value) of those keys that the table has: the rows behind a violin plot."""
+    have = [k for k in keys if k in cells.columns]
+    if not have:
+        raise ValueError(f"the cells have none of {', '.join(keys)}")
+    return cells.select("barcode", *[F.col(k).cast("double").alias(k) for k in have]).unpivot("barcode", have, "metric", "value")
+
+
+def web_report(job_id: str, counters: DataFrame, cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row of the nine keys of a job's report, from extraction_counters(), cell_metrics() and the counts."""
+    row = counters.select(F.lit(job_id).alias("job_id"), "total_reads", "valid_barcodes", "corrected_barcodes", (F.col("total_reads") - F.col("valid_barcodes")).alias("invalid_barcodes"))
+    sizes = cells.agg(F.count(F.lit(1)).alias("cells"), upper_median("n_genes").cast("long").alias("median_genes_per_cell"), upper_median("total").cast("long").alias("median_umis_per_cell"))
+    genes = counts.agg(F.count_distinct("gene").alias("genes"))
+    joined = row.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(genes))  # one row each
+    return joined.select("job_id", "total_reads", "valid_barcodes", "corrected_barcodes", "invalid_barcodes", "cells", "genes", "median_genes_per_cell", "median_umis_per_cell")
+
+
 def histogram(cells: DataFrame, column: str, width: int) -> DataFrame:
     """(bucket, n): cells in each range of width, by its lower end."""
     return cells.groupBy((F.floor(F.col(column) / width) * width).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

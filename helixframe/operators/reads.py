@@ -28,9 +28,21 @@ def components(layout: Protocol, seq="seq", qual="qual", sample: str = "sample")
     return {name: F.when(long_enough, part) for name, part in parts.items()}
 
 
-def extract(reads: DataFrame, protocol_name: str = "10x-3prime-v3", sample: str = "sample") -> DataFrame:
-    """Adds the parts of each read. Too short reads stay, with nulls."""
-    return reads.withColumns(components(protocol(protocol_name), sample=sample))
+def extract(reads: DataFrame, layout: str | Protocol = "10x-3prime-v3", sample: str = "sample") -> DataFrame:
+    """Adds the parts of each read, by a protocol's name or a layout of one's own. Too short reads stay, with nulls."""
+    return reads.withColumns(components(layout if isinstance(layout, Protocol) else protocol(layout), sample=sample))
+
+
+def extract_each(reads: DataFrame, layouts: list[Protocol]) -> DataFrame:
+    """Each read by each layout that it is long enough for, with the layout's name as protocol; the reads are read once."""
+    parts = [F.struct(F.lit(p.name).alias("protocol"), *[c.alias(name) for name, c in components(p).items()]) for p in layouts]
+    each = reads.select(*reads.columns, F.explode(F.array(*parts)).alias("__parts"))
+    return each.select(*reads.columns, "__parts.*").where(F.col("cdna").isNotNull())
+
+
+def map_records(reads: DataFrame, function, schema: str) -> DataFrame:
+    """Any function over records: it gets an iterator of Arrow batches and yields batches of the schema; partitions run in parallel."""
+    return reads.mapInArrow(function, schema)
 
 
 def long_enough(reads: DataFrame, protocol_name: str) -> DataFrame:
@@ -83,6 +95,14 @@ def extraction_counters(matched: DataFrame) -> DataFrame:
     return rows.withColumn("valid_percent", percent("valid_barcodes")).withColumn("corrected_percent", percent("corrected_barcodes"))
 
 
+def count_counters(alignments: DataFrame, min_mapq: int = 30) -> DataFrame:
+    """One row: alignments in all, and those that count: mapped well, with a cell and a gene."""
+    gene = F.coalesce("gene_name", "gene_id")
+    assigned = F.col("is_mapped") & (F.col("mapq") >= min_mapq) & F.col("cell_barcode").isNotNull() & gene.isNotNull()
+    rows = alignments.agg(F.count(F.lit(1)).alias("total_reads"), F.count_if(F.coalesce(assigned, F.lit(False))).alias("assigned_reads"))
+    return rows.withColumn("assigned_percent", F.round(100.0 * F.col("assigned_reads") / F.greatest("total_reads", F.lit(1)), 6))
+
+
 def pair(r1: DataFrame, r2: DataFrame) -> DataFrame:
     """R1 and R2 by record number; fails when one has records that the other lacks."""
     a = r1.select("rec_no", *[F.col(c).alias(f"r1_{c}") for c in ("id", "seq", "qual")])

@@ -1,9 +1,10 @@
 """Scores of results against a truth: confusion, correlation, clustering, concordance, pass or fail."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import choose_two, ratio
+from helixframe.operators.graph import running_total
 
 # Thresholds of the stages.
 F1_AT_LEAST, PEARSON_AT_LEAST, ARI_AT_LEAST = 0.95, 0.90, 0.70
@@ -75,8 +76,8 @@ def correlation(pairs: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
 def average_ranks(pairs: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the rank of a column, ties sharing their average; over distinct values only."""
     counted = pairs.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    below = F.coalesce(F.sum("__c").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.select("__v", (below + (F.col("__c") + 1) / 2).alias(name))
+    below = running_total(counted, ["__v"], F.col("__c"), "__below")
+    ranks = below.select("__v", (F.col("__below") + (F.col("__c") + 1) / 2).alias(name))
     return pairs.join(ranks, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
 
@@ -98,8 +99,8 @@ def contingency(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return grouped.select(kind.alias("kind"), "t", "p", "n")
 
 
-def clustering_scores(rows: DataFrame, truth: str, predicted: str, digits: int = 8) -> DataFrame:
-    """One row ari, nmi, n_truth, n_predicted. NMI has the arithmetic mean below, clamped to 0..1; 0 when both sides are constant."""
+def clustering_scores(rows: DataFrame, truth: str, predicted: str, digits: int = 8, constant_nmi: float = 0.0) -> DataFrame:
+    """One row ari, nmi, n_truth, n_predicted. NMI has the arithmetic mean below, clamped to 0..1; constant_nmi when both sides are constant (other libraries give 1)."""
     counts = contingency(rows, truth, predicted)
     pairs = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, choose_two("n"))), F.lit(0.0))
     plogs = lambda k: F.coalesce(F.sum(F.when((F.col("kind") == k) & (F.col("n") > 0), F.col("n") * F.log("n"))), F.lit(0.0))
@@ -119,7 +120,7 @@ def clustering_scores(rows: DataFrame, truth: str, predicted: str, digits: int =
     entropy = lambda k: F.log(n) - F.col(f"l_{k}") / n
     shared = entropy("truth") + entropy("predicted") - entropy("both")
     mean = (entropy("truth") + entropy("predicted")) / 2
-    nmi = F.when(F.col("n") == 0, 0.0).when(mean < 1e-15, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(shared, mean))))
+    nmi = F.when(F.col("n") == 0, 0.0).when(mean < 1e-15, constant_nmi).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(shared, mean))))
     return sums.select(F.round(ari, digits).alias("ari"), F.round(nmi, digits).alias("nmi"), "n_truth", "n_predicted")
 
 
@@ -130,6 +131,21 @@ def aligned(truth: DataFrame, observed: DataFrame) -> DataFrame:
     return rows.select("gene", "barcode", F.coalesce("truth", F.lit(0)).alias("truth"), F.coalesce("observed", F.lit(0)).alias("observed"))
 
 
+def sparse_correlation(truth: DataFrame, observed: DataFrame, digits: int = 6) -> DataFrame:
+    """One row pearson over every gene and cell of the truth, from the sparse entries: the zeros of the grid count, but need no rows."""
+    sums = lambda c: F.sum(F.col(c).cast("double"))
+    seen = observed.join(truth.select("gene").distinct(), "gene", "left_semi").join(truth.select("barcode").distinct(), "barcode", "left_semi")
+    pairs = truth.select("gene", "barcode", F.col("n").alias("t")).join(seen.select("gene", "barcode", F.col("n").alias("o")), ["gene", "barcode"], "full").fillna(0, ["t", "o"])
+    pairs = pairs.withColumns({"tt": F.col("t") * F.col("t"), "oo": F.col("o") * F.col("o"), "to": F.col("t") * F.col("o")})
+    row = pairs.agg(*[sums(c).alias(c) for c in ("t", "o", "tt", "oo", "to")])
+    size = truth.agg((F.count_distinct("gene") * F.count_distinct("barcode")).cast("double").alias("size"))
+    row = row.crossJoin(F.broadcast(size))  # one row each
+    spread = lambda a, aa: F.col(aa) / F.col("size") - F.pow(F.col(a) / F.col("size"), 2)
+    both = F.sqrt(F.greatest(spread("t", "tt") * spread("o", "oo"), F.lit(0.0)))
+    shared = F.col("to") / F.col("size") - F.col("t") * F.col("o") / (F.col("size") * F.col("size"))
+    return row.select(F.round(F.when((F.col("size") < 2) | F.col("size").isNull() | (F.col("size") * both < 1e-15), 0.0).otherwise(shared / both), digits).alias("pearson"))
+
+
 def concordance(truth: DataFrame, observed: DataFrame, key: str, tolerance: float = 0.1) -> DataFrame:
     """One row: the share of cells (or genes) of both sides whose totals differ by at most the tolerance; two zeros agree."""
     a = truth.groupBy(key).agg(F.sum("n").alias("t"))
@@ -144,3 +160,9 @@ def pass_fail(stages: DataFrame) -> DataFrame:
     judged = stages.withColumn("passed", F.col("score") >= F.col("threshold"))
     overall = judged.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
     return judged.unionByName(overall.select(F.lit("overall").alias("stage"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"), "passed"))
+
+
+def stamped(report: DataFrame, seconds: float) -> DataFrame:
+    """The report with the time it was made (RFC 3339, UTC) and how long it took."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return report.withColumn("created", now).withColumn("seconds", F.lit(float(seconds)))

@@ -1,14 +1,18 @@
 """Whole analyses: extract, count, qc, analyze, validate, batch, compare."""
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe import schemas
 from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, umis, validation
+from helixframe.sinks import files as sinks
+from helixframe.sources import files as sources
 
 
-def extract(reads_in: DataFrame, whitelist: DataFrame | None, protocol: str = "10x-3prime-v3", max_mismatch: int = 1, min_barcode_qual: int | None = 10) -> DataFrame:
+def extract(reads_in: DataFrame, whitelist: DataFrame | None, protocol: str | schemas.Protocol = "10x-3prime-v3", max_mismatch: int = 1, min_barcode_qual: int | None = 10) -> DataFrame:
     """Reads with barcode, umi, status and cell. Short reads and those of low quality have a null status; without a whitelist, barcodes are taken as they are."""
     parts = reads.extract(reads_in, protocol)
     if min_barcode_qual is not None:
@@ -46,28 +50,30 @@ def sample_qc(counts: DataFrame, sample: str = "sample", totals: DataFrame | Non
 
 def analyze(counts: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0, target_sum: float = 10000.0, min_mean: float = 0.0125, max_mean: float = 3.0, min_disp: float = 0.5) -> dict[str, DataFrame]:
     """Counts to hvg, cells (node, barcode), pca (node, scores), neighbours, clusters (node, label) and variances."""
-    spark = counts.sparkSession
-    values = analysis.log1p(analysis.normalize_total(counts, target_sum))
-    cells = matrix.cells(counts)
-    n_cells = cells.count()
-    hvg = analysis.variable_genes(analysis.gene_stats(values, n_cells), min_mean, max_mean, min_disp)
-    chosen = analysis.subset_genes(values, hvg)
-    n_genes = chosen.select("gene").distinct().count()
-    vectors = graph.checkpointed(analysis.as_vectors(analysis.scale(chosen, cells)))
+    values, cells = analysis.log1p(analysis.normalize_total(counts, target_sum)), counts.select("barcode").distinct()
+    hvg = analysis.variable_genes(analysis.gene_stats(values, cells.count()), min_mean, max_mean, min_disp)
+    return {"hvg": hvg} | embed(analysis.subset_genes(values, hvg), cells, n_pcs, n_neighbors, resolution)
+
+
+def embed(values: DataFrame, cells: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0) -> dict[str, DataFrame]:
+    """Normalised values of the chosen genes to cells, pca, neighbours, clusters and variances: scale, PCA, kNN, labels."""
+    spark = values.sparkSession
+    n_cells, n_genes = cells.count(), values.select("gene").distinct().count()
+    vectors = graph.checkpointed(analysis.as_vectors(analysis.scale(values, cells)))
     scores, variances = analysis.pca(vectors, max(1, min(n_pcs, n_genes - 1, n_cells - 1)))
     scores = graph.checkpointed(scores)
     neighbours = graph.checkpointed(analysis.knn(scores.withColumnRenamed("scores", "coords"), max(1, min(n_neighbors, n_cells - 1))))
     labels = graph.label_propagation(spark, scores.select("node"), neighbours.select("src", "dst", "dist"), resolution)
-    return {"hvg": hvg, "cells": vectors.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels, "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
+    return {"cells": vectors.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels, "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
 
 
-def filtered_analysis(counts: DataFrame, min_genes: int = 200, max_genes: int = 10000, max_mito: float = 20.0, n_top_genes: int = 2000, **rest) -> dict[str, DataFrame]:
-    """analyze() after cells and genes are filtered, with markers of the clusters."""
+def filtered_analysis(counts: DataFrame, min_genes: int = 200, max_genes: int = 10000, max_mito: float = 20.0, n_top_genes: int = 2000, target_sum: float = 10000.0, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0) -> dict[str, DataFrame]:
+    """Cells and genes filtered, all genes normalised once, the most variable ones embedded, markers of the clusters over all genes."""
     good = qc.filter_cells(qc.cell_metrics(counts), min_genes, max_genes, max_mito)
     kept = graph.checkpointed(qc.filter_genes(counts.join(good.select("barcode"), "barcode", "left_semi")))
-    values = analysis.log1p(analysis.normalize_total(kept))
-    top = analysis.top_genes(analysis.gene_stats(values, kept.select("barcode").distinct().count()), n_top_genes)
-    out = analyze(kept.join(top.select("gene"), "gene", "left_semi"), **rest)
+    values, cells = analysis.log1p(analysis.normalize_total(kept, target_sum)), kept.select("barcode").distinct()
+    top = analysis.top_genes(analysis.gene_stats(values, cells.count()), n_top_genes)
+    out = {"hvg": top} | embed(values.join(top.select("gene"), "gene", "left_semi"), cells, n_pcs, n_neighbors, resolution)
     clusters = out["clusters"].join(out["cells"], "node").select("barcode", F.col("label").alias("cluster"))
     return out | {"markers": analysis.markers(values, clusters)}
 
@@ -78,21 +84,32 @@ def shard_counts(reads_in: DataFrame, whitelist: DataFrame, shards: int, index:
     return matrix.count(found.select(F.col("umi").alias("gene"), F.col("cell").alias("barcode")))
 
 
-def validate(dataset: dict[str, DataFrame], max_mismatch: int = 1) -> dict[str, DataFrame]:
-    """Scores of extraction, counting and clustering on a synthetic sample, and whether each passes."""
-    found = extract(dataset["r1"], dataset["truth_cells"].select("barcode"), "10x-3prime-v3", max_mismatch)
-    extraction = validation.extraction_confusion(found.where("barcode is not null"), dataset["truth_cells"], dataset["mutated"], dataset["invalid"])
-    genes = dataset["r2"].select("rec_no", reads.gene_of_read_id("id").alias("gene"))
-    observed = matrix.count(found.where("cell is not null").join(genes, "rec_no").where("gene is not null").select("gene", F.col("cell").alias("barcode")))
+STAGES = ("extract", "count", "analysis")
+
+
+def validate(dataset: dict[str, DataFrame], max_mismatch: int = 1, stages: tuple = STAGES, n_pcs: int = 10) -> dict[str, DataFrame]:
+    """Scores of the stages asked for on a sample with known truth, and whether each passes; the report has the time and the duration."""
+    began, judged, out = time.monotonic(), [], {}
     truth = dataset["truth_counts"]
-    grid = validation.aligned(truth, observed)
-    counting = validation.correlation(grid, "truth", "observed")
-    analysed = analyze(truth.where("n > 0"), n_pcs=10)
-    labelled = analysed["clusters"].join(analysed["cells"], "node").join(dataset["truth_cells"], "barcode")
-    clustering = validation.clustering_scores(labelled, "cell_type", "label")
+    found = extract(dataset["r1"], dataset["truth_cells"].select("barcode"), "10x-3prime-v3", max_mismatch)
+    if "extract" in stages:
+        out["extraction"] = validation.extraction_confusion(found.where("barcode is not null"), dataset["truth_cells"], dataset["mutated"], dataset["invalid"])
+        judged.append(("extract", out["extraction"], "f1", validation.F1_AT_LEAST))
+    if "count" in stages:
+        genes = dataset["r2"].select("rec_no", reads.gene_of_read_id("id").alias("gene"))
+        observed = matrix.count(found.where("cell is not null").join(genes, "rec_no").where("gene is not null").select("gene", F.col("cell").alias("barcode")))
+        out["counting"] = validation.sparse_correlation(truth, observed)
+        judged.append(("count", out["counting"], "pearson", validation.PEARSON_AT_LEAST))
+    if "analysis" in stages:
+        analysed = analyze(truth.where("n > 0"), n_pcs=n_pcs)
+        labelled = analysed["clusters"].join(analysed["cells"], "node").join(dataset["truth_cells"], "barcode")
+        out["clustering"] = validation.clustering_scores(labelled, "cell_type", "label")
+        judged.append(("analysis", out["clustering"], "ari", validation.ARI_AT_LEAST))
+    if not judged:
+        raise ValueError(f"no stage to run; there are {', '.join(STAGES)}")
     stage = lambda name, df, c, least: df.select(F.lit(name).alias("stage"), F.col(c).alias("score"), F.lit(least).alias("threshold"))
-    stages = [stage("extract", extraction, "f1", validation.F1_AT_LEAST), stage("count", counting, "pearson", validation.PEARSON_AT_LEAST), stage("analysis", clustering, "ari", validation.ARI_AT_LEAST)]
-    return {"extraction": extraction, "counting": counting, "clustering": clustering, "report": validation.pass_fail(reduce(DataFrame.unionByName, stages))}
+    report = graph.checkpointed(validation.pass_fail(reduce(DataFrame.unionByName, [stage(*j) for j in judged])))
+    return out | {"report": validation.stamped(report, time.monotonic() - began)}
 
 
 def batch(samples: DataFrame, whitelist: DataFrame, protocol: str = "10x-3prime-v3", max_mismatch: int = 1) -> DataFrame:
@@ -101,6 +118,63 @@ def batch(samples: DataFrame, whitelist: DataFrame, protocol: str = "10x-3prime-
     return found.groupBy("sample").agg(F.count(F.lit(1)).alias("total_reads"), F.count_if(F.col("cell").isNotNull()).alias("valid_reads"), F.count_distinct("cell").alias("n_cells"))
 
 
+def run_sample(spark: SparkSession, r1: str, whitelist: str, output: str, r2: str | None = None, bam: str | None = None, protocol: str = "10x-3prime-v3", sample: str = "sample", max_mismatch: int = 1, min_barcode_qual: int = 10, min_mapq: int = 30, force_cells: int | None = None) -> DataFrame:
+    """Files to a matrix folder and a report in output: extract, count, quality. Returns the report's row.
+
+    Genes come from the alignments of bam (cell, UMI and gene tags; mapping itself is left to an aligner),
+    else from the ids of the reads of r2. force_cells keeps the cells with the most counts.
+    """
+    schemas.check_settings(protocol=protocol, max_mismatch=max_mismatch)
+    found = extract(sources.read_fastq(spark, r1), sources.read_whitelist(spark, whitelist), protocol, max_mismatch, min_barcode_qual)
+    counters = graph.checkpointed(reads.extraction_counters(found))
+    if bam:
+        alignments = sources.read_bam(spark, bam, min_mapq)
+        counts = count_reads(alignments, min_mapq)
+        assigned = reads.count_counters(sources.read_bam(spark, bam), min_mapq)
+    else:
+        if not r2:
+            raise ValueError("give alignments or the second reads")
+        genes = sources.read_fastq(spark, r2).select("rec_no", reads.gene_of_read_id("id").alias("gene"))
+        kept = found.where("cell is not null").join(genes, "rec_no").where("gene is not null")
+        counts = umis.distinct_umis(kept).select("gene", F.col("cell").alias("barcode"), F.col("n_umis").alias("n"))
+        assigned = kept.agg(F.count(F.lit(1)).alias("assigned_reads"))
+    counts = graph.checkpointed(counts)
+    if force_cells is not None:
+        best = qc.knee(matrix.counts_per_cell(counts)).where(F.col("rank") <= force_cells)
+        counts = counts.join(best.select("barcode"), "barcode", "left_semi")
+    sinks.write_matrix(counts, f"{output}/matrix")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unique_umis"))
+    totals = counters.select("total_reads", F.col("valid_barcodes").alias("valid_reads")).crossJoin(F.broadcast(assigned.select("assigned_reads"))).crossJoin(F.broadcast(total))  # one row each
+    report = graph.checkpointed(sample_qc(counts, sample, totals.withColumn("mapped_reads", F.col("assigned_reads"))))
+    sinks.write_report(report, f"{output}/qc_report.json")
+    return report
+
+
+def run_manifest(spark: SparkSession, manifest: str, output: str, max_mismatch: int = 1) -> DataFrame:
+    """(sample, status, error) of each sample of a manifest: its own files, whitelist and protocol. A sample that fails is reported, the others go on."""
+    results = []
+    for row in sources.read_manifest(spark, manifest).collect():  # a manifest names files, a few rows
+        try:
+            settings = {"protocol": row["protocol"]} if row["protocol"] else {}
+            run_sample(spark, row["r1"], row["whitelist"], f"{output}/{row['sample_name']}", r2=row["r2"], sample=row["sample_name"], max_mismatch=max_mismatch, **settings)
+            results.append((row["sample_name"], "ok", None))
+        except Exception as e:  # noqa: BLE001 - whatever a sample's files cause must not stop the others
+            results.append((row["sample_name"], "failed", " ".join(str(e).split())[:500]))
+    return spark.createDataFrame(results, "sample string, status string, error string")
+
+
+def batch_each(samples: DataFrame, whitelists: DataFrame, max_mismatch: int = 1) -> DataFrame:
+    """Counters of samples that have a layout and a whitelist each, as one job: samples (sample, protocol, seq, qual), whitelists (sample, barcode).
+
+    Distances up to 1. An unknown protocol counts as the default one; a sample without a whitelist has no valid reads.
+    """
+    chosen = {name: schemas.protocol_or_default(name) for name in schemas.PROTOCOLS}
+    named = F.when(F.col("protocol").isin(*chosen), F.col("protocol")).otherwise("10x-3prime-v3")
+    parts = [reads.extract(samples.where(named == name), p).select("sample", "barcode") for name, p in chosen.items()]
+    found = barcodes.judged(reduce(DataFrame.unionByName, parts), barcodes.lookup(whitelists, ("sample",)), min(max_mismatch, 1), ("sample",))
+    return found.groupBy("sample").agg(F.count(F.lit(1)).alias("total_reads"), F.count("corrected").alias("valid_reads"), F.count_distinct("corrected").alias("n_cells"))
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """One row: how many samples succeeded and failed, by their status."""
     return results.agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") != "ok").alias("failed"))

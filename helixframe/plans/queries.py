@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as seqs
+from helixframe.functions.register import register
 from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, umis, validation
 from helixframe.plans import pipelines, views
 from helixframe.plans.views import COUNTS_A, COUNTS_B, CORRECTED, EXTRACTED, GRID, READS
-from helixframe.schemas import PROTOCOLS, protocol_table
+from helixframe.schemas import PROTOCOLS, Protocol, protocol_or_default, protocol_table
+from helixframe.sinks.files import matrix_lines
+from helixframe.sources.files import whitelist_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,19 +50,31 @@ PROTOCOL_SQL = " UNION ALL ".join(
 
 @query(f"WITH {READS} {PROTOCOL_SQL}")
 def protocol_extract(spark, d):
-    out = None
-    for p in PROTOCOLS.values():
-        if not p.whole_read:
-            rows = reads.extract(reads.long_enough(views.reads(spark, d), p.name), p.name).select(F.lit(p.name).alias("protocol"), "rec_no", "barcode", "umi", F.length("cdna").cast("long").alias("cdna_len"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    """All layouts in one pass over the reads."""
+    rows = reads.extract_each(views.reads(spark, d), [p for p in PROTOCOLS.values() if not p.whole_read])
+    return rows.select("protocol", "rec_no", "barcode", "umi", F.length("cdna").cast("long").alias("cdna_len"))
 
 
-@query(f"WITH {READS} SELECT rec_no, event_type AS barcode, '' AS umi, seq AS cdna, repeat('I', length(event_type)) AS barcode_qual FROM reads")
+@query(f"WITH {READS} SELECT rec_no, 'plate_A1' AS barcode, '' AS umi, seq AS cdna, 'IIIIIIII' AS barcode_qual, length(qual)::BIGINT AS cdna_qual_len FROM reads")
 def protocol_whole_read(spark, d):
-    rows = views.reads(spark, d)
-    parts = reads.components(PROTOCOLS["smart-seq2"])
-    return rows.select("rec_no", F.col("event_type").alias("barcode"), parts["umi"].alias("umi"), parts["cdna"].alias("cdna"), F.repeat(F.lit("I"), F.length("event_type")).alias("barcode_qual"))
+    rows = reads.extract(views.reads(spark, d), "smart-seq2", sample="plate_A1")
+    return rows.select("rec_no", "barcode", "umi", "cdna", "barcode_qual", F.length("cdna_qual").cast("long").alias("cdna_qual_len"))
+
+
+@query(f"WITH {READS} SELECT rec_no, substr(seq, 3, 10) AS barcode, substr(seq, 15, 6) AS umi, substr(seq, 21) AS cdna FROM reads WHERE length(seq) >= 20")
+def protocol_custom(spark, d):
+    """A layout of one's own: two bases, barcode of ten, two bases, UMI of six."""
+    rows = reads.extract(views.reads(spark, d), Protocol("own", 2, 10, 14, 6))
+    return rows.where("barcode is not null").select("rec_no", "barcode", "umi", "cdna")
+
+
+@query("SELECT event_type AS asked, CASE event_type WHEN 'view' THEN 'drop-seq' WHEN 'click' THEN 'indrop' ELSE '10x-3prime-v3' END AS used, count(*)::BIGINT AS n_reads FROM events GROUP BY ALL")
+def protocol_fallback(spark, d):
+    """Each sample's protocol as the web jobs take it: unknown ones and whole reads become the default."""
+    asked = {"view": "drop-seq", "click": "indrop", "signup": "smart-seq2"}
+    used = F.create_map(*[F.lit(x) for e in ("view", "click", "signup", "error", "purchase") for x in (e, protocol_or_default(asked.get(e, e)).name)])
+    rows = views.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_reads"))
+    return rows.select(F.col("event_type").alias("asked"), F.element_at(used, F.col("event_type")).alias("used"), "n_reads")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{p.name}', {p.barcode_len}::BIGINT, {p.umi_len}::BIGINT, {p.min_length}::BIGINT)" for p in PROTOCOLS.values()) + ") t(protocol, barcode_len, umi_len, min_length), (SELECT count(*)::BIGINT AS n_reads FROM events)")
@@ -133,6 +148,44 @@ def shard_records(spark, d):
     return out
 
 
+@query(f"WITH {READS}, c AS (SELECT count(*)::BIGINT AS total_reads, count(*) FILTER (is_mapped AND mapq >= 30 AND rec_no % 4 <> 0 AND rec_no % 3 < 2)::BIGINT AS assigned_reads FROM reads) SELECT *, round(100.0 * assigned_reads / greatest(total_reads, 1), 6)::DOUBLE AS assigned_percent FROM c")
+def count_counters(spark, d):
+    i = F.col("rec_no")
+    rows = views.reads(spark, d).select("mapq", "is_mapped", F.when(i % 4 != 0, F.col("seq")).alias("cell_barcode"), F.when(i % 3 == 0, F.col("gene")).alias("gene_name"), F.when(i % 3 == 1, F.col("event_type")).alias("gene_id"))
+    return reads.count_counters(rows, 30)
+
+
+@query(f"WITH {READS} SELECT gene, barcode, count(*)::BIGINT AS n FROM (SELECT coalesce(CASE WHEN rec_no % 3 = 0 THEN gene END, CASE WHEN rec_no % 3 = 1 THEN 'ID_' || event_type END) AS gene, true_barcode AS barcode FROM reads WHERE is_mapped AND mapq >= 30) WHERE gene IS NOT NULL GROUP BY ALL")
+def count_reads(spark, d):
+    """The count command over alignments."""
+    i = F.col("rec_no")
+    rows = views.reads(spark, d).select("mapq", "is_mapped", F.col("true_barcode").alias("cell_barcode"), F.when(i % 3 == 0, F.col("gene")).alias("gene_name"), F.when(i % 3 == 1, F.concat(F.lit("ID_"), "event_type")).alias("gene_id"))
+    return pipelines.count_reads(rows, 30)
+
+
+@query(f"WITH {READS} SELECT rec_no, length(seq)::BIGINT AS size, (length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')))::BIGINT AS gc FROM reads")
+def mapped_records(spark, d):
+    """A function of one's own over batches of records."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def gc(batches):
+        for b in batches:
+            size = pc.utf8_length(b["seq"]).cast(pa.int64())
+            rest = pc.utf8_length(pc.replace_substring_regex(b["seq"], "[GC]", "")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b["rec_no"], size, pc.subtract(size, rest)], names=["rec_no", "size", "gc"])
+
+    return reads.map_records(views.reads(spark, d).select("rec_no", "seq"), gc, "rec_no long, size long, gc long")
+
+
+@query(f"WITH {READS} SELECT rec_no, substr(seq, 5, 8) AS part, hamming(substr(seq, 1, 8), substr(seq, 9, 8))::BIGINT AS off, nullif(trim(split_part(id, ':', 3)), 'NONE') AS gene, gene LIKE 'MT-%' OR gene LIKE 'mt-%' AS mito, (q * length(qual))::BIGINT AS phred FROM reads")
+def sql_functions(spark, d):
+    """The scalar functions by name in SQL."""
+    register(spark)
+    views.reads(spark, d).createOrReplaceTempView("helixframe_reads")
+    return spark.sql("SELECT rec_no, subsequence(seq, 4, 8) AS part, CAST(hamming(substring(seq, 1, 8), substring(seq, 9, 8)) AS BIGINT) AS off, gene_of_read_id(id) AS gene, is_mito(gene) AS mito, byte_sum(qual) - 33 * length(qual) AS phred FROM helixframe_reads")
+
+
 # ---- barcodes
 
 
@@ -159,7 +212,7 @@ def barcode_correct_d1(spark, d):
     FROM two t LEFT JOIN wl ON t.barcode = wl.barcode LEFT JOIN idx i ON t.barcode = i.variant LEFT JOIN ties s ON t.barcode = s.barcode"""
 )
 def barcode_correct_d2(spark, d):
-    found = reads.extract(views.reads(spark, d)).where("barcode is not null")
+    found = reads.extract(views.reads(spark, d))
     two = F.when((F.col("rec_no") % 7 == 0) & (F.length("barcode") == 16), F.concat(F.translate(F.substring("barcode", 1, 2), "ACGTN", "GTACA"), F.substring("barcode", 3, 16))).otherwise(F.col("barcode"))
     return barcodes.correct(found.select(two.alias("barcode")), views.whitelist(spark, d), 2).select("barcode", "status", "corrected", *long("distance"))
 
@@ -170,11 +223,12 @@ def barcode_correct_batch(spark, d):
     return found.select("rec_no", "status", "cell", *long("distance"))
 
 
-@query(f"WITH {READS}, near AS (SELECT a.barcode AS a, b.barcode AS b FROM wl a JOIN wl b ON substr(a.barcode, 1, 2) = substr(b.barcode, 1, 2)) SELECT a, b, hamming(a, b)::BIGINT AS distance FROM near")
+@query(f"WITH {CORRECTED}, near AS (SELECT DISTINCT e.barcode, w.barcode AS other, hamming(e.barcode, w.barcode)::BIGINT AS distance FROM extracted e JOIN wl w ON hamming(e.barcode, w.barcode) <= 6 WHERE e.barcode IS NOT NULL), best AS (SELECT barcode, min(distance) AS distance FROM near GROUP BY ALL) SELECT n.barcode, n.distance, count(*)::BIGINT AS n, min(other) AS original FROM near n JOIN best b ON n.barcode = b.barcode AND n.distance = b.distance GROUP BY ALL")
 def hamming_pairs(spark, d):
-    wl = views.whitelist(spark, d)
-    a, b = (wl.select(F.col("barcode").alias(n), F.substring("barcode", 1, 2).alias("head")) for n in "ab")
-    return a.join(b, "head").select("a", "b", seqs.hamming("a", "b").cast("long").alias("distance"))
+    """Nearest whitelist entries within six bases of every distinct barcode, and how many there are."""
+    seen = graph.checkpointed(reads.extract(views.reads(spark, d)).where("barcode is not null").select("barcode").distinct())
+    wl = graph.checkpointed(views.whitelist(spark, d))
+    return barcodes.nearest(seen, wl, 6).select("barcode", *long("distance"), "n", "original")
 
 
 @query(f"WITH {CORRECTED} SELECT variant, n::BIGINT AS n, original FROM idx")
@@ -184,8 +238,7 @@ def one_mismatch_neighbors(spark, d):
 
 @query("SELECT DISTINCT trim(c_mktsegment) AS barcode FROM customer WHERE trim(c_mktsegment) <> '' AND trim(c_mktsegment) NOT LIKE '#%'")
 def whitelist_rules(spark, d):
-    lines = views.table(spark, d, "customer").select(F.trim("c_mktsegment").alias("barcode"))
-    return lines.where((F.col("barcode") != "") & ~F.col("barcode").startswith("#")).distinct()
+    return whitelist_lines(views.table(spark, d, "customer").select(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")).alias("value")))
 
 
 # ---- UMIs
@@ -310,7 +363,7 @@ def matrix_last_wins(spark, d):
 
 @query(f"WITH {COUNTS_B}, ix AS (SELECT dense_rank() OVER (ORDER BY gene) AS r, dense_rank() OVER (ORDER BY barcode) AS c, n FROM counts) SELECT r || ' ' || c || ' ' || n AS line FROM ix")
 def mtx_triples(spark, d):
-    return matrix.coo(views.counts_b(spark, d)).select(F.concat_ws(" ", F.col("gene_idx") + 1, F.col("cell_idx") + 1, "n").alias("line"))
+    return matrix_lines(views.counts_b(spark, d))
 
 
 # ---- quality
@@ -413,6 +466,37 @@ def report_json(spark, d):
     return qc.report(rate_table(spark, d).select("event_type", "total_reads", "valid_reads"))
 
 
+@query(f"WITH {CELLS}, cl AS (SELECT *, substr(barcode, 11, 1) AS cluster FROM cm) SELECT barcode, cluster, total FROM cl WHERE cluster IN ('1', '3')")
+def cluster_filter(spark, d):
+    cells = cell_table(spark, d).withColumn("cluster", F.substring("barcode", 11, 1))
+    return qc.of_clusters(cells, ["1", "3"]).select("barcode", "cluster", "total")
+
+
+@query(f"WITH {CELLS} SELECT barcode, 'n_genes' AS metric, n_genes::DOUBLE AS value FROM cm UNION ALL SELECT barcode, 'mito_percent', mito_percent FROM cm")
+def violin_rows(spark, d):
+    """Those of the keys asked for that the cells have."""
+    return qc.long_metrics(cell_table(spark, d), ("n_genes", "no_such_key", "mito_percent"))
+
+
+@query(
+    f"""WITH {CORRECTED}, u AS (SELECT gene, cell AS barcode, count(DISTINCT umi)::BIGINT AS n FROM matched WHERE cell IS NOT NULL GROUP BY ALL), pc AS (SELECT barcode, count(*) AS n_genes, sum(n) AS total FROM u GROUP BY ALL)
+    SELECT 'job' AS job_id, (SELECT count(*) FROM matched)::BIGINT AS total_reads, (SELECT count(cell) FROM matched)::BIGINT AS valid_barcodes, (SELECT count(*) FROM matched WHERE status = 'corrected')::BIGINT AS corrected_barcodes, (SELECT count(*) - count(cell) FROM matched)::BIGINT AS invalid_barcodes,
+    (SELECT count(*) FROM pc)::BIGINT AS cells, (SELECT count(DISTINCT gene) FROM u)::BIGINT AS genes, (SELECT list_sort(list(n_genes))[count(*) // 2 + 1] FROM pc)::BIGINT AS median_genes_per_cell, (SELECT list_sort(list(total))[count(*) // 2 + 1] FROM pc)::BIGINT AS median_umis_per_cell"""
+)
+def web_report(spark, d):
+    found = graph.checkpointed(pipelines.extract(views.reads(spark, d), views.whitelist(spark, d), min_barcode_qual=None))
+    counts = umis.distinct_umis(found.where("cell is not null and gene is not null")).select("gene", F.col("cell").alias("barcode"), F.col("n_umis").alias("n"))
+    return qc.web_report("job", reads.extraction_counters(found), qc.cell_metrics(counts), counts)
+
+
+@query(f"WITH {CELLS}, t AS (SELECT count(*)::BIGINT AS total_reads, count(*) FILTER (event_id % 10 <> 3)::BIGINT AS valid_reads FROM events) SELECT count(*)::BIGINT AS n_cells, count(*) FILTER (n_genes BETWEEN 40 AND 60)::BIGINT AS cells_passing, any_value(round(valid_reads / total_reads, 6)) AS barcode_validity, list_sort(list(n_genes))[count(*) // 2 + 1]::BIGINT AS median_genes FROM cm, t")
+def sample_report(spark, d):
+    """The qc command: metrics of a sample with the rates of its reads."""
+    valid = F.col("event_id") % 10 != 3
+    totals = views.table(spark, d, "events").agg(F.count(F.lit(1)).alias("total_reads"), *[F.count_if(valid).alias(c) for c in ("valid_reads", "mapped_reads", "assigned_reads", "unique_umis")])
+    return pipelines.sample_qc(views.counts_a(spark, d), "s", totals, 40, 60).select("n_cells", "cells_passing", "barcode_validity", "median_genes")
+
+
 # ---- analysis
 
 NORMALIZED = COUNTS_B + ", norm AS (SELECT gene, barcode, n, n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY barcode) AS x FROM counts), logged AS (SELECT gene, barcode, ln(1 + x) AS x FROM norm), nc AS (SELECT count(DISTINCT barcode) AS c FROM counts), stats AS (SELECT gene, sum(x) / any_value(c) AS mean, sum(x * x) / any_value(c) - (sum(x) / any_value(c)) ** 2 AS variance FROM logged, nc GROUP BY gene)"
@@ -447,9 +531,11 @@ def hvg_top_n(spark, d):
     return analysis.top_genes(stats(spark, d), 10).select("gene")
 
 
-@query(f"WITH {GRID}, s AS (SELECT gene, avg(x) AS m, stddev_pop(x) AS sd FROM grid GROUP BY gene) SELECT g.gene, g.barcode, round(greatest(least((x - m) / greatest(sd, 1e-12), 2.0), -2.0), 5) AS z FROM grid g JOIN s ON g.gene = s.gene")
+@query(f"WITH {GRID}, s AS (SELECT gene, avg(x) AS m, stddev_pop(x) AS sd FROM (SELECT gene, greatest(x, 0) AS x FROM grid) GROUP BY gene) SELECT g.gene, g.barcode, round(greatest(least((greatest(x, 0) - m) / greatest(sd, 1e-12), 2.0), -2.0), 5) AS z FROM grid g JOIN s ON g.gene = s.gene")
 def scale_clip(spark, d):
-    return analysis.z_scores(views.vector_grid(spark, d), 2.0).select("gene", "barcode", F.round("z", 5).alias("z"))
+    """Positive components only are entries; scaling brings the zeros back."""
+    grid = views.vector_grid(spark, d)
+    return analysis.scale(grid.where("x > 0"), grid, 2.0).select("gene", "barcode", F.round("z", 5).alias("z"))
 
 
 KNN = """cosines AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dist FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
@@ -611,6 +697,22 @@ def batch_samples(spark, d):
     return pipelines.batch(rows, views.whitelist(spark, d))
 
 
+@query(
+    f"""WITH {READS}, s AS (SELECT event_type AS sample, seq, true_barcode, CASE event_type WHEN 'click' THEN 12 WHEN 'view' THEN 10 ELSE 16 END AS len, CASE event_type WHEN 'click' THEN 20 WHEN 'view' THEN 18 ELSE 28 END AS least FROM reads),
+    own AS (SELECT DISTINCT sample, substr(true_barcode, 1, len) AS barcode FROM s), nb AS (SELECT sample, substr(barcode, 1, p - 1) || b || substr(barcode, p + 1) AS variant, barcode FROM own, (SELECT unnest(range(1, 17)) AS p), (VALUES ('A'), ('C'), ('G'), ('T'), ('N')) u(b) WHERE p <= length(barcode) AND substr(barcode, p::INT, 1) <> b),
+    idx AS (SELECT sample, variant, count(*) AS n, min(barcode) AS original FROM nb GROUP BY ALL), seen AS (SELECT sample, CASE WHEN length(seq) >= least THEN substr(seq, 1, len) END AS barcode FROM s),
+    m AS (SELECT seen.sample, CASE WHEN own.barcode IS NOT NULL THEN own.barcode WHEN idx.n = 1 THEN idx.original END AS cell FROM seen LEFT JOIN own ON seen.sample = own.sample AND seen.barcode = own.barcode LEFT JOIN idx ON seen.sample = idx.sample AND seen.barcode = idx.variant)
+    SELECT sample, count(*)::BIGINT AS total_reads, count(cell)::BIGINT AS valid_reads, count(DISTINCT cell)::BIGINT AS n_cells FROM m GROUP BY sample"""
+)
+def batch_each(spark, d):
+    """Samples with a protocol and a whitelist of their own in one job."""
+    used = F.when(F.col("event_type") == "click", "drop-seq").when(F.col("event_type") == "view", "sci-rna-seq").otherwise("10x-3prime-v3")
+    rows = views.reads(spark, d).select(F.col("event_type").alias("sample"), used.alias("protocol"), "seq", "qual", "true_barcode")
+    size = F.when(F.col("protocol") == "drop-seq", 12).when(F.col("protocol") == "sci-rna-seq", 10).otherwise(16)
+    own = rows.select("sample", F.substring("true_barcode", F.lit(1), size).alias("barcode")).distinct()
+    return pipelines.batch_each(rows, own)
+
+
 @query("SELECT count(*)::BIGINT AS samples, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS succeeded, count(*) FILTER (o_orderstatus <> 'F')::BIGINT AS failed FROM orders")
 def batch_summary(spark, d):
     return pipelines.batch_summary(views.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status")))
@@ -642,6 +744,13 @@ def stream_live_qc(spark, d):
     return jobs.live_qc(spark, f"{d}/events.parquet")
 
 
+@query(f"WITH {READS} SELECT rec_no // 3000 AS chunk, count(*)::BIGINT AS records, sum(length(seq))::BIGINT AS bases FROM reads GROUP BY ALL")
+def stream_record_chunks(spark, d):
+    from helixframe.streaming import jobs
+
+    return jobs.record_chunks(spark, views.reads(spark, d), 3000)
+
+
 @query("SELECT count(*)::BIGINT AS records FROM events")
 def stream_chunk_stats(spark, d):
     from helixframe.streaming import jobs

@@ -10,11 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt out to all cores; of more files, as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def dna(key: Column, length: int) -> Column:
     """A sequence that follows from a key."""
     return F.translate(F.substring(F.md5(key.cast("string")), 1, length), HEX, DNA)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: filters on them are not pushed down as copies of their expressions."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def gene_of(props: Column) -> Column:
     return F.concat(F.lit("GENE_"), F.lpad(F.get_json_object(props, "$.k"), 4, "0"))
 
@@ -25,17 +36,17 @@ def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as reads: a tenth has one base changed, a twentieth five N."""
-    e = table(spark, sf_dir, "events")
-    true = dna(F.col("user_id"), 16)
-    at = (F.col("event_id") % 16 + 1).cast("int")
-    changed = F.concat(F.substring(true, F.lit(1), at - 1), F.translate(F.substring(true, at, F.lit(1)), "ACGT", "CGTA"), F.substring(true, at + 1, F.lit(16)))
-    barcode = F.when(F.col("event_id") % 10 == 0, changed).when(F.col("event_id") % 20 == 1, F.concat(F.lit("NNNNN"), F.substring(true, 6, 16))).otherwise(true)
-    rows = e.select(F.col("event_id").alias("rec_no"), true.alias("true_barcode"), barcode.alias("bc"), dna(F.col("event_id") % 500, 12).alias("tag"), gene_of(F.col("props")).alias("gene"), (F.col("event_id") % 61).cast("int").alias("mapq"), (F.col("event_type") != "error").alias("is_mapped"), "event_type")
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "props", "event_type"))
+    i, at = F.col("event_id"), (F.col("event_id") % 16 + 1).cast("int")
+    e = computed(e, true_barcode=dna(F.col("user_id"), 16), tag=dna(i % 500, 12), gene=gene_of(F.col("props")))
+    true = F.col("true_barcode")
+    changed = F.overlay(true, F.translate(F.substring(true, at, F.lit(1)), "ACGT", "CGTA"), at)
+    e = computed(e, bc=F.when(i % 10 == 0, changed).when(i % 20 == 1, F.overlay(true, F.lit("NNNNN"), F.lit(1))).otherwise(true))
     # every 50th read is cut short
-    seq = F.when(F.col("rec_no") % 50 == 7, F.concat("bc", F.substring("tag", 1, 4))).otherwise(F.concat("bc", "tag"))
-    rows = rows.withColumn("seq", seq)
-    quality = F.expr("repeat(chr(33 + rec_no % 41), length(seq))")
-    return rows.select("rec_no", F.format_string("READ_%08d:%s:%s", "rec_no", "bc", F.when(F.col("rec_no") % 9 == 0, "NONE").otherwise(F.col("gene"))).alias("id"), "seq", quality.alias("qual"), "true_barcode", "gene", "mapq", "is_mapped", "event_type")
+    e = computed(e, seq=F.concat("bc", F.substring("tag", F.lit(1), F.when(i % 50 == 7, 4).otherwise(12))))
+    e = computed(e, qual=F.repeat(F.chr(33 + i % 41), F.length("seq")))
+    name = F.format_string("READ_%08d:%s:%s", i, "bc", F.when(i % 9 == 0, "NONE").otherwise(F.col("gene")))
+    return e.select(i.alias("rec_no"), name.alias("id"), "seq", "qual", "true_barcode", "gene", (i % 61).cast("int").alias("mapq"), (F.col("event_type") != "error").alias("is_mapped"), "event_type")
 
 
 READS = r"""

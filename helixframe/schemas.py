@@ -2,8 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 FASTQ = "rec_no long, id string, seq string, qual string"
 BAM = (
@@ -38,6 +37,7 @@ PROTOCOLS = {
         Protocol("10x-3prime-v3", 0, 16, 16, 12),
         Protocol("10x-3prime-v2", 0, 16, 16, 10),
         Protocol("10x-5prime-v2", 0, 16, 16, 10),
+        Protocol("10x-5prime-v1.1", 0, 16, 16, 10),
         Protocol("drop-seq", 0, 12, 12, 8),
         Protocol("indrop", 0, 16, 16, 6),
         Protocol("sci-rna-seq", 0, 10, 10, 8),
@@ -57,5 +57,29 @@ def protocol_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "protocol string, barcode_start int, barcode_len int, umi_start int, umi_len int")
 
 
-def constant_values(rows: list[tuple], names: list[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows])
+def protocol_or_default(name: str | None, default: str = "10x-3prime-v3") -> Protocol:
+    """The lenient lookup of the web jobs: unknown names, and layouts without a barcode, are taken as the default."""
+    known = PROTOCOLS.get(name or "")
+    return known if known and not known.whole_read else PROTOCOLS[default]
+
+
+# Published whitelists.
+WHITELISTS = (("10x 3M v3", "3M-february-2018.txt", 6_794_880), ("10x 737K v2", "737K-august-2016.txt", 737_280))
+
+
+def whitelist_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(WHITELISTS), "name string, file string, barcodes long")
+
+
+# Least and most of the settings of a job.
+RANGES = {"max_mismatch": (0, 3), "min_genes": (0, 100_000), "max_genes": (1, 1_000_000), "max_mito": (0.0, 100.0), "n_pcs": (2, 500), "resolution": (0.01, 50.0)}
+
+
+def check_settings(**settings) -> dict:
+    """The settings; fails on an unknown protocol or a value out of its range."""
+    if settings.get("protocol") is not None:
+        protocol(settings["protocol"])
+    for name, (least, most) in RANGES.items():
+        if settings.get(name) is not None and not least <= settings[name] <= most:
+            raise ValueError(f"{name} must be within {least} and {most}")
+    return settings

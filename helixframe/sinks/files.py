@@ -3,6 +3,7 @@
 import gzip
 import json
 import struct
+import uuid
 import zlib
 from pathlib import Path
 
@@ -19,26 +20,43 @@ def write_fastq(reads: DataFrame, folder: str, compress: bool = True) -> None:
     lines.write.mode("overwrite").option("compression", "gzip" if compress else "none").text(folder)
 
 
-def _write_lines(rows, path: Path, compress: bool) -> None:
-    """Lines from an iterator to one file."""
-    with gzip.open(f"{path}.gz", "wt") if compress else open(path, "w") as f:
-        f.writelines(f"{line}\n" for line in rows)
+def matrix_lines(counts: DataFrame) -> DataFrame:
+    """(line): the entries of a Matrix Market file, 1-based."""
+    return matrix.coo(counts).select(F.concat_ws(" ", F.col("gene_idx") + 1, F.col("cell_idx") + 1, "n").alias("line"))
 
 
-def write_matrix(counts: DataFrame, folder: str, compress: bool = False) -> None:
-    """matrix.mtx, barcodes.tsv and genes.tsv in one folder, in the order of (cell, gene): the format asks for single files.
+def joined_file(lines: DataFrame, order: list[str], path: str, head: str, compress: bool) -> None:
+    """One file of the column line in the order given: tasks write the parts, ordered by range, and the file system's streams put them together.
 
-    Rows stream to the driver partition by partition; none of the three is held whole.
+    The driver copies bytes and parses none; gzip members may follow one another, so compressed parts need no unpacking.
     """
-    where = Path(folder)
-    where.mkdir(parents=True, exist_ok=True)
-    entries = matrix.coo(counts).orderBy("cell_idx", "gene_idx")
+    spark = lines.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.option("compression", "gzip" if compress else "none").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    where, target = hadoop.fs.Path(parts), hadoop.fs.Path(f"{path}.gz" if compress else path)
+    files = where.getFileSystem(conf)
+    found = sorted(str(s.getPath()) for s in files.listStatus(where) if s.getPath().getName().startswith("part-"))
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(gzip.compress(head.encode()) if compress else head.encode()))
+        for part in found:
+            stream = files.open(hadoop.fs.Path(part))
+            hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            stream.close()
+    finally:
+        out.close()
+    files.delete(where, True)
+
+
+def write_matrix(counts: DataFrame, folder: str, compress: bool = False) -> None:
+    """matrix.mtx, barcodes.tsv and genes.tsv in one folder, in the order of (cell, gene): the format asks for single files."""
     sizes = matrix.dims(counts).first()
-    head = ["%%MatrixMarket matrix coordinate integer general", "%", f"{sizes['n_genes']} {sizes['n_cells']} {sizes['nnz']}"]
-    body = (f"{r['gene_idx'] + 1} {r['cell_idx'] + 1} {r['n']}" for r in entries.toLocalIterator())
-    _write_lines((line for part in (head, body) for line in part), where / "matrix.mtx", compress)
-    _write_lines((r["barcode"] for r in matrix.cells(counts).orderBy("cell_idx").toLocalIterator()), where / "barcodes.tsv", compress)
-    _write_lines((f"{r['gene']}\t{r['gene']}" for r in matrix.genes(counts).orderBy("gene_idx").toLocalIterator()), where / "genes.tsv", compress)
+    head = f"%%MatrixMarket matrix coordinate integer general\n%\n{sizes['n_genes']} {sizes['n_cells']} {sizes['nnz']}\n"
+    entries = matrix.coo(counts).withColumn("line", F.concat_ws(" ", F.col("gene_idx") + 1, F.col("cell_idx") + 1, "n"))
+    joined_file(entries, ["cell_idx", "gene_idx"], f"{folder}/matrix.mtx", head, compress)
+    joined_file(matrix.cells(counts).withColumn("line", F.col("barcode")), ["cell_idx"], f"{folder}/barcodes.tsv", "", compress)
+    joined_file(matrix.genes(counts).withColumn("line", F.concat_ws("\t", "gene", "gene")), ["gene_idx"], f"{folder}/genes.tsv", "", compress)
 
 
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:

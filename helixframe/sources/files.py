@@ -206,8 +206,13 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
     """(barcode): trimmed, without blank and # lines, distinct; fails when lengths differ."""
     from helixframe.operators.barcodes import check_lengths
 
-    lines = spark.read.text(path).select(F.trim("value").alias("barcode"))
-    return check_lengths(lines.where((F.col("barcode") != "") & ~F.col("barcode").startswith("#")).distinct())
+    return check_lengths(whitelist_lines(spark.read.text(path)))
+
+
+def whitelist_lines(lines: DataFrame) -> DataFrame:
+    """(barcode) of a file's lines (value)."""
+    trimmed = lines.select(F.trim("value").alias("barcode"))
+    return trimmed.where((F.col("barcode") != "") & ~F.col("barcode").startswith("#")).distinct()
 
 
 def whitelist_of(spark: SparkSession, barcodes: list[str]) -> DataFrame:

@@ -4,11 +4,14 @@ Sources are folders or files of Parquet; every job reads what is there and ends
 """
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.operators.graph import checkpointed
+from helixframe.sources.files import read_fastq
 
 
 def stream_of(spark: SparkSession, path: str, files_per_chunk: int = 16) -> DataFrame:
@@ -46,6 +49,44 @@ def chunk_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("n long, chunk long").parquet(where).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"))
 
 
+def iter_chunks(reads: DataFrame, records: int = 100_000) -> Iterator[DataFrame]:
+    """The reads in chunks of so many records, by rec_no. They are written once, by chunk, and each chunk is read back alone."""
+    spark = reads.sparkSession
+    where = shared(spark, "records")
+    numbers = F.floor(F.col("rec_no") / records).cast("long")
+    reads.withColumn("chunk", numbers).repartition("chunk").write.partitionBy("chunk").parquet(where)
+    cut = spark.read.schema(T.StructType([*reads.schema.fields, T.StructField("chunk", T.LongType())])).parquet(where)
+    for row in cut.select("chunk").distinct().orderBy("chunk").toLocalIterator():
+        yield cut.where(F.col("chunk") == row["chunk"]).drop("chunk")
+
+
+def process_records(reads: DataFrame, callback, records: int = 1_000_000) -> dict:
+    """Calls callback(chunk, number) on each chunk of so many records; the first error ends it. Returns how many records and chunks there were."""
+    stats = {"chunks_processed": 0, "processed_records": 0}
+    for number, chunk in enumerate(iter_chunks(reads, records)):
+        callback(chunk, number)
+        stats["chunks_processed"] += 1
+        stats["processed_records"] += chunk.count()
+    return stats
+
+
+def process_fastq(spark: SparkSession, path: str, callback, records: int = 100_000) -> dict:
+    """process_records() over a FASTQ file."""
+    return process_records(read_fastq(spark, path), callback, records)
+
+
+def record_chunks(spark: SparkSession, reads: DataFrame, records: int) -> DataFrame:
+    """(chunk, records, bases): what a callback counts in each chunk."""
+    where = shared(spark, "chunks")
+
+    def count(chunk: DataFrame, number: int) -> None:
+        sums = chunk.agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("seq")).alias("bases"))
+        sums.select(F.lit(number).cast("long").alias("chunk"), "records", "bases").write.mode("overwrite").parquet(f"{where}/part={number}")
+
+    process_records(reads, count, records)
+    return spark.read.schema("chunk long, records long, bases long, part long").parquet(where).drop("part")
+
+
 def live_qc(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
     """(hour, reads, mapped): a watermarked window count, written as the last state of each hour."""
     where = shared(spark, "live")

@@ -45,8 +45,8 @@ def test_merge_adds_and_last_wins(spark):
 
 def test_upper_median(spark):
     rows = spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "v long")
-    assert qc.upper_median(rows, "v").first()[0] == 3
-    assert qc.upper_median(rows.where("v < 0"), "v").first()[0] == 0
+    assert rows.agg(qc.upper_median("v")).first()[0] == 3
+    assert rows.where("v < 0").agg(qc.upper_median("v")).first()[0] == 0
 
 
 def test_rates_and_warnings(spark):
