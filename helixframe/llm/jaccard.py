@@ -209,9 +209,15 @@ def numbered(keyed: DataFrame, doubled: frozenset[int]) -> DataFrame:
     return keyed.withColumn("sid", F.when(F.col("low").isin(*doubled), F.col("high")).otherwise(F.col("low")))
 
 
-def sets_of(docs: DataFrame, keyed: DataFrame, sids: DataFrame, doubled: frozenset[int], text_col: str, words: int) -> DataFrame:
+def distinct_sets(keyed: DataFrame) -> DataFrame:
+    """(sid, size, bits, tid, first, docs): one row a set, by sums of each task first, so that copies make no hot key."""
+    own = keyed.where("sid is not null").groupBy("sid")
+    return own.agg(F.first("n").alias("size"), F.first("bits").alias("bits"), F.min("tid").alias("tid"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"))
+
+
+def sets_of(docs: DataFrame, sets: DataFrame, sids: DataFrame, doubled: frozenset[int], text_col: str, words: int) -> DataFrame:
     """(sid, shingles) of the sids asked for: one text of each is found again by its hash, so no text is shuffled."""
-    wanted = materialize(keyed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("id")).select("id"))
+    wanted = materialize(sets.join(sids, "sid", "left_semi").select(F.col("tid").alias("id")))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def run(batches):
@@ -412,12 +418,12 @@ def lists_of(keyed: DataFrame) -> DataFrame:
     return heads.unionByName(tails).unionByName(of_tails).distinct()
 
 
-def similar_sets(docs: DataFrame, keyed: DataFrame, doubled: frozenset[int], text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """(node, component) over sids that are linked to another; keyed as set_rows() and numbered() give it."""
+def similar_sets(docs: DataFrame, keyed: DataFrame, sets: DataFrame, doubled: frozenset[int], text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """(node, component) over sids that are linked to another; keyed as set_rows() and numbered() give it, sets as distinct_sets()."""
     lists = materialize(lists_of(keyed))
     involved = lists.select("sid").distinct()
-    small = materialize(keyed.join(involved, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("size"), F.first("bits").alias("bits")))
-    fetch = lambda sids: sets_of(docs, keyed, sids, doubled, text_col, words)
+    small = materialize(sets.join(involved, "sid", "left_semi").select("sid", "size", "bits"))
+    fetch = lambda sids: sets_of(docs, sets, sids, doubled, text_col, words)
 
     pairs = materialize(lists.where("sid <> pivot").select(F.col("pivot").alias("list"), "sid").distinct())
     stars = pairs.select("list", "sid", F.lit(False).alias("query")).unionByName(pairs.select("list", F.col("list").alias("sid"), F.lit(True).alias("query")).distinct())
@@ -455,9 +461,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if doubled:  # heads are low halves, which do not tell these sets apart: each of their rows is a head
         alone = F.transform("heads", lambda h: F.when(h.isin(*doubled) | F.col("low").isin(*doubled), F.col("sid")).otherwise(h))
         keyed = keyed.withColumn("heads", alone)
-    linked = similar_sets(docs, keyed, doubled, text_col, words, num, den)
-    firsts = keyed.where("sid is not null").groupBy("sid").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"))
-    named = materialize(firsts.join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    sets = materialize(distinct_sets(keyed))
+    linked = similar_sets(docs, keyed, sets, doubled, text_col, words, num, den)
+    named = materialize(sets.select("sid", "first", "docs").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
     least = materialize(named.groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets")))
     of_sid = materialize(join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "least", "docs"))
     rows = join_hot(keyed.select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
