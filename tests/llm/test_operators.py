@@ -574,3 +574,28 @@ def test_pipeline(spark):
             links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
             assert {r["doc_id"] for r in docs.collect()} == {i for i, c in brute_components(links, sets).items() if i == c}
     assert docs.select("sequence_id").distinct().count() == docs.count()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_odd_documents(spark, empty):
+    """Nulls in every column, empty and long texts, ties, repeated rows, no rows: each stage gives its defined result."""
+    import corpus_pipeline
+    from helixframe.llm.common import materialize
+
+    fine = [" ".join(np.random.default_rng(i).choice(WORDS, 60)) for i in range(6)]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(fine)] + [(50 + i, t, None if i % 2 else "en", None, None) for i, t in enumerate(ODD)]
+    rows += [rows[0], rows[0], (None, fine[1] + " more", None, None, None), (7, None, None, None, None)]
+    docs = spark.createDataFrame(rows[:0] if empty else rows, DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, "/root/testdata/sf0.001"))
+        kept = docs.collect()
+        if empty:
+            assert not kept
+        elif name == "language_id":
+            assert {r["doc_id"] for r in kept} >= set(range(6)) and all(r["text"] for r in kept) and sum(r["doc_id"] == 0 for r in kept) == 3
+        elif name == "line_dedup":
+            assert len(kept) == before.count()
+        elif name == "ngram_jaccard":
+            assert sum(r["doc_id"] == 0 for r in kept) == 3 and not {r["doc_id"] for r in kept} >= {55, 56}
+        elif name == "packing":
+            assert sorted(r["sequence_id"] for r in kept) == list(range(len(kept))) and kept
