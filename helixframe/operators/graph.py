@@ -96,7 +96,7 @@ def label_propagation(spark: SparkSession, nodes: DataFrame, edges: DataFrame, r
 
 
 def renumbered(labels: DataFrame) -> DataFrame:
-    """Labels as 0, 1, ... in the order in which they first appear along the nodes."""
+    """Labels as 0, 1, ... in the order in which they first appear along the nodes. Many labels are no single task: they are numbered by ranges."""
     firsts = labels.groupBy("label").agg(F.min("node").alias("first"))
-    numbers = firsts.select("label", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("number"))
+    numbers = numbered(firsts, ["first"], "number").select("label", "number")
     return labels.join(numbers, "label").select("node", F.col("number").alias("label"))
