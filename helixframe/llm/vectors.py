@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import join_hot, materialize
 from helixframe.llm.components import components
 
-#: Nodes at home in a shard, about. Drawn nodes, from which centres and cells come, are at most MOST_CENTRES.
-SHARD, MOST_CENTRES, VISITS = 1500, 8192, 3
+#: Nodes at home in a shard, about: large shards are few, so that a node visits few. Drawn nodes, from which centres and cells come, are at most MOST_CENTRES.
+SHARD, MOST_CENTRES, VISITS = 6000, 8192, 3
 #: Members of a group, or nodes that ask in it, in shards: larger shards are cut.
-PARTS = 8
+PARTS = 4
 #: Nodes drawn for SHARD nodes, and how many of them must lie together for a cell of their own.
 DRAWN, CELL_DRAWN = 4, 8
 NEAREST, DEGREE, ALPHA = 48, 16, 1.2
