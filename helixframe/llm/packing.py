@@ -5,9 +5,7 @@ the binary digits of the rest, so each piece has a power of two of tokens and is
 own. Sequences of equal length form a bucket for training; none crosses documents, none is padded.
 """
 
-import base64
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,25 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.byte_level import token_ids
 from helixframe.llm.common import materialize, slices
 
-END_OF_TEXT = "<|endoftext|>"
-
-
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str | None):
-    """Ids as `tokenizers` gives them for the JSON form of the same vocabulary, END_OF_TEXT included, from its ranks."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: len(ranks)})
-
-
-def token_ids(text: str, vocabulary: str | None = None) -> np.ndarray:
-    return encoder(vocabulary).encode_to_numpy(text, allowed_special={END_OF_TEXT}, disallowed_special=())
-
 
 def binary_pieces(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of n tokens, longest (a power of two) first."""
@@ -74,7 +56,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longes
     most 4096 x 11 counts, so no task sees all pieces.
     """
     pieces = materialize(cut_documents(docs, id_col, text_col, longest, end_id, vocabulary))
-    pieces = pieces.withColumn("part", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "ids_crc32", F.lit(" "), "start"))  # null ids are dealt out
+    pieces = pieces.withColumn("part", F.substring(F.md5(key), 1, 3))
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("length", "part", before.alias("before"))
