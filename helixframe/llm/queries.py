@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings, vectors
+from helixframe.llm import alignment, jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings, vectors
 from helixframe.llm.common import table
 
 
@@ -110,6 +110,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("doc").alias("doc_id"), *quality.BASE_FIELDS, "base_failed", "kept", bits)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """byte_bpe_50k against piece_bpe_32k."""
+    aligned = alignment.align_tokenizers(table(spark, sf_dir, "documents"), digest=True)
+    return aligned.select(F.col("doc").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_license_scan": op1_license_scan,
@@ -122,6 +128,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
