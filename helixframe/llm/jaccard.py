@@ -22,7 +22,8 @@ broadcast the most frequent keys.
 
 import heapq
 import math
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, partial
 from itertools import groupby
 
 import numpy as np
@@ -159,12 +160,12 @@ class Heads:
         return heads[at]
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(doc, n, low, high, tid, bits, sigs, heads) of each row, in one pass over the texts.
 
     n: set size; low, high: the set's hash, null for the empty set; tid: half of the text's; bits:
-    parities; sigs: digests of the segments, which a task gives once for equal sets; heads: low of
-    the head of each one's list.
+    parities; sigs: what sign makes of the shingles, keys (uint64) of lists in which similar sets meet,
+    which a task gives once for equal sets; heads: low of the head of each one's list.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     longs = pa.list_(pa.int64())
@@ -181,7 +182,7 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
                 new = digest is not None and digest not in given
                 if new:
                     given.add(digest)
-                found.append(signatures(shingles, num, den).view(np.int64) if new else None)
+                found.append(sign(shingles).view(np.int64) if new else None)
             new = [i for i, f in enumerate(found) if f is not None]
             sizes = np.array([0 if f is None else len(f) for f in found])
             flat = np.concatenate([found[i] for i in new]) if new else np.zeros(0, dtype=np.int64)
@@ -445,6 +446,20 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, sets: DataFrame, doubled: fr
     return components(stars_known.unionByName(more))
 
 
+def classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> tuple[frozenset[int], DataFrame]:
+    """The doubled low halves, and (sid, least, docs) of each set: the least id of its component and how many rows it has; keyed as set_rows() gives it."""
+    doubled = collided(keyed)
+    keyed = numbered(keyed, doubled)
+    if doubled:  # heads are low halves, which do not tell these sets apart: each of their rows is a head
+        alone = F.transform("heads", lambda h: F.when(h.isin(*doubled) | F.col("low").isin(*doubled), F.col("sid")).otherwise(h))
+        keyed = keyed.withColumn("heads", alone)
+    sets = materialize(distinct_sets(keyed))
+    linked = similar_sets(docs, keyed, sets, doubled, text_col, words, num, den)
+    named = materialize(sets.select("sid", "first", "docs").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    least = materialize(named.groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets")))
+    return doubled, materialize(join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "least", "docs"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs: doc, n_shingles, component.
 
@@ -455,16 +470,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one document; a null id is a component by itself (null) unless its set links to others. An empty
     table gives an empty one; other columns of docs are not read.
     """
-    keyed = materialize(set_rows(docs, id_col, text_col, words, num, den))
-    doubled = collided(keyed)
-    keyed = numbered(keyed, doubled)
-    if doubled:  # heads are low halves, which do not tell these sets apart: each of their rows is a head
-        alone = F.transform("heads", lambda h: F.when(h.isin(*doubled) | F.col("low").isin(*doubled), F.col("sid")).otherwise(h))
-        keyed = keyed.withColumn("heads", alone)
-    sets = materialize(distinct_sets(keyed))
-    linked = similar_sets(docs, keyed, sets, doubled, text_col, words, num, den)
-    named = materialize(sets.select("sid", "first", "docs").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
-    least = materialize(named.groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets")))
-    of_sid = materialize(join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "least", "docs"))
-    rows = join_hot(keyed.select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
+    keyed = materialize(set_rows(docs, id_col, text_col, words, partial(signatures, num=num, den=den)))
+    doubled, of_sid = classes(docs, keyed, text_col, words, num, den)
+    rows = join_hot(numbered(keyed, doubled).select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
     return rows.select("doc", F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import alignment, jaccard, langid, licenses, lines, mixing, packing, quality, secrets, substrings, vectors
+from helixframe.llm import alignment, jaccard, langid, licenses, lines, minhash, mixing, packing, quality, secrets, substrings, vectors
 from helixframe.llm.common import table
 
 
@@ -110,6 +110,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("doc").alias("doc_id"), *quality.BASE_FIELDS, "base_failed", "kept", bits)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128 functions over 5-word shingles; components of documents that share 80 % of them."""
+    rows = minhash.fingerprint_documents(table(spark, sf_dir, "documents"), words=5, num=80, den=100)
+    return rows.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """byte_bpe_50k against piece_bpe_32k."""
     aligned = alignment.align_tokenizers(table(spark, sf_dir, "documents"), digest=True)
@@ -128,6 +134,7 @@ def queries() -> dict:
         "op8_secret_scan": op8_secret_scan,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
+        "op11_document_fingerprints": op11_document_fingerprints,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
