@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import alignment, jaccard, langid, licenses, lines, minhash, mixing, packing, quality, secrets, substrings, vectors
+from helixframe.llm import alignment, jaccard, langid, licenses, lines, minhash, mixing, packing, phrases, quality, secrets, substrings, vectors
 from helixframe.llm.common import table
 
 
@@ -116,6 +116,34 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnsRenamed({"doc": "doc_id", "component": "component_id"})
 
 
+def op12_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases found 100 times or more; the first 2000 of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, share=100, top=2000)
+
+
+OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, k.k, w[i:i + k.k - 1] AS g FROM places, (SELECT unnest(range(1, 6)) AS k) k WHERE i + k.k - 1 <= len(w)),
+counts AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+kept AS (
+    SELECT * FROM counts c WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM counts o WHERE o.lang = c.lang AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.f >= 100 * c.f)),
+cuts AS (SELECT lang, phrase, f AS a, g, k, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, s.n, ((1000::HUGEINT * c.a * s.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1:c.cut], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[c.cut + 1:c.k], ' ') JOIN sizes s ON s.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """byte_bpe_50k against piece_bpe_32k."""
     aligned = alignment.align_tokenizers(table(spark, sf_dir, "documents"), digest=True)
@@ -135,9 +163,10 @@ def queries() -> dict:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
         "op11_document_fingerprints": op11_document_fingerprints,
+        "op12_phrase_collocation": op12_phrase_collocation,
         "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2, "op4_line_dedup": OP4}
+    return {"op2_mix_sources": OP2, "op4_line_dedup": OP4, "op12_phrase_collocation": OP12}
