@@ -56,7 +56,8 @@ def words_of(text: str) -> list[str]:
 
 
 def is_held_out(id_column: Column) -> Column:
-    return F.crc32(id_column.cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text has remainder 2 by 4; a null id is not held out."""
+    return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def sample_for_fit(labelled: DataFrame, key: Column, lang_col: str, max_docs: int) -> DataFrame:

@@ -16,18 +16,42 @@ from pyspark.sql import types as T
 
 from helixframe.llm.common import join_hot, materialize, slices
 
-# Fixed patterns. Base kinds: name, pattern, group, least length; matches that are too short are dropped after matching.
+
+def by_pattern(pattern: str, group: int = 0):
+    """(start, end, value) of the leftmost non-overlapping matches."""
+    compiled = re.compile(pattern)
+    return lambda text: ((m.start(), m.end(), m[group]) for m in compiled.finditer(text))
+
+
+SIGNED = re.compile(r"[A-Za-z0-9_.-]{29,}")
+
+
+def signed_tokens(text: str):
+    """As by_pattern() for eyJ and three parts of [A-Za-z0-9_-]{8,} with dots between; each run of such characters is read once."""
+    for run in SIGNED.finditer(text):
+        parts, at, i = run[0].split("."), run.start(), 0
+        while i + 2 < len(parts):
+            begin = parts[i].find("eyJ")
+            if begin >= 0 and len(parts[i]) >= begin + 11 and len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8:
+                size = len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+                yield at + begin, at + size, text[at + begin : at + size]
+                at, i = at + size + 1, i + 3
+            else:
+                at, i = at + len(parts[i]) + 1, i + 1
+
+
+# Fixed patterns. Base kinds: name, finder, least length of the value; matches that are too short are dropped after matching.
 BASE = (
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),  # runs are maximal, so shorter ones can be skipped at once
+    ("assign", by_pattern(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2), 6),
+    ("access", by_pattern(r"AKIA[A-Z0-9]+"), 20),
+    ("hex", by_pattern(r"[0-9a-f]{24,}"), 24),  # runs are maximal, so shorter ones can be skipped at once
 )
 # Further kinds; they count only where their value belongs to few owners.
 FURTHER = (
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0, 0),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
-    ("vendor", re.compile(r"(?:gh[pousr]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{16,}"), 0, 0),
-    ("mixed", re.compile(r"[A-Za-z0-9+/_-]{32,}"), 0, 0),
+    ("pem", by_pattern(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,20}PRIVATE KEY-----"), 0),
+    ("jwt", signed_tokens, 0),
+    ("vendor", by_pattern(r"(?:gh[pousr]_|xox[abprs]-|sk_live_|glpat-)[A-Za-z0-9_-]{16,}"), 0),
+    ("mixed", by_pattern(r"[A-Za-z0-9+/_-]{32,}"), 0),
 )
 KINDS = [kind for kind, *_ in BASE + FURTHER]
 MIXED = (re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]"))
@@ -38,12 +62,11 @@ SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("star
 def find(text: str, kinds=BASE + FURTHER) -> list[tuple[int, int, int, bytes]]:
     """(kind's number, start, end, hash of the value) by start, then kind; starts and ends count code points."""
     found = []
-    for number, (kind, pattern, group, least) in enumerate(kinds):
-        for m in pattern.finditer(text):
-            value = m[group]
+    for number, (kind, finder, least) in enumerate(kinds):
+        for start, end, value in finder(text):
             if len(value) < least or kind == "mixed" and not all(p.search(value) for p in MIXED):
                 continue
-            found.append((m.start(), number, m.end(), hashlib.blake2b(value.encode(), digest_size=16).digest()))
+            found.append((start, number, end, hashlib.blake2b(value.encode(), digest_size=16).digest()))
     return [(number, start, end, value) for start, number, end, value in sorted(found)]
 
 
