@@ -1,7 +1,8 @@
 """Mixing sources to target weights along a curriculum that changes over the training run.
 
-A schedule gives each source a weight in each phase of training time 0..1. A phase's weights are
-shares of that phase; their integral over time is the source's share of all words. Targets stop at
+A schedule gives each source a weight in each phase of training time 0..1: the rate at which it is
+asked for. The weight's integral over time is the source's share of all words (weights that are given
+are first made shares of their phase). Targets stop at
 max_epochs times what the source has; the excess goes to the others by share. A document's place in
 its source's demand (a prefix sum over a fixed pseudo-random order) is then turned into a training
 position by inverting the source's cumulative demand, and documents are range-sorted by position.
@@ -15,33 +16,34 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import materialize, word_count
 
-CYCLE = (5, 2, 1)
+#: (start, end, weights in turn): the integrals over time are 5, 2 and 1.
+CURRICULUM = ((0.0, 0.25, (8, 1, 0)), (0.25, 0.75, (4, 2, 1)), (0.75, 1.0, (4, 3, 2)))
 
 
 def by_source(docs: DataFrame, source: Column, size: Column) -> DataFrame:
     return docs.groupBy(source.alias("source")).agg(F.sum(size).alias("source_size"))
 
 
-def cyclic_schedule(sources: DataFrame, cycle: tuple = CYCLE) -> DataFrame:
-    """One phase; sources in code point order, null last, weigh as the cycle says, again and again."""
-    at = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(cycle)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), at + 1)
-    return sources.select("source", F.lit(0.0).alias("t_start"), F.lit(1.0).alias("t_end"), weight.alias("weight"))
+def cyclic_schedule(sources: DataFrame, curriculum: tuple = CURRICULUM) -> DataFrame:
+    """(source, t_start, t_end, weight): sources in code point order, null last, take a phase's weights in turn, again and again."""
+    at = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(curriculum[0][2])
+    phases = F.array(*[F.struct(F.lit(float(start)).alias("t_start"), F.lit(float(end)).alias("t_end"), F.array(*[F.lit(float(w)) for w in weights]).alias("weights")) for start, end, weights in curriculum])
+    rows = sources.select("source", at.alias("at"), F.explode(phases).alias("p"))
+    return rows.select("source", "p.t_start", "p.t_end", F.element_at("p.weights", F.col("at") + 1).alias("weight"))
 
 
-def integrate(schedule: DataFrame) -> DataFrame:
-    """(source, share, curve): the share is the weight's integral; curve has the phases with what comes before each.
-
-    Weights are relative to their phase's sum, scaled by the mean of the sums, so that one phase keeps its weights as given.
-    """
-    phase = Window.partitionBy("t_start", "t_end")
-    total = F.sum("weight").over(phase)
-    span = F.col("t_end") - F.col("t_start")
-    parts = schedule.withColumn("phase_total", total).withColumn("part", F.when(total > 0, span * F.col("weight") / total).otherwise(0.0))
-    scale = parts.select("t_start", "t_end", "phase_total").distinct().agg(F.sum((F.col("t_end") - F.col("t_start")) * F.col("phase_total")).alias("scale"), F.count(F.lit(1)).alias("phases"))
+def relative(schedule: DataFrame) -> DataFrame:
+    """Weights as shares of their phase, times the mean of the phases' sums, so that training takes equal words in equal times."""
+    total = F.sum("weight").over(Window.partitionBy("t_start", "t_end"))
+    parts = schedule.withColumn("total", total)
+    scale = parts.select("t_start", "t_end", "total").distinct().agg(F.sum((F.col("t_end") - F.col("t_start")) * F.col("total")).alias("scale"))
     parts = parts.join(F.broadcast(scale))  # one row
-    # with one phase the share is the weight itself, free of rounding
-    parts = parts.withColumn("mass", F.when(F.col("phases") == 1, F.col("weight")).otherwise(F.col("part") * F.col("scale")))
+    return parts.withColumn("weight", F.when(F.col("total") > 0, F.col("weight") / F.col("total") * F.col("scale")).otherwise(0.0)).drop("total", "scale")
+
+
+def integrate(schedule: DataFrame) -> DataFrame:
+    """(source, share, curve): the share is the weight's integral over time; curve has the phases with the integral of each and before each."""
+    parts = schedule.withColumn("mass", (F.col("t_end") - F.col("t_start")) * F.col("weight"))
     before = F.sum("mass").over(Window.partitionBy("source").orderBy("t_start").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0.0)))
     return parts.groupBy("source").agg(F.sum("mass").alias("share"), F.sort_array(F.collect_list(F.struct("before", "mass", "t_start", "t_end"))).alias("curve"))
@@ -81,6 +83,7 @@ def plan_mix(docs: DataFrame, schedule: DataFrame | None = None, id_col: str = "
     passes; positions has the training time of each pass that takes some, and is empty where none does.
     Each pass takes a source in the order of md5 of the id; the last pass ends where the target is
     reached, so a document can be taken in part there. A source that the schedule lacks gets nothing.
+    Without a schedule, sources follow CURRICULUM in turn.
     Repeated rows each count; null sources are a source; version is a hash of the text. No words at
     all: all targets are 0. An empty table gives an empty one.
     """
@@ -88,7 +91,7 @@ def plan_mix(docs: DataFrame, schedule: DataFrame | None = None, id_col: str = "
     sized = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     sized = materialize(sized).withColumn("bucket", F.substring("key", 1, 3))
     sources = by_source(sized, F.col("source"), F.col("size"))
-    plan = targets(sources, integrate(schedule if schedule is not None else cyclic_schedule(sources)), max_epochs)
+    plan = targets(sources, integrate(relative(schedule) if schedule is not None else cyclic_schedule(sources)), max_epochs)
 
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     base = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

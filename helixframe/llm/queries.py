@@ -14,7 +14,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights 5, 2, 1 by source over one phase; at most three passes."""
+    """Three phases whose weights integrate to 5, 2, 1 in turn; at most three passes."""
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("position"))
 
@@ -33,15 +33,22 @@ levels AS (
            / sum(share) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level_here
     FROM sources WINDOW o AS (ORDER BY 3 * source_size / share, source NULLS LAST)),
 targets AS (
-    SELECT source, source_size, round(least(cap::DOUBLE, share * (SELECT max(level_here) FROM levels)), 6) AS target FROM levels),
+    SELECT source, source_size, share, round(least(cap::DOUBLE, share * (SELECT max(level_here) FROM levels)), 6) AS target FROM levels),
 placed AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS quota,
+    SELECT s.doc_id, s.size, t.source_size, t.target, t.share, round(t.target)::BIGINT AS quota,
            coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
-    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+phases AS (SELECT * FROM (VALUES  -- share, integral before the phase, in it, start, end
+    (5.0::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE, 0.0::DOUBLE, 0.25::DOUBLE), (5.0, 2.0, 2.0, 0.25, 0.75), (5.0, 4.0, 1.0, 0.75, 1.0),
+    (2.0, 0.0, 0.25, 0.0, 0.25), (2.0, 0.25, 1.0, 0.25, 0.75), (2.0, 1.25, 0.75, 0.75, 1.0),
+    (1.0, 0.0, 0.5, 0.25, 0.75), (1.0, 0.5, 0.5, 0.75, 1.0)) v(share, before, mass, t_start, t_end)),
+timed AS (
+    SELECT p.*, round(least(1.0, h.t_start + (h.t_end - h.t_start) * greatest((p.place / p.target * p.share - h.before) / h.mass, 0.0)), 9) AS at
+    FROM placed p LEFT JOIN phases h ON h.share = p.share AND p.place / p.target * p.share >= h.before AND p.place / p.target * p.share < h.before + h.mass)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, quota - place)) + greatest(0, least(size, quota - source_size - place)) + greatest(0, least(size, quota - 2 * source_size - place)))::BIGINT AS taken,
-       CASE WHEN least(size, quota - place) > 0 THEN round(place / target, 9) END AS position
-FROM placed
+       CASE WHEN least(size, quota - place) > 0 THEN coalesce(at, 1.0) END AS position
+FROM timed
 """
 
 
