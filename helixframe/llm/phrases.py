@@ -2,8 +2,8 @@
 
 Counts come by leading words. Words are counted; where both words of a pair are frequent, pairs are
 counted; a suffix begins where two pairs in a row are frequent, and ends before a pair that is not.
-Suffixes are added up in each task, routed by their leading words, and the pointers to those of a
-partition are split by a multikey three-way quicksort: a part whose words are equal to some depth is
+Suffixes are added up in each task and routed by their leading words, those of one route and task in
+one row, and the pointers to those of a partition are split by a multikey three-way quicksort: a part whose words are equal to some depth is
 a phrase, and its size the count. Parts with too few suffixes are left where they stand.
 
 Frequent words and pairs reach the tasks as bit filters of at most 64 MB. What these let through by
@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize, slices
+from helixframe.llm.jaccard import M1, mixed
 
 LONGEST = 5
 # Fixed: the bytes that end a piece of text.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 #: What a task keeps before it sends: words, and pairs or suffixes.
 KEPT_WORDS, KEPT_KEYS = 1_000_000, 1 << 21
-#: Suffixes in a routed partition, about; leading words with more are dealt to several.
-PARTITION = 500_000
+#: Suffixes in a routed partition, about; routes with more are dealt to several, by what follows the leading words.
+PARTITION, SALTS = 500_000, 16
+#: Suffixes in a row, at most.
+IN_ROW = 50_000
 #: Bits of a task's own number of a word (KEPT_WORDS fits).
 BITS = 21
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -153,23 +156,18 @@ class Sums:
         return out
 
 
-def sums_of(rows: DataFrame, seed: int, bits, width: int, keys_of, unpack, columns: list[str]) -> DataFrame:
-    """Columns of word ids and n: in each task, keys_of(numbers, ids) are added up and unpack turns them into columns of numbers."""
+def sums_of(rows: DataFrame, seed: int, bits, width: int, keys_of, batch_of, kind: str) -> DataFrame:
+    """In each task, keys_of(numbers, ids) are added up, and batch_of(keys, counts, ids) makes rows of them."""
 
     def run(batches):
         sums, ids = Sums(width), np.zeros(1, dtype=np.int64)
-
-        def sent():
-            keys, counts = sums.taken()
-            return pa.RecordBatch.from_arrays([*[pa.array(ids[c]) for c in unpack(keys)], pa.array(counts)], names=[*columns, "n"])
-
-        for numbers, ids, last in frequent_runs(batches, seed, bits.value):  # noqa: B020 - the ids that sent() uses
+        for numbers, ids, last in frequent_runs(batches, seed, bits.value):
             sums.add(keys_of(numbers, ids))
             if last or sums.full():
-                yield sent()
-        yield sent()
+                yield batch_of(*sums.taken(), ids)
+        yield batch_of(*sums.taken(), ids)
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*columns, "n"]))
+    return rows.mapInArrow(run, kind)
 
 
 LOW = (1 << BITS) - 1
@@ -182,11 +180,17 @@ def pair_counts(rows: DataFrame, seed: int, bits) -> DataFrame:
         a, b = numbers[:-1], numbers[1:]
         return (a << BITS | b)[(a > 0) & (b > 0)].reshape(-1, 1)
 
-    return sums_of(rows, seed, bits, 1, keys_of, lambda k: (k[:, 0] >> BITS, k[:, 0] & LOW), WORDS[:2]).groupBy(*WORDS[:2]).agg(F.sum("n").alias("n"))
+    def batch_of(keys, counts, ids):
+        return pa.RecordBatch.from_arrays([pa.array(ids[keys[:, 0] >> BITS]), pa.array(ids[keys[:, 0] & LOW]), pa.array(counts)], names=["w1", "w2", "n"])
+
+    return sums_of(rows, seed, bits, 1, keys_of, batch_of, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+
 
+def routed_suffixes(rows: DataFrame, seed: int, bits, pair_bits, routes: int) -> DataFrame:
+    """(route, salt, size, w1, .., w5, n) of suffixes of three words or more, 0 after their ends, as arrays: suffixes of a task with one route and salt are a row, or some.
 
-def suffix_counts(rows: DataFrame, seed: int, bits, pair_bits) -> DataFrame:
-    """(w1, .., w5, n) of suffixes of three words or more, 0 after their ends; a suffix has a row for each task that has it, or some."""
+    A route follows from the first three words, a salt from the others.
+    """
 
     def keys_of(numbers, ids):
         words = np.concatenate([numbers, np.zeros(LONGEST, dtype=np.int64)])
@@ -200,8 +204,30 @@ def suffix_counts(rows: DataFrame, seed: int, bits, pair_bits) -> DataFrame:
         fifth = np.where(goes_on & ok[at + 3], words[at + 4], 0)
         return np.stack([words[at] << 2 * BITS | words[at + 1] << BITS | words[at + 2], fourth << BITS | fifth], axis=1)
 
-    unpack = lambda k: (k[:, 0] >> 2 * BITS, k[:, 0] >> BITS & LOW, k[:, 0] & LOW, k[:, 1] >> BITS, k[:, 1] & LOW)
-    return sums_of(rows, seed, bits, 2, keys_of, unpack, WORDS)
+    def batch_of(keys, counts, ids):
+        local = (keys[:, 0] >> 2 * BITS, keys[:, 0] >> BITS & LOW, keys[:, 0] & LOW, keys[:, 1] >> BITS, keys[:, 1] & LOW)
+        words = [ids[c] for c in local]
+        route = hashed(words[:3]) % np.uint64(routes)
+        place = (route * np.uint64(SALTS) + hashed(words[3:]) % np.uint64(SALTS)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        inside = np.arange(len(place)) - np.repeat(first, np.diff(first, append=len(place)))
+        starts = np.flatnonzero(inside % IN_ROW == 0)
+        bounds = pa.array(np.append(starts, len(place)), pa.int32())
+        columns = [pa.ListArray.from_arrays(bounds, pa.array(c[order])) for c in [*words, counts]]
+        sizes = np.diff(np.append(starts, len(place)))
+        return pa.RecordBatch.from_arrays([pa.array(place[starts] // SALTS), pa.array(place[starts] % SALTS), pa.array(sizes), *columns], names=["route", "salt", "size", *WORDS, "n"])
+
+    kind = ", ".join(["route long, salt long, size long", *[f"{c} array<long>" for c in [*WORDS, "n"]]])
+    return sums_of(rows, seed, bits, 2, keys_of, batch_of, kind)
+
+
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    total = np.zeros(len(columns[0]), dtype=np.uint64)
+    for c in columns:
+        total = mixed(total * M1 + c.view(np.uint64))
+    return total
 
 
 def equal_parts(columns: list[np.ndarray], weights: np.ndarray, least: int, partial: bool = False) -> list[tuple[int, int, int]]:
@@ -232,31 +258,23 @@ def equal_parts(columns: list[np.ndarray], weights: np.ndarray, least: int, part
 
 
 def phrase_counts(suffixes: DataFrame, least: int) -> DataFrame:
-    """(ids, a) of the phrases of three to five words found at least so often, from materialized suffixes."""
-    routes = suffixes.groupBy(*WORDS[:3]).agg(F.count(F.lit(1)).alias("rows"))
-    total = suffixes.count()
-    most = max(PARTITION // 10, total // 1000)  # so at most 1000 routes have more
-    hot = routes.where(F.col("rows") > most).select(*[F.col(w).alias(f"_{w}") for w in WORDS[:3]], F.ceil(F.col("rows") / most).alias("salts"))
-    same = [F.col(w) == F.col(f"_{w}") for w in WORDS[:3]]
-    salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*WORDS[3:]), F.col("salts")))
-    dealt = suffixes.join(F.broadcast(hot), same[0] & same[1] & same[2], "left").select(*WORDS, "n", salt.alias("salt"))
-    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
+    """(ids, a) of the phrases of three to five words found at least so often, from materialized routed_suffixes().
 
-    def run(batches):
-        tables = list(batches)
-        if not tables:
-            return
-        whole = pa.Table.from_batches(tables)
-        columns = [whole[c].to_numpy() for c in WORDS]
-        weights, dealt_on = whole["n"].to_numpy(), whole["salt"].to_numpy() >= 0
-        for partial in (False, True):
-            chosen = np.flatnonzero(dealt_on == partial)
-            own = [c[chosen] for c in columns]
-            found = equal_parts(own, weights[chosen], least, partial)
-            ids = [[int(c[at]) for c in own[:depth]] for at, depth, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array([size for _, _, size in found], pa.int64())], names=["ids", "a"])
-
-    counted = dealt.repartition(parts, *WORDS[:3], "salt").mapInArrow(run, "ids array<long>, a long")
+    A route with more than twice PARTITION suffixes goes to a task for each salt; counts of its phrases
+    of three and four words are added up after.
+    """
+    sizes = suffixes.groupBy("route").agg(F.sum("size").alias("total"))  # as many rows as there are routes
+    dealt = suffixes.join(sizes, "route").withColumn("partial", F.col("total") > 2 * PARTITION)
+    dealt = dealt.withColumn("salt", F.when(F.col("partial"), F.col("salt")).otherwise(F.lit(-1).cast("long")))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        flat = lambda c: table[c].combine_chunks().flatten().to_numpy()
+        columns = [flat(c) for c in WORDS]
+        found = equal_parts(columns, flat("n"), least, key[1].as_py() >= 0)
+        ids = [[int(c[at]) for c in columns[:depth]] for at, depth, _ in found]
+        return pa.table({"ids": pa.array(ids, pa.list_(pa.int64())), "a": pa.array([size for _, _, size in found], pa.int64())})
+
+    counted = dealt.groupBy("route", "salt").applyInArrow(run, "ids array<long>, a long")
     return counted.groupBy("ids").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
@@ -320,7 +338,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     bits = context.broadcast(bit_filter(frequent.select("id")))
     pairs = materialize(pair_counts(rows, seed, bits).where(F.col("n") >= least))
     pair_bits = context.broadcast(bit_filter(pairs.select(pair_id(F.col("w1"), F.col("w2")).alias("id"))))
-    longer = phrase_counts(materialize(suffix_counts(rows, seed, bits, pair_bits)), least)
+    most = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # suffixes, at most
+    routes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // PARTITION))
+    longer = phrase_counts(materialize(routed_suffixes(rows, seed, bits, pair_bits, routes)), least)
     phrases = materialize(pairs.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("a")).unionByName(longer))
 
     kept = materialize(undominated(phrases, share))
