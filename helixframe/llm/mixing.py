@@ -28,7 +28,7 @@ def cyclic_schedule(sources: DataFrame, curriculum: tuple = CURRICULUM) -> DataF
     """(source, t_start, t_end, weight): sources in code point order, null last, take a phase's weights in turn, again and again."""
     at = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(curriculum[0][2])
     phases = F.array(*[F.struct(F.lit(float(start)).alias("t_start"), F.lit(float(end)).alias("t_end"), F.array(*[F.lit(float(w)) for w in weights]).alias("weights")) for start, end, weights in curriculum])
-    rows = sources.select("source", at.alias("at"), F.explode(phases).alias("p"))
+    rows = sources.select("source", at.alias("at")).select("source", "at", F.explode(phases).alias("p"))
     return rows.select("source", "p.t_start", "p.t_end", F.element_at("p.weights", F.col("at") + 1).alias("weight"))
 
 

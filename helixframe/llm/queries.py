@@ -43,11 +43,11 @@ phases AS (SELECT * FROM (VALUES  -- share, integral before the phase, in it, st
     (2.0, 0.0, 0.25, 0.0, 0.25), (2.0, 0.25, 1.0, 0.25, 0.75), (2.0, 1.25, 0.75, 0.75, 1.0),
     (1.0, 0.0, 0.5, 0.25, 0.75), (1.0, 0.5, 0.5, 0.75, 1.0)) v(share, before, mass, t_start, t_end)),
 timed AS (
-    SELECT p.*, round(least(1.0, h.t_start + (h.t_end - h.t_start) * greatest((p.place / p.target * p.share - h.before) / h.mass, 0.0)), 9) AS at
+    SELECT p.*, round(least(1.0, h.t_start + (h.t_end - h.t_start) * greatest((p.place / p.target * p.share - h.before) / h.mass, 0.0)), 9) AS time_at
     FROM placed p LEFT JOIN phases h ON h.share = p.share AND p.place / p.target * p.share >= h.before AND p.place / p.target * p.share < h.before + h.mass)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, quota - place)) + greatest(0, least(size, quota - source_size - place)) + greatest(0, least(size, quota - 2 * source_size - place)))::BIGINT AS taken,
-       CASE WHEN least(size, quota - place) > 0 THEN coalesce(at, 1.0) END AS position
+       CASE WHEN least(size, quota - place) > 0 THEN coalesce(time_at, 1.0) END AS position
 FROM timed
 """
 
