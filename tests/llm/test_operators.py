@@ -546,7 +546,7 @@ def test_join_hot_equals_a_join(spark):
             assert sorted(map(str, join_hot(rows, keyed, ["k"], "n", ["id"], how, most, few).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["op2_mix_sources", "op4_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op4_line_dedup", "op12_phrase_collocation"])
 def test_sql(spark, name):
     db = duckdb.connect()
     db.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
