@@ -1,21 +1,41 @@
 """Cutting lineage, running totals, connected components and label propagation."""
 
 import tempfile
+import uuid
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's checkpoint folder; a local session that has none gets a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder, not yet there, in the cluster's checkpoint folder; a local session that has none gets a temporary one. It goes when the application ends."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        known = spark.conf.get("spark.checkpoint.dir", None)
         if not known and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    where = f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the cluster's checkpoint folder by a Parquet table, of which later readers decode only the columns they use."""
+    where = shared_folder(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(where)
+    out = df.sparkSession.read.schema(df.schema).parquet(where)
+    out.written_to = where
+    return out
+
+
+def forgotten(df: DataFrame) -> None:
+    """Removes a table that checkpointed() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:

@@ -11,7 +11,10 @@ from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, u
 from helixframe.plans import pipelines, views
 from helixframe.plans.views import COUNTS_A, COUNTS_B, CORRECTED, EXTRACTED, GRID, READS
 from helixframe.schemas import PROTOCOLS, Protocol, protocol_or_default, protocol_table
+from helixframe.sinks import bam as bam_sink
+from helixframe.sinks import files as sinks
 from helixframe.sinks.files import matrix_lines
+from helixframe.sources import bam, fastq
 from helixframe.sources.files import whitelist_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +181,35 @@ def mapped_records(spark, d):
     return reads.map_records(views.reads(spark, d).select("rec_no", "seq"), gc, "rec_no long, size long, gc long")
 
 
+@query(f"WITH {READS} SELECT id, seq, qual FROM reads")
+def fastq_round_trip(spark, d):
+    """Reads written as FASTQ files and read back in byte ranges."""
+    where = graph.shared_folder(spark, "fastq")
+    sinks.write_fastq(views.reads(spark, d), where, compress=False)
+    return fastq.read_fastq(spark, where, range_bytes=4 << 20).select("id", "seq", "qual")
+
+
+@query(f"WITH {READS} SELECT count(*)::BIGINT AS records, count(DISTINCT rec_no)::BIGINT AS numbers, min(rec_no)::BIGINT AS first, max(rec_no)::BIGINT AS last FROM (SELECT row_number() OVER () - 1 AS rec_no FROM reads)")
+def fastq_numbers(spark, d):
+    """One file in ranges of a size that cuts it at every scale: numbers run from 0 without a gap."""
+    where = graph.shared_folder(spark, "fastq")
+    sinks.write_fastq(views.reads(spark, d).coalesce(1), where, compress=False)
+    rows = fastq.read_fastq(spark, where, range_bytes=50_000)
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("rec_no").alias("numbers"), F.min("rec_no").alias("first"), F.max("rec_no").alias("last"))
+
+
+@query(f"WITH {READS} SELECT id AS name, seq, mapq::BIGINT AS mapq, (rec_no % 3 - 1)::BIGINT AS tid, rec_no AS pos, length(seq) || 'M' AS cigar, CASE WHEN rec_no % 4 <> 0 THEN true_barcode END AS cell_barcode, gene AS gene_name, is_mapped, length(seq)::BIGINT AS qualities, (mapq % 42)::BIGINT AS quality FROM reads WHERE mapq >= 20")
+def bam_round_trip(spark, d):
+    """Reads written as BAM files by tasks and read back by ranges of blocks, the mapping quality pushed down."""
+    r, i, none = views.reads(spark, d), F.col("rec_no"), F.lit(None).cast("string")
+    qual = F.unhex(F.repeat(F.lpad(F.hex(F.col("mapq") % 42), 2, "0"), F.length("seq")))
+    rows = r.select(F.col("id").alias("name"), "seq", qual.alias("qual"), F.col("mapq").cast("short").alias("mapq"), (i % 3 - 1).cast("int").alias("tid"), i.alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), F.when(i % 4 != 0, F.col("true_barcode")).alias("cell_barcode"), none.alias("umi"), F.col("gene").alias("gene_name"), none.alias("gene_id"), "is_mapped", F.lit(False).alias("is_reverse"))
+    where = graph.shared_folder(spark, "bam")
+    bam_sink.write_bam(rows, [("chr1", 1 << 30), ("chr2", 1 << 30)], where)
+    back = bam.read_bam(spark, where, range_bytes=1 << 20).where("mapq >= 20")
+    return back.select("name", "seq", *long("mapq", "tid"), "pos", "cigar", "cell_barcode", "gene_name", "is_mapped", F.length("qual").cast("long").alias("qualities"), F.conv(F.hex(F.substring("qual", 1, 1)), 16, 10).cast("long").alias("quality"))
+
+
 @query(f"WITH {READS} SELECT rec_no, substr(seq, 5, 8) AS part, hamming(substr(seq, 1, 8), substr(seq, 9, 8))::BIGINT AS off, nullif(trim(split_part(id, ':', 3)), 'NONE') AS gene, gene LIKE 'MT-%' OR gene LIKE 'mt-%' AS mito, (q * length(qual))::BIGINT AS phred FROM reads")
 def sql_functions(spark, d):
     """The scalar functions by name in SQL."""

@@ -1,17 +1,17 @@
-"""Writers of FASTQ, Matrix Market folders, BAM, tables and reports."""
+"""Writers of FASTQ, Matrix Market folders, tables and reports; BAM has a module of its own."""
 
 import gzip
 import json
-import struct
 import uuid
-import zlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators import matrix
-from helixframe.sources.files import BASE_CODES, CIGAR_CODES
+from helixframe.sinks.bam import write_bam
+
+__all__ = ["write_bam"]
 
 
 def write_fastq(reads: DataFrame, folder: str, compress: bool = True) -> None:
@@ -89,48 +89,3 @@ def report_text(report: DataFrame) -> str:
     """The stages of a validation report, a line each."""
     mark = {True: "PASS", False: "FAIL", None: "not run"}
     return "\n".join(f"{r['stage']:<10} {'' if r['score'] is None else format(r['score'], '.4f'):>8} {mark[r['passed']]}" for r in report.collect())
-
-
-def bam_bytes(record: dict, has_tags=("cell_barcode", "umi", "gene_name", "gene_id")) -> bytes:
-    """One alignment in BAM form."""
-    name = record["name"].encode() + b"\0"
-    ops, number = [], ""
-    for ch in record["cigar"]:
-        if ch.isdigit():
-            number += ch
-        else:
-            ops.append(int(number) << 4 | CIGAR_CODES.index(ch))
-            number = ""
-    seq, qual = record["seq"], bytes(record["qual"])
-    codes = [BASE_CODES.index(b) for b in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
-    tags = b"".join(tag + b"Z" + record[c].encode() + b"\0" for tag, c in zip((b"CB", b"UB", b"GN", b"GX"), has_tags, strict=True) if record[c] is not None)
-    flag = (0 if record["is_mapped"] else 4) | (16 if record["is_reverse"] else 0)
-    core = struct.pack("<iiBBHHHiiii", record["tid"], record["pos"], len(name), record["mapq"], 4680, len(ops), flag, len(seq), -1, -1, 0)
-    data = core + name + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tags
-    return struct.pack("<i", len(data)) + data
-
-
-def bgzf_block(data: bytes) -> bytes:
-    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = squeeze.compress(data) + squeeze.flush()
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def write_bam(alignments: DataFrame, references: list[tuple[str, int]], path: str) -> None:
-    """One BAM file with a default header; records stream to the driver, partition by partition."""
-    text = b"@HD\tVN:1.6\tSO:unsorted\n@PG\tID:helixframe\tPN:helixframe\n"
-    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(references))
-    for name, length in references:
-        head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    with open(path, "wb") as f:
-        f.write(bgzf_block(head))
-        waiting = b""
-        for row in alignments.toLocalIterator():
-            waiting += bam_bytes(row.asDict())
-            while len(waiting) >= 60_000:
-                f.write(bgzf_block(waiting[:60_000]))
-                waiting = waiting[60_000:]
-        if waiting:
-            f.write(bgzf_block(waiting))
-        f.write(bgzf_block(b""))

@@ -1,199 +1,37 @@
-"""FASTQ, BAM and Matrix Market as Python data sources; whitelists, manifests and checks of files.
+"""Matrix Market, whitelists, manifests and checks of files; FASTQ and BAM have modules of their own.
 
-A file is one partition: compressed files cannot be split. Files are found and opened where the
-executors see them; list the paths or give a folder. spark.dataSource.register(FastqSource) first,
-or call register(spark).
+register(spark) makes format("fastq") and format("bam") known. Paths may be local or URIs.
 """
 
 import gzip
 import io
-import struct
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition
 
-from helixframe import schemas
+from helixframe.sources import bam
+from helixframe.sources.bam import bam_references, read_bam
+from helixframe.sources.fastq import FastqSource, read_fastq
+from helixframe.sources.splits import kind_of, located, paths_of
+
+__all__ = ["bam_references", "read_bam", "read_fastq"]
 
 
 def opened(path: str):
     """A binary stream of a plain, gzip or zstd file, by its first bytes."""
-    with open(path, "rb") as f:
-        magic = f.read(4)
-    if magic[:2] == b"\x1f\x8b":
-        return gzip.open(path, "rb")
-    if magic == b"\x28\xb5\x2f\xfd":
+    system, where = located(path)
+    raw, kind = system.open_input_file(where), kind_of(path)
+    if kind == "zstd":
         import zstandard
 
-        return io.BufferedReader(zstandard.open(path, "rb"))
-    return open(path, "rb")
-
-
-def listed(options: dict, suffixes: tuple[str, ...]) -> list[str]:
-    found: list[str] = []
-    for part in options.get("path", "").split(","):
-        where = Path(part.strip().removeprefix("file://"))
-        found += [str(p) for p in sorted(where.iterdir()) if any(s in p.name for s in suffixes)] if where.is_dir() else [str(where)]
-    return found
-
-
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class FileReader(DataSourceReader):
-    def __init__(self, options: dict, suffixes: tuple[str, ...]):
-        self.files = listed(options, suffixes)
-
-    def partitions(self):
-        return [FilePartition(p) for p in self.files]
-
-
-class FastqReader(FileReader):
-    def read(self, partition: FilePartition):
-        with opened(partition.path) as lines:
-            number = 0
-            while head := lines.readline():
-                head = head.rstrip(b"\r\n")
-                if not head:
-                    continue
-                seq = lines.readline().rstrip(b"\r\n")
-                qual = b""
-                if head[:1] == b"@":
-                    lines.readline()
-                    qual = lines.readline().rstrip(b"\r\n")
-                    if len(qual) != len(seq):
-                        raise ValueError(f"{partition.path}: record {number} has {len(seq)} bases and {len(qual)} qualities")
-                elif head[:1] != b">":
-                    raise ValueError(f"{partition.path}: record {number} begins with neither @ nor >")
-                yield number, *(x.decode("utf-8", "replace") for x in (head[1:], seq, qual))
-                number += 1
-
-
-class FastqSource(DataSource):
-    """format("fastq"): rec_no counts a file's records from 0; FASTA records have an empty quality."""
-
-    @classmethod
-    def name(cls):
-        return "fastq"
-
-    def schema(self):
-        return schemas.FASTQ
-
-    def reader(self, schema):
-        return FastqReader(self.options, (".fastq", ".fq"))
-
-
-BASE_CODES = "=ACMGRSVTWYHKDBN"
-CIGAR_CODES = "MIDNSHP=X"
-TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-TAGS = ("CB", "UB", "GN", "GX")
-
-
-def bam_header(stream) -> tuple[str, list[tuple[str, int]]]:
-    """The header's text and the references, and the stream stands at the first record."""
-    if stream.read(4) != b"BAM\x01":
-        raise ValueError("this is not a BAM file")
-    text = stream.read(struct.unpack("<i", stream.read(4))[0]).rstrip(b"\0").decode()
-    references = []
-    for _ in range(struct.unpack("<i", stream.read(4))[0]):
-        name = stream.read(struct.unpack("<i", stream.read(4))[0])[:-1].decode()
-        references.append((name, struct.unpack("<i", stream.read(4))[0]))
-    return text, references
-
-
-def string_tags(data: bytes) -> dict[str, str]:
-    """The string-typed tags among TAGS; those of another type count as absent."""
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        tag, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(b"\0", at)
-            if tag in TAGS and kind == "Z":
-                out[tag] = data[at:end].decode()
-            at = end + 1
-        elif kind == "B":
-            at += 5 + TAG_SIZES[chr(data[at])] * struct.unpack("<i", data[at + 1 : at + 5])[0]
-        else:
-            at += TAG_SIZES[kind]
-    return out
-
-
-def bam_record(data: bytes) -> tuple:
-    tid, pos, name_len, mapq, _, n_cigar, flag, n_seq = struct.unpack("<iiBBHHHi", data[:20])
-    at = 32
-    name = data[at : at + name_len - 1].decode()
-    at += name_len
-    cigar = "".join(f"{x >> 4}{CIGAR_CODES[x & 15]}" for x in struct.unpack(f"<{n_cigar}I", data[at : at + 4 * n_cigar]))
-    at += 4 * n_cigar
-    packed = data[at : at + (n_seq + 1) // 2]
-    seq = "".join(BASE_CODES[b >> 4] + BASE_CODES[b & 15] for b in packed)[:n_seq]
-    at += (n_seq + 1) // 2
-    qual = data[at : at + n_seq]
-    tags = string_tags(data[at + n_seq :])
-    return name, seq, qual, mapq, tid, pos, cigar, *(tags.get(t) for t in TAGS), not flag & 4, bool(flag & 16)
-
-
-class BamReader(FileReader):
-    def __init__(self, options: dict):
-        super().__init__(options, (".bam",))
-        self.least = int(options.get("min_mapq", 0))
-
-    def pushFilters(self, filters):
-        """Takes mapq >= k and mapq > k, so that rejected records are not decoded."""
-        for f in filters:
-            if isinstance(f, (GreaterThanOrEqual, GreaterThan)) and f.attribute == ("mapq",):
-                self.least = max(self.least, f.value + isinstance(f, GreaterThan))
-            else:
-                yield f
-
-    def read(self, partition: FilePartition):
-        with opened(partition.path) as stream:
-            bam_header(stream)
-            while size := stream.read(4):
-                data = stream.read(struct.unpack("<i", size)[0])
-                if data[9] >= self.least:
-                    yield bam_record(data)
-
-
-class BamSource(DataSource):
-    """format("bam"): alignments with the tags CB, UB, GN and GX; option min_mapq, and filters on mapq are pushed down."""
-
-    @classmethod
-    def name(cls):
-        return "bam"
-
-    def schema(self):
-        return schemas.BAM
-
-    def reader(self, schema):
-        return BamReader(self.options)
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
+    return io.BufferedReader(raw) if kind == "plain" else gzip.GzipFile(fileobj=raw)
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (FastqSource, BamSource):
-        spark.dataSource.register(source)
-
-
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    register(spark)
-    return spark.read.format("fastq").load(path)
-
-
-def read_bam(spark: SparkSession, path: str, min_mapq: int = 0) -> DataFrame:
-    register(spark)
-    return spark.read.format("bam").option("min_mapq", min_mapq).load(path)
-
-
-def bam_references(spark: SparkSession, path: str) -> DataFrame:
-    """(tid, name, length) of a BAM file's header."""
-    with opened(path) as stream:
-        _, references = bam_header(stream)
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(references)], "tid int, name string, length int")
+    bam.register(spark)
+    spark.dataSource.register(FastqSource)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -263,19 +101,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def looks_like_fastq(path: str) -> bool:
     """Compressed files pass; else the first record must have its four lines."""
-    with open(path, "rb") as f:
-        head = f.read(4)
-        if head[:2] == b"\x1f\x8b" or head == b"\x28\xb5\x2f\xfd":
-            return True
-        f.seek(0)
+    if kind_of(path) != "plain":
+        return True
+    with opened(path) as f:
         name, seq, plus, qual = (f.readline().rstrip(b"\r\n") for _ in range(4))
     return name[:1] == b"@" and plus[:1] == b"+" and len(seq) == len(qual) > 0
 
 
 def looks_like_alignments(path: str) -> bool:
-    """BAM, compressed or not, or SAM text."""
-    if not Path(path).exists() or not Path(path).stat().st_size:
+    """BAM, compressed or not, or SAM text; of a folder, its first BAM file."""
+    try:
+        first = paths_of({"path": path}, (".bam",))[0]
+    except (FileNotFoundError, IndexError):
         return False
-    with opened(path) as f:
+    with opened(first) as f:
         head = f.read(4)
     return head == b"BAM\x01" or head[:1] == b"@"
