@@ -160,41 +160,52 @@ class Heads:
         return heads[at]
 
 
-def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc, n, low, high, tid, bits, sigs, heads) of each row, in one pass over the texts.
+class SetColumns:
+    """The columns n, low, high, tid, bits, sigs and heads of texts and their sets; remembers what this task has given.
 
     n: set size; low, high: the set's hash, null for the empty set; tid: half of the text's; bits:
     parities; sigs: what sign makes of the shingles, keys (uint64) of lists in which similar sets meet,
     which a task gives once for equal sets; heads: low of the head of each one's list.
     """
+
+    LONGS = ("n", "low", "high", "tid")
+    ARROW = [*[(c, pa.int64()) for c in LONGS], ("bits", pa.binary()), ("sigs", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))]
+    SPARK = [*[T.StructField(c, T.LongType()) for c in LONGS], T.StructField("bits", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sigs", "heads")]]
+
+    def __init__(self, sign: Callable[[np.ndarray], np.ndarray]):
+        self.sign, self.given, self.heads_of = sign, set(), Heads()
+
+    def __call__(self, texts: list[str | None], sets: list[np.ndarray]) -> list[pa.Array]:
+        digests = [set_digest(s) if len(s) else None for s in sets]
+        lows, highs = zip(*[(None, None) if d is None else halves(d) for d in digests], strict=True)
+        found = []
+        for shingles, digest in zip(sets, digests, strict=True):
+            new = digest is not None and digest not in self.given
+            if new:
+                self.given.add(digest)
+            found.append(self.sign(shingles).view(np.int64) if new else None)
+        new = [i for i, f in enumerate(found) if f is not None]
+        sizes = np.array([0 if f is None else len(f) for f in found])
+        flat = np.concatenate([found[i] for i in new]) if new else np.zeros(0, dtype=np.int64)
+        heads = self.heads_of(flat, np.repeat(np.array([lows[i] or 0 for i in range(len(texts))], dtype=np.int64), sizes)) if len(flat) else flat
+        offsets, empty = np.concatenate([[0], np.cumsum(sizes)]), pa.array([f is None for f in found])
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x), mask=empty) for x in (flat, heads)]
+        columns = [[len(s) for s in sets], lows, highs, [halves(text_digest(t))[0] for t in texts]]
+        return [*[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary()), *lists]
+
+
+def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc, n, low, high, tid, bits, sigs, heads) of each row, as SetColumns gives them, in one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    longs = pa.list_(pa.int64())
 
     def run(batches):
-        shingler, given, heads_of = Shingler(words), set(), Heads()
+        shingler, columns_of = Shingler(words), SetColumns(sign)
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            sets = [shingler(t) for t in texts]
-            digests = [set_digest(s) if len(s) else None for s in sets]
-            lows, highs = zip(*[(None, None) if d is None else halves(d) for d in digests], strict=True)
-            found = []
-            for shingles, digest in zip(sets, digests, strict=True):
-                new = digest is not None and digest not in given
-                if new:
-                    given.add(digest)
-                found.append(sign(shingles).view(np.int64) if new else None)
-            new = [i for i, f in enumerate(found) if f is not None]
-            sizes = np.array([0 if f is None else len(f) for f in found])
-            flat = np.concatenate([found[i] for i in new]) if new else np.zeros(0, dtype=np.int64)
-            heads = heads_of(flat, np.repeat(np.array([lows[i] or 0 for i in range(len(texts))], dtype=np.int64), sizes)) if len(flat) else flat
-            offsets, empty = np.concatenate([[0], np.cumsum(sizes)]), pa.array([f is None for f in found])
-            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x), mask=empty) for x in (flat, heads)]
-            columns = [[len(s) for s in sets], lows, highs, [halves(text_digest(t))[0] for t in texts]]
-            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([("doc", batch.schema.field(0).type), *[(c, pa.int64()) for c in ("n", "low", "high", "tid")], ("bits", pa.binary()), ("sigs", longs), ("heads", longs)]))
-
-    array = T.ArrayType(T.LongType())
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("n", "low", "high", "tid")], T.StructField("bits", T.BinaryType()), T.StructField("sigs", array), T.StructField("heads", array)]))
+            columns = columns_of(texts, [shingler(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", *[c for c, _ in SetColumns.ARROW]])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *SetColumns.SPARK]))
 
 
 def collided(keyed: DataFrame) -> frozenset[int]:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import join_hot, materialize, slices
-from helixframe.llm.jaccard import Shingler, classes, halves, mixed, numbered, set_digest, set_rows
+from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize, slices
+from helixframe.llm.jaccard import SetColumns, Shingler, classes, mixed, numbered, set_rows
 
 #: Hash functions, and the rows of a band. Of sets with a similarity of 0.8, all but one pair in 10**7 share a band; at 0.3, a fifth.
 FUNCTIONS, ROWS = 128, 4
@@ -47,9 +47,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def bands(shingles: np.ndarray) -> np.ndarray:
     """A key (uint64) for each band of the signature; none for no shingles."""
-    if not len(shingles):
-        return np.zeros(0, dtype=np.uint64)
-    rows = signature(shingles).astype(np.uint64).reshape(-1, ROWS)
+    return band_keys(signature(shingles)) if len(shingles) else np.zeros(0, dtype=np.uint64)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    rows = least.astype(np.uint64).reshape(-1, ROWS)
     keys = np.arange(len(rows), dtype=np.uint64)
     for column in rows.T:
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
@@ -70,10 +72,8 @@ class Marked:
 
     def __init__(self, text: str, shingler: Shingler):
         self.text, self.shingles = text, shingler(text)
-        self.digits = digits(signature(self.shingles))
-
-    def fingerprint(self) -> str:
-        return self.digits.tobytes().hex()
+        self.least = signature(self.shingles)
+        self.digits = digits(self.least)
 
 
 def edited(text: str, after: str) -> str:
@@ -104,7 +104,7 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str, run, kind: T.Struct
     sent = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("tail", T.BooleanType()), *rows.schema.fields[:1], T.StructField("h", T.LongType()), T.StructField("packed", T.BinaryType())])
 
     def deal(batches):
-        pack, given = zstandard.ZstdCompressor(level=1).compress, set()
+        pack, given = zstandard.ZstdCompressor(level=3).compress, set()
         for batch in slices(batches):
             ids, texts, hashes = (c.to_pylist() for c in batch.columns)
             at, of, tail = [], [], []
@@ -139,39 +139,85 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str, run, kind: T.Struct
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n, low, high) of each row.
+    """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row, digests as binary, and jaccard.SetColumns with bands.
 
     edited(): the text with its last half from the next document, by descending id. near_edited and
-    near_next are the shares of FUNCTIONS in which fingerprints agree; n and the halves of a digest
-    name the set of shingles (null for the empty set, whose fingerprints are equal).
+    near_next are the shares of FUNCTIONS in which fingerprints agree, those of empty sets in all.
     """
-    fields = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]
-    spark_types = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.float64(): T.DoubleType()}
+    fields = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    spark_types = {pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.float64(): T.DoubleType()}
     key_type = docs.schema[id_col].dataType
-    kind = T.StructType([T.StructField("doc", key_type), *[T.StructField(n, spark_types[t]) for n, t in fields]])
+    kind = T.StructType([T.StructField("doc", key_type), *[T.StructField(n, spark_types[t]) for n, t in fields], *SetColumns.SPARK])
     arrow_key = docs.select(id_col).limit(0).toArrow().schema.field(0).type
 
-    def batch_of(rows: list) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [arrow_key, *[t for _, t in fields]], strict=True)], names=[f.name for f in kind])
-
     def run(pairs):
-        shingler, rows, own = Shingler(words), [], None
+        shingler, own, rows, marked = Shingler(words), None, [], []
+        signatures: dict[bytes, np.ndarray] = {}
+        columns_of = SetColumns(lambda shingles: band_keys(signatures[shingles.tobytes()]))
+
+        def sent():
+            signatures.clear()
+            signatures.update((m.shingles.tobytes(), m.least) for m in marked)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [arrow_key, *[t for _, t in fields]], strict=True)]
+            columns += columns_of([m.text for m in marked], [m.shingles for m in marked])
+            rows.clear()
+            marked.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[f.name for f in kind])
+
+        size = 0
         for key, text, after in pairs:
             own = own if own is not None and own.text == text else Marked(text, shingler)
             new, other = Marked(edited(text, after), shingler), Marked(after, shingler)
-            low, high = halves(set_digest(own.shingles)) if len(own.shingles) else (None, None)
-            rows.append((key, len(text), hashlib.sha256(new.text.encode()).hexdigest(), own.fingerprint(), new.fingerprint(), likeness(own.digits, new.digits), likeness(own.digits, other.digits), len(own.shingles), low, high))
-            own = other
-            if len(rows) == 512:
-                yield batch_of(rows)
-                rows = []
+            rows.append((key, len(text), hashlib.sha256(new.text.encode()).digest(), own.digits.tobytes(), new.digits.tobytes(), likeness(own.digits, new.digits), likeness(own.digits, other.digits)))
+            marked.append(own)
+            size, own = size + len(text), other
+            if len(rows) == 512 or size > 1 << 22:
+                yield sent()
+                size = 0
         if rows:
-            yield batch_of(rows)
+            yield sent()
 
     return beside_next(docs, id_col, text_col, run, kind)
 
 
+def shared_bands(keyed: DataFrame) -> DataFrame:
+    """keyed, its sigs and heads without bands that one row alone has: most documents have no other.
+
+    Bands are counted as they come from the tasks, and those found twice go into a bit filter of at most
+    64 MB; what it lets through by chance is a list of one set.
+    """
+    twice = keyed.select(F.explode("sigs").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    bits = keyed.sparkSession.sparkContext.broadcast(bit_filter(materialize(twice)))
+    rows = keyed.withColumn("lone", F.col("sigs").isNull())
+
+    def run(batches):
+        known = bits.value
+        for batch in batches:
+            at = batch.schema.get_field_index("sigs")
+            sigs, heads = batch.column(at), batch.column(at + 1)
+            sizes = np.diff(sigs.offsets.to_numpy())
+            first, last = sigs.offsets[0].as_py(), sigs.offsets[-1].as_py()
+            flat = sigs.values.to_numpy()[first:last]
+            keep = in_filter(known, flat.view(np.uint64))
+            kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            bounds = pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32())
+            columns = list(batch.columns)
+            for i, values in ((at, flat), (at + 1, heads.values.to_numpy()[heads.offsets[0].as_py() : heads.offsets[-1].as_py()])):
+                columns[i] = pa.ListArray.from_arrays(bounds, pa.array(values[keep]), mask=batch.column(batch.schema.get_field_index("lone")))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema).drop("lone")
+
+
+def with_classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """keyed (materialized) with n_shingles and component instead of the columns of sets."""
+    narrow = materialize(shared_bands(keyed.select("doc", *[f.name for f in SetColumns.SPARK])))
+    doubled, of_sid = classes(docs, narrow, text_col, words, num, den)
+    rows = numbered(keyed, doubled).drop("low", "high", "tid", "bits", "sigs", "heads")
+    rows = join_hot(rows, of_sid, ["sid"], "docs", ["doc"], "left")
+    return rows.withColumnRenamed("n", "n_shingles").withColumn("component", F.coalesce("least", "doc")).drop("sid", "least", "docs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of docs: doc, n_shingles, component (the least id reachable by links).
 
@@ -179,21 +225,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none below the bound links. Sets, empty texts, repeated rows, null ids and empty tables are as in
     jaccard.jaccard_join(), which finds the pairs without bands.
     """
-    keyed = materialize(set_rows(docs, id_col, text_col, words, bands))
-    doubled, of_sid = classes(docs, keyed, text_col, words, num, den)
-    rows = join_hot(numbered(keyed, doubled).select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
-    return rows.select("doc", F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component"))
+    return with_classes(docs, materialize(set_rows(docs, id_col, text_col, words, bands)), text_col, words, num, den)
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of fingerprint_edits() with n_shingles and component as near_duplicates() gives them.
+    """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) as fingerprint_edits() gives them, digests as lowercase hex, with n_shingles and component as near_duplicates() does.
 
     Null texts are empty; equal texts have equal fingerprints; whole texts count, however long. Repeated
     rows give a row each, a null id stays null (and comes last in the order); one row alone is its own
     next. An empty table gives an empty one; other columns of docs are not read.
     """
-    keyed = materialize(set_rows(docs, id_col, text_col, words, bands))
-    doubled, of_sid = classes(docs, keyed, text_col, words, num, den)
-    rows = numbered(fingerprint_edits(docs, id_col, text_col, words), doubled).drop("low", "high")
-    rows = join_hot(rows, of_sid, ["sid"], "docs", ["doc"], "left")
-    return rows.withColumnRenamed("n", "n_shingles").withColumn("component", F.coalesce("least", "doc")).drop("sid", "least", "docs")
+    rows = with_classes(docs, materialize(fingerprint_edits(docs, id_col, text_col, words)), text_col, words, num, den)
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})

@@ -48,9 +48,9 @@ def test_edits_follow_the_order_of_ids(spark, partitions, monkeypatch):
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
         r = rows[i]
-        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(new.encode()).digest()
         own, other, nxt = sets[i], next(sets_of([new], 3)), sets[i - 1]
-        parts = [[f[k : k + 4] for k in range(0, len(f), 4)] for f in (r["fingerprint"], r["edited_fingerprint"], rows[i - 1 if i else len(texts) - 1]["fingerprint"])]
+        parts = [[bytes(f[k : k + 2]) for k in range(0, len(f), 2)] for f in (r["fingerprint"], r["edited_fingerprint"], rows[i - 1 if i else len(texts) - 1]["fingerprint"])]
         assert r["near_edited"] == np.mean([a == b for a, b in zip(parts[0], parts[1], strict=True)])
         assert r["near_next"] == np.mean([a == b for a, b in zip(parts[0], parts[2], strict=True)])
         assert r["near_edited"] == pytest.approx(len(own & other) / len(own | other) if own | other else 1, abs=0.25)
