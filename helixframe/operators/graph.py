@@ -2,7 +2,6 @@
 
 import tempfile
 import uuid
-import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,7 +79,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     """
     state, before = checkpointed(edges.where("src <> dst").select("src", "dst").distinct()), None
     for _ in range(most_rounds):
-        state = checkpointed(small_star(large_star(state)))
+        last, state = state, checkpointed(small_star(large_star(state)))
+        forgotten(last)
         mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if mark == before:
             found = state.select(F.col("src").alias("node"), F.col("dst").alias("component"))
@@ -89,29 +89,45 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
+def swept(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, old, new): all nodes have taken the winner among their neighbours' labels, one after the other in the order of nodes.
+
+    A node sees the new labels of smaller nodes and the old ones of larger ones. So new labels are the
+    only ones that fit to each other, and are found by taking all winners at once, again and again for
+    the nodes of which a smaller neighbour has moved: as often as the longest chain of such moves.
+    """
+    state, rows = labels.select("node", F.col("label").alias("old"), F.col("label").alias("new")), near
+    while True:
+        seen = rows.join(state.withColumnRenamed("node", "dst"), "dst")
+        votes = seen.groupBy("src", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")).alias("label")).agg(F.round(F.sum("w"), 9).alias("w"))
+        best = votes.groupBy("src").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"))
+        before = state
+        state = checkpointed(state.join(best, F.col("node") == F.col("src"), "left").select("node", "old", F.col("new").alias("was"), F.coalesce("best", "new").alias("new")))
+        if rows is not near:
+            forgotten(before)
+        moved = state.where("new <> was").select(F.col("node").alias("dst"))
+        if not moved.limit(1).count():
+            return state
+        rows = near.join(near.where("dst < src").join(moved, "dst", "left_semi").select("src").distinct(), "src", "left_semi")
+
+
 def label_propagation(spark: SparkSession, nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, most_rounds: int = 100) -> DataFrame:
-    """(node, label): each node takes the label with the largest sum of resolution / (dist + 1e-10) over its edges (src, dst, dist).
+    """(node, label, settled): node after node, each takes the label with the largest sum of resolution / (dist + 1e-10) over its edges (src, dst, dist).
 
-    In each round all nodes vote and three quarters, drawn by hash anew each round, take the winner, so
-    that neighbours do not swap labels for ever; a node after the other, as a single process does it,
-    would be one task. It ends when no node would change; where that takes more than most_rounds, a
-    warning says so. Ties go to the smallest label; nodes without edges keep theirs. Labels are then
-    numbered by first appearance in the order of nodes.
+    A round goes through all nodes in their order, and each sees what those before it took (swept()
+    does so in parallel, with the same result). It ends after a round in which no label changes, or after most_rounds;
+    settled tells whether a node's label stayed in the last round. Ties go to the smallest label; nodes
+    without edges keep theirs. Labels are then numbered by first appearance in the order of nodes.
     """
     near = checkpointed(edges.select("src", "dst", (resolution / (F.col("dist") + 1e-10)).alias("w")))
-    labels = checkpointed(nodes.select("node", F.col("node").alias("label")).distinct())
-    for number in range(most_rounds):
-        votes = near.join(labels, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node"), "label").agg(F.round(F.sum("w"), 9).alias("w"))
-        best = votes.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("new"))
-        turn = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(4)) > 0
-        after = labels.join(best, "node", "left").select("node", "label", F.coalesce("new", "label").alias("new"))
-        after = checkpointed(after.select("node", "label", "new", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("next")))
-        changed = after.where("label <> new").limit(1).count()
-        labels = after.select("node", F.col("next").alias("label"))
-        if not changed:
+    labels = checkpointed(nodes.select("node", F.col("node").alias("label")).distinct().withColumn("settled", F.lit(True)))
+    for _ in range(most_rounds):
+        after = swept(near, labels)
+        last, labels = labels, checkpointed(after.select("node", F.col("new").alias("label"), (F.col("new") == F.col("old")).alias("settled")))
+        forgotten(last)
+        forgotten(after)
+        if not labels.where(~F.col("settled")).limit(1).count():
             break
-    else:
-        warnings.warn(f"labels have not settled in {most_rounds} rounds", stacklevel=2)
     return renumbered(labels)
 
 
@@ -119,4 +135,4 @@ def renumbered(labels: DataFrame) -> DataFrame:
     """Labels as 0, 1, ... in the order in which they first appear along the nodes. Many labels are no single task: they are numbered by ranges."""
     firsts = labels.groupBy("label").agg(F.min("node").alias("first"))
     numbers = numbered(firsts, ["first"], "number").select("label", "number")
-    return labels.join(numbers, "label").select("node", F.col("number").alias("label"))
+    return labels.join(numbers, "label").select("node", F.col("number").alias("label"), *[c for c in labels.columns if c not in ("node", "label")])

@@ -58,13 +58,13 @@ def analyze(counts: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolutio
 def embed(values: DataFrame, cells: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0) -> dict[str, DataFrame]:
     """Normalised values of the chosen genes to cells, pca, neighbours, clusters and variances: scale, PCA, kNN, labels."""
     spark = values.sparkSession
-    n_cells, n_genes = cells.count(), values.select("gene").distinct().count()
-    vectors = graph.checkpointed(analysis.as_vectors(analysis.scale(values, cells)))
-    scores, variances = analysis.pca(vectors, max(1, min(n_pcs, n_genes - 1, n_cells - 1)))
+    scaled = analysis.scaled_cells(values, cells)
+    n_cells, n_genes = scaled.rows.count(), len(scaled.zeros)
+    scores, variances = analysis.pca_scaled(scaled, max(1, min(n_pcs, n_genes - 1, n_cells - 1)))
     scores = graph.checkpointed(scores)
     neighbours = graph.checkpointed(analysis.knn(scores.withColumnRenamed("scores", "coords"), max(1, min(n_neighbors, n_cells - 1))))
     labels = graph.label_propagation(spark, scores.select("node"), neighbours.select("src", "dst", "dist"), resolution)
-    return {"cells": vectors.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels, "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
+    return {"cells": scaled.rows.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels.drop("settled"), "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
 
 
 def filtered_analysis(counts: DataFrame, min_genes: int = 200, max_genes: int = 10000, max_mito: float = 20.0, n_top_genes: int = 2000, target_sum: float = 10000.0, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0) -> dict[str, DataFrame]:

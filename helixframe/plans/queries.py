@@ -584,20 +584,36 @@ def knn_connectivity(spark, d):
     return analysis.connectivity(analysis.knn(views.vectors(spark, d), 5))
 
 
-def gene_vectors(spark, d):
-    values = logged(spark, d)
-    return analysis.as_vectors(analysis.scale(values, matrix.cells(views.counts_b(spark, d))))
+def scaled_genes(spark, d):
+    return analysis.scaled_cells(logged(spark, d), matrix.cells(views.counts_b(spark, d)))
 
 
 @query()
 def pca_variance(spark, d):
     """Variances of the ten first components; a test holds them against numpy."""
-    _, variances = analysis.pca(graph.checkpointed(gene_vectors(spark, d)), 10)
+    _, variances = analysis.pca_scaled(scaled_genes(spark, d), 10)
     return spark.createDataFrame(list(enumerate(variances)), "component int, variance double")
 
 
+@query(
+    f"""WITH {NORMALIZED}, cl AS (SELECT DISTINCT barcode FROM counts), full_grid AS (SELECT g.gene, cl.barcode, coalesce(l.x, 0) AS x FROM (SELECT DISTINCT gene FROM counts) g CROSS JOIN cl LEFT JOIN logged l ON l.gene = g.gene AND l.barcode = cl.barcode),
+    s AS (SELECT gene, avg(x) AS m, stddev_pop(x) AS sd FROM full_grid GROUP BY gene), z AS (SELECT f.gene, barcode, greatest(least((x - m) / greatest(sd, 1e-12), 10.0), -10.0) AS z FROM full_grid f JOIN s ON s.gene = f.gene),
+    products AS (SELECT a.gene AS i, b.gene AS j, sum(a.z * b.z) / (SELECT count(*) FROM cl) AS v FROM z a JOIN z b ON a.barcode = b.barcode GROUP BY ALL)
+    SELECT (SELECT count(*) FROM s)::BIGINT AS components, round(sum(v) FILTER (i = j), 6) AS total, round(sum(v * v), 4) AS squares FROM products"""
+)
+def pca_moments(spark, d):
+    """Of all components: the variances add up to the trace of the genes' products, and their squares to its squared norm."""
+    scaled = scaled_genes(spark, d)
+    _, variances = analysis.pca_scaled(scaled, len(scaled.zeros))
+    kept = spark.createDataFrame([(v,) for v in variances], "v double")
+    total = kept.agg(F.round(F.sum("v"), 6).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 4).alias("squares"))
+    genes = scaled.rows.select(F.explode("genes").alias("g")).agg(F.count_distinct("g").alias("components"))
+    return genes.crossJoin(total)  # one row each
+
+
 @query()
 def label_propagation(spark, d):
+    """A test holds it against one loop over the nodes."""
     edges = graph.checkpointed(analysis.knn(views.vectors(spark, d), 5))
     return graph.label_propagation(spark, edges.select(F.col("src").alias("node")), edges.select("src", "dst", "dist"))
 
