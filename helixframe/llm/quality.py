@@ -157,44 +157,80 @@ def priced(wanted: DataFrame, tables: dict) -> DataFrame:
     return rows.select("model", "first", "gram", (-F.log2("p")).cast("float").alias("cost"))
 
 
+def gram_hash(first: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The place of a 4-gram in a sorted array: 63 bits, so that Spark sorts them alike."""
+    mixed = gram.view(np.uint64) * MIX ^ first.astype(np.uint64) * MIX_LEAD
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * MIX_LEAD >> np.uint64(1)).astype(np.int64)
+
+
+def sorted_by_hash(prices: DataFrame) -> DataFrame:
+    """prices (model, first, gram, cost) with hash, in ranges of (model, hash) and sorted in each: parts of one sorted array for each model."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = gram_hash(batch["first"].to_numpy(), batch["gram"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes)], names=[*batch.schema.names, "hash"])
+
+    hashed = prices.mapInArrow(run, T.StructType([*prices.schema.fields, T.StructField("hash", T.LongType())]))
+    return materialize(hashed.repartitionByRange("model", "hash").sortWithinPartitions("model", "hash"))
+
+
+class SortedHashes:
+    """A model's costs in the order of their hashes, each beside its whole 4-gram.
+
+    A hash is looked up in its stretch of the array: stretches are as many as entries or up to twice
+    so many, by the high bits, so one has an entry or two.
+    """
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, gram: np.ndarray, cost: np.ndarray):
+        self.hashes, self.first, self.gram, self.cost = hashes, first, gram, cost
+        bits = max(1, len(hashes).bit_length())
+        self.shift = 63 - bits
+        self.stretch = np.searchsorted(hashes, np.arange(1 << bits) << self.shift).astype(np.int32)
+
+    def of(self, first: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """The cost of each 4-gram."""
+        wanted = gram_hash(first, gram)
+        at = self.stretch[wanted >> self.shift]
+        last = len(self.hashes) - 1
+        left = np.arange(len(at))
+        while len(left):
+            here = np.minimum(at[left], last)
+            if (at[left] > last).any() or (self.hashes[here] > wanted[left]).any():
+                raise RuntimeError("a text has a 4-gram that was not counted; the documents must be the same each time they are read")
+            left = left[(self.first[here] != first[left]) | (self.gram[here] != gram[left])]
+            at[left] += 1
+        return self.cost[at]
+
+
 class Costs:
-    """Costs in bits by 4-gram, found by hash and compared whole."""
+    """Costs in bits by model and 4-gram, from a table as sorted_by_hash() has it; parts may come in any order."""
 
     def __init__(self, table: pa.Table):
         models = table["model"].combine_chunks().dictionary_encode()
-        self.models = {m: i for i, m in enumerate(models.dictionary.to_pylist())}
-        self.lead = models.indices.to_numpy().astype(np.int64) << WIDE | table["first"].to_numpy()
-        self.gram, self.cost = table["gram"].to_numpy(), table["cost"].to_numpy()
-        self.slots = np.full(1 << max(4, (3 * len(table)).bit_length()), -1, dtype=np.int32)
-        left, at = np.arange(len(table), dtype=np.int32), self.home(self.lead, self.gram)
-        while len(left):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = left[free]
-            lost = self.slots[at] != left
-            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
-
-    def home(self, lead: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        mixed = gram.view(np.uint64) * MIX ^ lead.view(np.uint64) * MIX_LEAD
-        mixed ^= mixed >> np.uint64(29)
-        return (mixed * MIX_LEAD >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+        of, columns = models.indices.to_numpy(), [table[c].to_numpy() for c in ("hash", "first", "gram", "cost")]
+        self.models = {}
+        for i, model in enumerate(models.dictionary.to_pylist()):
+            own = [c[of == i] for c in columns]
+            if (own[0][1:] < own[0][:-1]).any():  # parts out of order
+                order = np.argsort(own[0], kind="stable")
+                own = [c[order] for c in own]
+            self.models[model] = SortedHashes(*own)
 
     def of(self, models: list[str], texts: list[str]) -> np.ndarray:
         """Bits of each text."""
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        first, gram, begins = grams_of(texts)
-        lead = np.repeat(np.array([self.models.get(m, -1) for m in models], dtype=np.int64) << WIDE, sizes) | first
-        at = self.home(lead, gram)
-        row = self.slots[at]
-        left = np.flatnonzero((self.lead[row] != lead) | (self.gram[row] != gram)) if len(self.gram) else np.arange(len(row))
-        while len(left):
-            if (row[left] < 0).any():
+        out, models = np.zeros(len(texts)), np.array(models, dtype=object)
+        for model in set(models.tolist()):
+            at = np.flatnonzero(models == model)
+            sizes = np.array([len(texts[i]) for i in at], dtype=np.int64)
+            at, sizes = at[sizes > 0], sizes[sizes > 0]
+            if not len(at):
+                continue
+            if model not in self.models:
                 raise RuntimeError("a text has a 4-gram that was not counted; the documents must be the same each time they are read")
-            at[left] = (at[left] + 1) & (len(self.slots) - 1)
-            row[left] = self.slots[at[left]]
-            left = left[(self.lead[row[left]] != lead[left]) | (self.gram[row[left]] != gram[left])]
-        out, full = np.zeros(len(texts)), np.flatnonzero(sizes)
-        if len(full):
-            out[full] = np.add.reduceat(self.cost[row].astype(np.float64), begins[full])
+            first, gram, begins = grams_of([texts[i] for i in at])
+            out[at] = np.add.reduceat(self.models[model].of(first, gram).astype(np.float64), begins)
         return out
 
 
@@ -208,7 +244,7 @@ class Scorer:
         """Bits of each text."""
         rows = self.tables[ORDER].sparkSession.createDataFrame(list(zip(models, texts, strict=True)), "model string, text string")
         wanted = count_grams(rows, F.col("model"), "text").select("model", "first", "gram")
-        return Costs(priced(wanted, self.tables).toArrow()).of(models, texts)
+        return Costs(sorted_by_hash(priced(wanted, self.tables)).toArrow()).of(models, texts)
 
 
 def numbered_blocks(rows: DataFrame) -> DataFrame:
@@ -271,7 +307,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_
     texts = docs.select(F.col(id_col).alias("doc"), lang.alias("lang"), F.concat(fold, lang).alias("model"), F.col(text_col).alias("text"))
     tables = train(texts, F.col("model"), "text")
     other = F.overlay("model", F.translate(F.substring("model", 1, 1), "01", "10"), F.lit(1))
-    prices = materialize(priced(tables[ORDER].select(other.alias("model"), "first", "gram"), tables))
+    prices = sorted_by_hash(priced(tables[ORDER].select(other.alias("model"), "first", "gram"), tables))
     rows = materialize(measure(texts.withColumn("model", other), prices)).withColumn("bits_per_char", F.try_divide(F.col("bits"), F.col("n_chars")))
     full = rows.where(F.col("n_chars") > 0)
     middle = materialize(full.groupBy("lang").agg(F.percentile_approx("bits_per_char", 0.5, 10000).alias("middle"), F.count(F.lit(1)).alias("docs")))
