@@ -3,9 +3,10 @@
 The language model is modified Kneser-Ney over 4-grams of characters, one model per language. Spark
 counts the 4-grams of all documents (each task sends sums), derives the continuation counts and
 discounts of all orders, and prices each 4-gram that the documents have by joins. N-grams are kept
-whole, 21 bits a character, so tables have a row for each and grow with the corpus. A table of at most
-FEW_GRAMS rows is broadcast; a larger one is joined to the distinct 4-grams of blocks of texts, and
-each block is measured with its own part.
+whole, 21 bits a character, so tables have a row for each and grow with the corpus. Costs are stored in
+arrays sorted by hash, with the whole 4-gram beside each hash. A table of at most FEW_GRAMS rows is
+broadcast; a larger one is joined to the distinct 4-grams of blocks of texts, and each block is
+measured with its own part.
 """
 
 import numpy as np
