@@ -24,14 +24,14 @@ def mismatch_index(whitelist: DataFrame) -> DataFrame:
     return spread.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original"))
 
 
-def nearest(barcodes: DataFrame, whitelist: DataFrame, max_distance: int) -> DataFrame:
-    """(barcode, distance, n, original): the least distance up to max_distance to the whitelist and how many have it."""
+def nearest(barcodes: DataFrame, whitelist: DataFrame, max_distance: int, by: tuple = ()) -> DataFrame:
+    """(*by, barcode, distance, n, original): the least distance up to max_distance to the whitelist (of each by) and how many have it."""
     parts = max_distance + 1
-    cut = lambda df, c, name: df.select(F.col(c).alias(name), F.length(c).alias("len"), F.explode(segments(c, parts)).alias("s")).select(name, "len", "s.part", "s.text")
-    near = cut(barcodes, "barcode", "barcode").join(cut(whitelist.distinct(), "barcode", "original"), ["len", "part", "text"]).select("barcode", "original").distinct()
+    cut = lambda df, c, name: df.select(*by, F.col(c).alias(name), F.length(c).alias("len"), F.explode(segments(c, parts)).alias("s")).select(*by, name, "len", "s.part", "s.text")
+    near = cut(barcodes, "barcode", "barcode").join(cut(whitelist.distinct(), "barcode", "original"), [*by, "len", "part", "text"]).select(*by, "barcode", "original").distinct()
     near = near.withColumn("distance", hamming("barcode", "original")).where(F.col("distance") <= max_distance)
-    ranked = near.groupBy("barcode", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original"))
-    return ranked.groupBy("barcode").agg(F.min(F.struct("distance", "n", "original")).alias("best")).select("barcode", "best.*")
+    ranked = near.groupBy(*by, "barcode", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original"))
+    return ranked.groupBy(*by, "barcode").agg(F.min(F.struct("distance", "n", "original")).alias("best")).select(*by, "barcode", "best.*")
 
 
 def lookup(whitelist: DataFrame, by: tuple = ()) -> DataFrame:
@@ -75,24 +75,26 @@ def correct(barcodes: DataFrame, whitelist: DataFrame, max_distance: int = 1) ->
     return with_far(first, far)
 
 
-def with_far(rows: DataFrame, far: DataFrame) -> DataFrame:
-    """rows of judged() with the only nearest entries (barcode, far, found) put in."""
-    joined, hit = rows.join(far, "barcode", "left"), F.col("far").isNotNull()
+def with_far(rows: DataFrame, far: DataFrame, by: tuple = ()) -> DataFrame:
+    """rows of judged() with the only nearest entries (*by, barcode, far, found) put in."""
+    joined, hit = rows.join(far, [*by, "barcode"], "left"), F.col("far").isNotNull()
     added = {"status": F.when(hit, "corrected").otherwise(F.col("status")), "corrected": F.coalesce("found", "corrected"), "distance": F.coalesce("far", "distance")}
     return joined.withColumns(added).drop("open", "far", "found")
 
 
-def correct_reads(reads: DataFrame, whitelist: DataFrame, max_distance: int = 1) -> DataFrame:
+def correct_reads(reads: DataFrame, whitelist: DataFrame, max_distance: int = 1, by: tuple = ()) -> DataFrame:
     """Adds status, cell (the corrected barcode or null) and distance to each read; null barcodes stay null.
 
-    Within distance 1 the reads meet the lookup table in one join, without a pass for distinct barcodes.
+    by: columns of reads and whitelist that name the whitelist of a read, such as its sample. Within
+    distance 1 the reads meet the lookup table in one join, without a pass for distinct barcodes.
     """
-    first = judged(reads, lookup(whitelist.select("barcode")), max_distance)
+    wl = whitelist.select(*by, "barcode")
+    first = judged(reads, lookup(wl, by), max_distance, by)
     if max_distance <= 1:
         return first.drop("open").withColumnRenamed("corrected", "cell")
-    left = checkpointed(first.where("open").select("barcode").distinct())
-    far = nearest(left, whitelist.select("barcode").distinct(), max_distance).where("n = 1").select("barcode", F.col("distance").alias("far"), F.col("original").alias("found"))
-    return with_far(first, far).select(*reads.columns, "status", F.col("corrected").alias("cell"), "distance")
+    left = checkpointed(first.where("open").select(*by, "barcode").distinct())
+    far = nearest(left, wl.distinct(), max_distance, by).where("n = 1").select(*by, "barcode", F.col("distance").alias("far"), F.col("original").alias("found"))
+    return with_far(first, far, by).select(*reads.columns, "status", F.col("corrected").alias("cell"), "distance")
 
 
 def check_lengths(whitelist: DataFrame) -> DataFrame:

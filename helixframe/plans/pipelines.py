@@ -1,8 +1,11 @@
 """Whole analyses: extract, count, qc, analyze, validate, batch, compare."""
 
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,29 +153,48 @@ def run_sample(spark: SparkSession, r1: str, whitelist: str, output: str, r2: st
     return report
 
 
-def run_manifest(spark: SparkSession, manifest: str, output: str, max_mismatch: int = 1) -> DataFrame:
-    """(sample, status, error) of each sample of a manifest: its own files, whitelist and protocol. A sample that fails is reported, the others go on."""
-    results = []
-    for row in sources.read_manifest(spark, manifest).collect():  # a manifest names files, a few rows
+def run_manifest(spark: SparkSession, manifest: str, output: str, max_mismatch: int = 1, parallel_samples: int = 4) -> DataFrame:
+    """(sample, status, error) of each sample of a manifest: its own files, whitelist and protocol.
+
+    So many samples run side by side, each as a job group of its own name in a scheduler pool of its
+    own (pools share the cores where spark.scheduler.mode is FAIR). A sample that fails is reported,
+    what it left running is cancelled, and the others go on.
+    """
+    context = spark.sparkContext
+
+    def run(row) -> tuple[str, str, str | None]:
+        sample = row["sample_name"]
+        group = f"sample {sample} {uuid.uuid4().hex}"
+        context.setJobGroup(group, f"sample {sample}", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", group)
         try:
             settings = {"protocol": row["protocol"]} if row["protocol"] else {}
-            run_sample(spark, row["r1"], row["whitelist"], f"{output}/{row['sample_name']}", r2=row["r2"], sample=row["sample_name"], max_mismatch=max_mismatch, **settings)
-            results.append((row["sample_name"], "ok", None))
+            run_sample(spark, row["r1"], row["whitelist"], f"{output}/{sample}", r2=row["r2"], sample=sample, max_mismatch=max_mismatch, **settings)
+            return sample, "ok", None
         except Exception as e:  # noqa: BLE001 - whatever a sample's files cause must not stop the others
-            results.append((row["sample_name"], "failed", " ".join(str(e).split())[:500]))
+            context.cancelJobGroup(group)
+            return sample, "failed", " ".join(str(e).split())[:500]
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    rows = sources.read_manifest(spark, manifest).collect()  # a manifest names files, a few rows
+    with ThreadPoolExecutor(max(1, parallel_samples)) as pool:
+        jobs = [pool.submit(inheritable_thread_target(spark)(run), row) for row in rows]
+        results = [job.result() for job in jobs]
     return spark.createDataFrame(results, "sample string, status string, error string")
 
 
 def batch_each(samples: DataFrame, whitelists: DataFrame, max_mismatch: int = 1) -> DataFrame:
-    """Counters of samples that have a layout and a whitelist each, as one job: samples (sample, protocol, seq, qual), whitelists (sample, barcode).
+    """Counters of samples that have a layout and a whitelist each, as one job over one scan: samples (sample, protocol, seq, qual), whitelists (sample, barcode).
 
-    Distances up to 1. An unknown protocol counts as the default one; a sample without a whitelist has no valid reads.
+    An unknown protocol counts as the default one; a sample without a whitelist has no valid reads.
     """
     chosen = {name: schemas.protocol_or_default(name) for name in schemas.PROTOCOLS}
-    named = F.when(F.col("protocol").isin(*chosen), F.col("protocol")).otherwise("10x-3prime-v3")
-    parts = [reads.extract(samples.where(named == name), p).select("sample", "barcode") for name, p in chosen.items()]
-    found = barcodes.judged(reduce(DataFrame.unionByName, parts), barcodes.lookup(whitelists, ("sample",)), min(max_mismatch, 1), ("sample",))
-    return found.groupBy("sample").agg(F.count(F.lit(1)).alias("total_reads"), F.count("corrected").alias("valid_reads"), F.count_distinct("corrected").alias("n_cells"))
+    barcode = reads.components(schemas.protocol_or_default(None))["barcode"]
+    for name, layout in chosen.items():
+        barcode = F.when(F.col("protocol") == name, reads.components(layout)["barcode"]).otherwise(barcode)
+    found = barcodes.correct_reads(samples.select("sample", barcode.alias("barcode")), whitelists, max_mismatch, ("sample",))
+    return found.groupBy("sample").agg(F.count(F.lit(1)).alias("total_reads"), F.count("cell").alias("valid_reads"), F.count_distinct("cell").alias("n_cells"))
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as seqs
 from helixframe.functions.register import register
+from helixframe.functions.tables import register_tables
 from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, umis, validation
 from helixframe.plans import pipelines, views
 from helixframe.plans.views import COUNTS_A, COUNTS_B, CORRECTED, EXTRACTED, GRID, READS
@@ -218,6 +219,23 @@ def sql_functions(spark, d):
     return spark.sql("SELECT rec_no, subsequence(seq, 4, 8) AS part, CAST(hamming(substring(seq, 1, 8), substring(seq, 9, 8)) AS BIGINT) AS off, gene_of_read_id(id) AS gene, is_mito(gene) AS mito, byte_sum(qual) - 33 * length(qual) AS phred FROM helixframe_reads")
 
 
+@query(f"WITH {READS} SELECT rec_no, CASE WHEN length(seq) >= 20 THEN substr(seq, 1, 12) END AS barcode, CASE WHEN length(seq) >= 20 THEN substr(seq, 13, 8) END AS umi, CASE WHEN length(seq) >= 20 THEN length(substr(seq, 21)) END::BIGINT AS cdna_len FROM reads")
+def sql_extract_protocol(spark, d):
+    """A protocol's layout as a table function in SQL."""
+    register_tables(spark)
+    views.reads(spark, d).select("rec_no", "seq").createOrReplaceTempView("helixframe_reads")
+    return spark.sql("SELECT rec_no, barcode, umi, CAST(length(cdna) AS BIGINT) AS cdna_len FROM extract_protocol(TABLE(helixframe_reads), protocol => 'drop-seq')")
+
+
+@query(f"WITH {EXTRACTED} SELECT e.barcode AS cell, r.gene, count(*)::BIGINT AS n_reads, count(DISTINCT e.umi)::BIGINT AS n_umis FROM extracted e JOIN reads r ON r.rec_no = e.rec_no WHERE e.barcode IS NOT NULL GROUP BY ALL")
+def sql_umi_counts(spark, d):
+    """Reads and UMIs of each cell and gene by a table function over partitions."""
+    register_tables(spark)
+    found = reads.extract(views.reads(spark, d)).where("barcode is not null").select(F.col("barcode").alias("cell"), "gene", "umi")
+    found.createOrReplaceTempView("helixframe_found")
+    return spark.sql("SELECT * FROM umi_counts(TABLE(helixframe_found) PARTITION BY (cell, gene) ORDER BY umi)")
+
+
 # ---- barcodes
 
 

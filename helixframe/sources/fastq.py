@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader
 
 from helixframe.sources.splits import RANGE_BYTES, ByteRange, chunks, located, paths_of, ranges_of
 
@@ -174,13 +174,43 @@ class FastqReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([part.place]), pa.array([total]), pa.array([part.path]), *[pa.nulls(1, pa.string())] * 2], schema=ARROW)
 
 
+class FastqStream(DataSourceStreamReader):
+    """Files as they come into folders. An offset names the files up to it with their sizes, so a query that starts anew goes on with those it has not had.
+
+    A file must be whole when it appears under its name, and stay as it is.
+    """
+
+    def __init__(self, options: dict):
+        self.options, self.batch = options, FastqReader({k: v for k, v in options.items() if k not in ("counts", "firsts")} | {"path": ""})
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        out = {}
+        for path in paths_of(self.options, (".fastq", ".fq")):
+            system, where = located(path)
+            out[path] = system.get_file_info(where).size
+        return out
+
+    def partitions(self, start: dict, end: dict):
+        return ranges_of(sorted(set(end) - set(start)), self.batch.size)
+
+    def read(self, part: ByteRange | None):
+        return self.batch.read(part)
+
+    def commit(self, end: dict):
+        pass
+
+
 class FastqSource(DataSource):
     """format("fastq"): range, at, id, seq, qual; range numbers the ranges of all files, at the records of a range from 0; FASTA records have an empty quality.
 
     Options: path (files and folders, comma-separated), range_bytes (32 MB), counts (a row for each
     range instead: how many records in at, the file in id), firsts (a Parquet table (range, first): the
     number of each range's first record, so that at counts the records of a file). Files are of one
-    kind, FASTQ or FASTA, by their first record; those of one range may mix them.
+    kind, FASTQ or FASTA, by their first record; those of one range may mix them. As a stream, files
+    that come into the folders are read once each.
     """
 
     @classmethod
@@ -193,6 +223,9 @@ class FastqSource(DataSource):
     def reader(self, schema):
         return FastqReader(self.options)
 
+    def streamReader(self, schema):
+        return FastqStream(self.options)
+
 
 def read_fastq(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(rec_no, id, seq, qual); rec_no counts a file's records from 0.

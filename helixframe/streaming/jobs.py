@@ -3,15 +3,14 @@
 Sources are folders or files of Parquet; every job reads what is there and ends (availableNow).
 """
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.operators.graph import checkpointed
-from helixframe.sources.files import read_fastq
+from helixframe.operators.graph import numbered, shared_folder
+from helixframe.sources.fastq import FastqSource, read_fastq
 
 
 def stream_of(spark: SparkSession, path: str, files_per_chunk: int = 16) -> DataFrame:
@@ -24,9 +23,7 @@ def stream_of(spark: SparkSession, path: str, files_per_chunk: int = 16) -> Data
     return source.option("pathGlobFilter", name).parquet(folder) if single else source.parquet(path)
 
 
-def shared(spark: SparkSession, kind: str) -> str:
-    checkpointed(spark.range(0))  # sets the folder where none is set
-    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+shared = shared_folder
 
 
 def process_chunks(stream: DataFrame, callback, spark: SparkSession) -> list[dict]:
@@ -56,8 +53,10 @@ def iter_chunks(reads: DataFrame, records: int = 100_000) -> Iterator[DataFrame]
     numbers = F.floor(F.col("rec_no") / records).cast("long")
     reads.withColumn("chunk", numbers).repartition("chunk").write.partitionBy("chunk").parquet(where)
     cut = spark.read.schema(T.StructType([*reads.schema.fields, T.StructField("chunk", T.LongType())])).parquet(where)
-    for row in cut.select("chunk").distinct().orderBy("chunk").toLocalIterator():
-        yield cut.where(F.col("chunk") == row["chunk"]).drop("chunk")
+    for row in cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).orderBy("chunk").toLocalIterator():  # counts of all chunks are one job
+        chunk = cut.where(F.col("chunk") == row["chunk"]).drop("chunk")
+        chunk.records = row["n"]
+        yield chunk
 
 
 def process_records(reads: DataFrame, callback, records: int = 1_000_000) -> dict:
@@ -66,7 +65,7 @@ def process_records(reads: DataFrame, callback, records: int = 1_000_000) -> dic
     for number, chunk in enumerate(iter_chunks(reads, records)):
         callback(chunk, number)
         stats["chunks_processed"] += 1
-        stats["processed_records"] += chunk.count()
+        stats["processed_records"] += chunk.records
     return stats
 
 
@@ -75,6 +74,31 @@ def process_fastq(spark: SparkSession, path: str, callback, records: int = 100_0
     return process_records(read_fastq(spark, path), callback, records)
 
 
+def fastq_stream(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFrame:
+    """A stream of the records (range, at, id, seq, qual) of FASTQ files that come into a folder."""
+    spark.dataSource.register(FastqSource)
+    return spark.readStream.format("fastq").option("range_bytes", range_bytes).load(path)
+
+
+def process_fastq_stream(spark: SparkSession, path: str, callback, checkpoint: str, records: int = 100_000) -> int:
+    """Calls callback(chunk, batch, number) on chunks of so many records of the files that are new since the last call with this checkpoint folder; returns how many records there were.
+
+    A batch that failed midway comes again under its own number, with the same files: a callback that
+    writes under (batch, number) and overwrites has each record once.
+    """
+    seen = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        numbered_rows = numbered(batch, ["range", "at"], "rec_no").select("rec_no", "id", "seq", "qual")
+        for n, chunk in enumerate(iter_chunks(numbered_rows, records)):
+            callback(chunk, number, n)
+            seen.append(chunk.records)
+
+    running = fastq_stream(spark, path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return sum(seen)
+
+
 def record_chunks(spark: SparkSession, reads: DataFrame, records: int) -> DataFrame:
     """(chunk, records, bases): what a callback counts in each chunk."""
     where = shared(spark, "chunks")
