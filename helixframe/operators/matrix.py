@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.graph import numbered, running_total
+from helixframe.operators.graph import checkpointed, numbered, running_total
 
 
 def count(rows: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def cells(counts: DataFrame) -> DataFrame:
 
 
 def coo(counts: DataFrame) -> DataFrame:
-    """(gene_idx, cell_idx, n)."""
+    """(gene_idx, cell_idx, n); counts is written first, as both numberings and the join read it."""
+    counts = checkpointed(counts)
     return counts.join(genes(counts), "gene").join(cells(counts), "barcode").select("gene_idx", "cell_idx", "n")
 
 
@@ -93,6 +94,11 @@ def csr(indexed_counts: DataFrame, rows: DataFrame) -> DataFrame:
     return full.select("gene_idx", "start", F.col("entries.cell_idx").alias("cells"), F.col("entries.n").alias("values"))
 
 
+def from_values(values: DataFrame) -> DataFrame:
+    """(gene, barcode, n) of the positive values of (gene, barcode, x), cut to whole numbers towards zero; repeated entries add up."""
+    return add(values.where("x > 0").select("gene", "barcode", F.col("x").cast("long").alias("n")))
+
+
 def from_dense(dense: DataFrame) -> DataFrame:
     """(gene, barcode, n) of the positive values of (gene, values map<barcode, n>)."""
     return dense.select("gene", F.explode("values").alias("barcode", "n")).where("n > 0")

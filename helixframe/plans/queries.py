@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequences as seqs
 from helixframe.functions.register import register
 from helixframe.functions.tables import register_tables
-from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, umis, validation
+from helixframe.operators import analysis, barcodes, graph, matrix, neighbours, qc, reads, umis, validation
 from helixframe.plans import pipelines, views
 from helixframe.plans.views import COUNTS_A, COUNTS_B, CORRECTED, EXTRACTED, GRID, READS
 from helixframe.schemas import PROTOCOLS, Protocol, protocol_or_default, protocol_table
@@ -597,6 +597,15 @@ def knn_graph(spark, d):
     return analysis.knn(views.vectors(spark, d), 5).select("src", "dst", *long("rank"), F.round("dist", 6).alias("dist"))
 
 
+@query("SELECT (count(*) * 5)::BIGINT AS links, TRUE AS recalled FROM embeddings")
+def knn_forest_recall(spark, d):
+    """Neighbours from a forest of trees, all links of the table, and whether an audit finds 95 % of the true ones."""
+    vectors = views.vectors(spark, d)
+    links = graph.checkpointed(neighbours.knn_forest(vectors, 5))
+    found = neighbours.recall(vectors, links)
+    return links.agg(F.count(F.lit(1)).alias("links")).withColumn("recalled", F.lit(found >= 0.95))
+
+
 @query(f"WITH {KNN} SELECT DISTINCT src, dst FROM (SELECT src, dst FROM graph UNION ALL SELECT dst, src FROM graph)")
 def knn_connectivity(spark, d):
     return analysis.connectivity(analysis.knn(views.vectors(spark, d), 5))

@@ -7,6 +7,7 @@ import gzip
 import io
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +91,13 @@ def read_matrix(spark: SparkSession, folder: str, repeated: str = "sum") -> dict
     return {"counts": counts.withColumn("n", F.col("n").cast("long")), "genes": genes, "cells": cells}
 
 
+def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that sinks.files.write_bundle() wrote, by name."""
+    system, where = located(folder)
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(where)) if f.type == fs.FileType.Directory)
+    return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(sample_name, r1, r2, whitelist, protocol) of a CSV file with a header; the name column may be called name."""
     raw = spark.read.option("header", True).option("comment", "#").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)

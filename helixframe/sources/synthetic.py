@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.operators.graph import numbered
+
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGT"
 CELL_NAME, GENE_NAME = "CellType_%d", "GENE_%04d"
 
@@ -48,10 +50,25 @@ def uniform(*parts) -> Column:
     return F.pmod(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), F.lit(1 << 40)) / float(1 << 40)
 
 
+#: Means from which on a Poisson number is a rounded normal one.
+LARGE_MEAN = 500.0
+
+
 @F.pandas_udf(T.LongType())
-def poisson(mean: pd.Series, key: pd.Series) -> pd.Series:
-    """A Poisson number for each mean, seeded by its key."""
-    return pd.Series([int(np.random.Generator(np.random.Philox(k & 0x7FFFFFFFFFFFFFFF)).poisson(m)) for m, k in zip(mean, key, strict=True)])
+def poisson(mean: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+    """A Poisson number for each mean by inversion at u in [0, 1), whole batches at once; large means take a normal number of u and v."""
+    m, at = mean.to_numpy(dtype=float), u.to_numpy(dtype=float)
+    out, small = np.zeros(len(m), dtype=np.int64), m < LARGE_MEAN
+    normal = np.sqrt(-2 * np.log1p(-at)) * np.cos(2 * np.pi * v.to_numpy(dtype=float))
+    out[~small] = np.maximum(0, np.rint(m[~small] + np.sqrt(m[~small]) * normal[~small]))
+    p = np.exp(-np.where(small, m, 0.0))
+    below, left = p.copy(), small & (at > p)
+    while left.any():
+        out[left] += 1
+        p[left] *= m[left] / out[left]
+        below[left] += p[left]
+        left &= (at > below) & ((p > 1e-18) | (out < m))
+    return pd.Series(out)
 
 
 def generate(spark: SparkSession, config: SyntheticConfig = SyntheticConfig()) -> dict[str, DataFrame]:
@@ -71,8 +88,8 @@ def generate(spark: SparkSession, config: SyntheticConfig = SyntheticConfig()) -
     noise = 0.7 + 0.6 * uniform(seed, "noise", F.col("type"), F.col("gene_idx"))
     mean = F.greatest(F.lit(0.1), F.lit(c.base_mean) * F.when(marker, c.marker_fold).otherwise(1.0) * noise)
     profiles = types.crossJoin(genes).select("type", "gene_idx", "gene", mean.alias("mean"))  # the table asked for: types x genes
-    key = F.xxhash64(F.lit(seed), F.lit("count"), "cell_idx", "gene_idx")
-    counts = cells.join(profiles.where("mean >= 0.01"), "type").select("barcode", "gene", "cell_idx", "gene_idx", poisson("mean", key).alias("n")).where("n > 0")
+    drawn_at = [uniform(seed, name, F.col("cell_idx"), F.col("gene_idx")) for name in ("count", "spread")]
+    counts = cells.join(profiles.where("mean >= 0.01"), "type").select("barcode", "gene", "cell_idx", "gene_idx", poisson("mean", *drawn_at).alias("n")).where("n > 0")
 
     place = (F.floor(uniform(seed, "place", F.col("cell_idx")) * c.barcode_len) + 1).cast("int")
     old = F.substring("barcode", place, F.lit(1))
@@ -89,12 +106,12 @@ def generate(spark: SparkSession, config: SyntheticConfig = SyntheticConfig()) -
     of_mutated = counts.withColumn("k", first).where("k <= 3").join(mutated, "cell_idx").select(F.col("mutated").alias("barcode"), "gene", F.lit(0).alias("copy"))
     of_invalid = invalid.select("barcode", F.lit("NONE").alias("gene"), F.lit(-1).alias("copy"))
     rows = good.unionByName(of_mutated).unionByName(of_invalid)
-    numbered = rows.select("*", (F.row_number().over(Window.orderBy("barcode", "gene", "copy")) - 1).cast("long").alias("rec_no"))
+    in_order = numbered(rows, ["barcode", "gene", "copy"], "rec_no")
     name = F.format_string("READ_%08d:%s:%s", "rec_no", "barcode", "gene")
     r1_seq = F.concat("barcode", dna(c.umi_len, seed, "umi", F.col("barcode"), F.col("gene"), F.col("copy")))
     quality = lambda n: F.repeat(F.lit("I"), F.lit(n))
-    r1 = numbered.select("rec_no", name.alias("id"), r1_seq.alias("seq"), quality(c.barcode_len + c.umi_len).alias("qual"))
-    r2 = numbered.select("rec_no", name.alias("id"), dna(c.cdna_len, seed, "cdna", F.col("rec_no")).alias("seq"), quality(c.cdna_len).alias("qual"))
+    r1 = in_order.select("rec_no", name.alias("id"), r1_seq.alias("seq"), quality(c.barcode_len + c.umi_len).alias("qual"))
+    r2 = in_order.select("rec_no", name.alias("id"), dna(c.cdna_len, seed, "cdna", F.col("rec_no")).alias("seq"), quality(c.cdna_len).alias("qual"))
     return {
         "truth_cells": cells.select("barcode", "cell_type"),
         "profiles": profiles.select("type", "gene", "mean"),

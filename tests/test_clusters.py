@@ -95,3 +95,33 @@ def test_pca_of_many_genes(spark):
     _, variances = analysis.pca_scaled(analysis.scaled_cells(values, cells), 5)
     want = np.sort(np.linalg.eigvalsh(z @ z.T))[::-1][:5] / 60
     assert np.allclose(variances, want, rtol=1e-6)
+
+
+def test_poisson_numbers_have_their_mean_and_variance(spark):
+    from helixframe.sources.synthetic import poisson, uniform
+    from pyspark.sql import functions as F
+
+    for mean in (0.1, 3.0, 60.0, 900.0):
+        row = spark.range(20_000).select(poisson(F.lit(mean), uniform(1, "u", F.col("id")), uniform(1, "v", F.col("id"))).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
+        assert row[0] == pytest.approx(mean, rel=0.03) and row[1] == pytest.approx(mean, rel=0.06)
+
+
+def test_bundle_and_whole_numbers(spark, tmp_path):
+    from helixframe.operators import matrix
+    from helixframe.sinks.files import write_bundle
+    from helixframe.sources.files import read_bundle
+
+    values = spark.createDataFrame([("g", "c", 2.9), ("g", "d", -1.5), ("h", "c", 0.4), ("g", "c", 1.2)], "gene string, barcode string, x double")
+    write_bundle({"values": values, "cells": values.select("barcode").distinct()}, str(tmp_path / "b"))
+    back = read_bundle(spark, str(tmp_path / "b"))
+    assert sorted(back) == ["cells", "values"]
+    assert sorted(map(tuple, matrix.from_values(back["values"]).collect())) == [("g", "c", 3), ("h", "c", 0)]
+
+
+def test_plain_cells_keep_values(spark):
+    values, cells, _ = sparse_values(spark, 30, 20, 0.3, 5)
+    rows = analysis.vectors_of(analysis.plain_cells(values, cells)).orderBy("node").collect()
+    want = np.zeros((30, 20))
+    for r in values.collect():
+        want[int(r["barcode"][1:]), int(r["gene"][1:])] = r["x"]
+    assert np.allclose(np.array([r["coords"] for r in rows]), want)
