@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe import schemas
 from helixframe.operators import analysis, barcodes, graph, matrix, qc, reads, umis, validation
+from helixframe.operators.leiden import leiden
 from helixframe.operators.neighbours import knn_forest
 from helixframe.sinks import files as sinks
 from helixframe.sources import files as sources
@@ -59,8 +60,11 @@ def analyze(counts: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolutio
     return {"hvg": hvg} | embed(analysis.subset_genes(values, hvg), cells, n_pcs, n_neighbors, resolution)
 
 
-def embed(values: DataFrame, cells: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0, exact_cells: int = 20_000) -> dict[str, DataFrame]:
-    """Normalised values of the chosen genes to cells, pca, neighbours, clusters and variances: scale, PCA, kNN, labels. Beyond exact_cells cells, neighbours come from a forest."""
+def embed(values: DataFrame, cells: DataFrame, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0, exact_cells: int = 20_000, communities: str = "labels") -> dict[str, DataFrame]:
+    """Normalised values of the chosen genes to cells, pca, neighbours, clusters and variances: scale, PCA, kNN, labels. Beyond exact_cells cells, neighbours come from a forest.
+
+    communities: "labels" by label propagation, "leiden" by modularity over neighbours in either direction.
+    """
     spark = values.sparkSession
     scaled = analysis.scaled_cells(values, cells)
     n_cells, n_genes = scaled.rows.count(), len(scaled.zeros)
@@ -68,17 +72,21 @@ def embed(values: DataFrame, cells: DataFrame, n_pcs: int = 50, n_neighbors: int
     scores = graph.checkpointed(scores)
     points, k = scores.withColumnRenamed("scores", "coords"), max(1, min(n_neighbors, n_cells - 1))
     neighbours = graph.checkpointed(analysis.knn(points, k) if n_cells <= exact_cells else knn_forest(points, k))
-    labels = graph.label_propagation(spark, scores.select("node"), neighbours.select("src", "dst", "dist"), resolution)
-    return {"cells": scaled.rows.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels.drop("settled"), "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
+    if communities == "leiden":
+        tied = analysis.connectivity(neighbours).where("src < dst").withColumn("w", F.lit(1.0))
+        labels = leiden(scores.select("node"), tied, resolution)
+    else:
+        labels = graph.label_propagation(spark, scores.select("node"), neighbours.select("src", "dst", "dist"), resolution).drop("settled")
+    return {"cells": scaled.rows.select("node", "barcode"), "pca": scores, "neighbours": neighbours, "clusters": labels, "variances": spark.createDataFrame(list(enumerate(variances)), "component int, variance double")}
 
 
 def filtered_analysis(counts: DataFrame, min_genes: int = 200, max_genes: int = 10000, max_mito: float = 20.0, n_top_genes: int = 2000, target_sum: float = 10000.0, n_pcs: int = 50, n_neighbors: int = 15, resolution: float = 1.0) -> dict[str, DataFrame]:
-    """Cells and genes filtered, all genes normalised once, the most variable ones embedded, markers of the clusters over all genes."""
+    """Cells and genes filtered, all genes normalised once, the most variable ones embedded, Leiden communities, markers of the clusters over all genes."""
     good = qc.filter_cells(qc.cell_metrics(counts), min_genes, max_genes, max_mito)
     kept = graph.checkpointed(qc.filter_genes(counts.join(good.select("barcode"), "barcode", "left_semi")))
     values, cells = analysis.log1p(analysis.normalize_total(kept, target_sum)), kept.select("barcode").distinct()
     top = analysis.top_genes(analysis.gene_stats(values, cells.count()), n_top_genes)
-    out = {"hvg": top} | embed(values.join(top.select("gene"), "gene", "left_semi"), cells, n_pcs, n_neighbors, resolution)
+    out = {"hvg": top} | embed(values.join(top.select("gene"), "gene", "left_semi"), cells, n_pcs, n_neighbors, resolution, communities="leiden")
     clusters = out["clusters"].join(out["cells"], "node").select("barcode", F.col("label").alias("cluster"))
     return out | {"markers": analysis.markers(values, clusters)}
 

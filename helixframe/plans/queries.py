@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import sequences as seqs
 from helixframe.functions.register import register
 from helixframe.functions.tables import register_tables
-from helixframe.operators import analysis, barcodes, graph, matrix, neighbours, qc, reads, umis, validation
+from helixframe.operators import analysis, barcodes, graph, leiden, matrix, neighbours, qc, reads, umis, validation
 from helixframe.plans import pipelines, views
 from helixframe.plans.views import COUNTS_A, COUNTS_B, CORRECTED, EXTRACTED, GRID, READS
 from helixframe.schemas import PROTOCOLS, Protocol, protocol_or_default, protocol_table
@@ -645,6 +645,13 @@ def label_propagation(spark, d):
     return graph.label_propagation(spark, edges.select(F.col("src").alias("node")), edges.select("src", "dst", "dist"))
 
 
+@query()
+def leiden_clusters(spark, d):
+    """Communities of the neighbour graph; tests hold them against planted partitions."""
+    links = graph.checkpointed(analysis.connectivity(analysis.knn(views.vectors(spark, d), 5)).where("src < dst").withColumn("w", F.lit(1.0)))
+    return leiden.leiden(views.vectors(spark, d).select("node"), links)
+
+
 @query()
 def analyze_clusters(spark, d):
     """Counts to cluster sizes, through all steps."""
