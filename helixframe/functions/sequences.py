@@ -75,6 +75,17 @@ def neighbours(seq) -> Column:
     return F.filter(F.flatten(each), lambda s: s != seq)
 
 
+def blanked(seq, blanks: int) -> Column:
+    """Array of (at, text): the sequence with each choice of so many places taken by a star, and the places, from 1. Of shorter sequences, all places."""
+    masks = F.array(F.struct(F.array().cast("array<int>").alias("at"), F.col(seq).alias("text")))
+    last = lambda m: F.coalesce(F.try_element_at(m["at"], F.lit(-1)), F.lit(0))
+    put = lambda m, i: F.struct(F.array_append(m["at"], i).alias("at"), F.overlay(m["text"], F.lit("*"), i).alias("text"))
+    more = lambda m: F.when(last(m) < F.length(m["text"]), F.transform(F.sequence(last(m) + 1, F.length(m["text"])), lambda i: put(m, i))).otherwise(F.array(m))
+    for _ in range(blanks):
+        masks = F.flatten(F.transform(masks, more))
+    return F.when(F.col(seq).isNotNull(), masks)
+
+
 def segments(seq, parts: int) -> Column:
     """Array of (number, text) of the sequence cut into so many nearly equal parts: within parts - 1 substitutions one part is equal."""
     seq = col(seq)

@@ -85,13 +85,17 @@ def value_at(counts: DataFrame, gene: str, barcode: str) -> DataFrame:
     return counts.where((F.col("gene") == gene) & (F.col("barcode") == barcode)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def csr(indexed_counts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(gene_idx, start, cells, values) for each row of the dimension rows(gene_idx); start is the running sum of entries, over sizes alone."""
-    sizes = indexed_counts.groupBy("gene_idx").agg(F.count(F.lit(1)).alias("size"))
-    starts = running_total(rows.select("gene_idx").join(sizes, "gene_idx", "left"), ["gene_idx"], F.coalesce("size", F.lit(0)), "start")
-    packed = indexed_counts.groupBy("gene_idx").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "n"))).alias("entries"))
-    full = starts.join(packed, "gene_idx", "left").withColumn("entries", F.coalesce("entries", F.array().cast(packed.schema["entries"].dataType)))
-    return full.select("gene_idx", "start", F.col("entries.cell_idx").alias("cells"), F.col("entries.n").alias("values"))
+def csr(indexed_counts: DataFrame, rows: DataFrame, most_cells: int = 1 << 20) -> DataFrame:
+    """(gene_idx, start, cells, values) for each row of the dimension rows(gene_idx); start is the running sum of entries, over sizes alone.
+
+    Rows of more than most_cells cells come in pieces, one for each range of so many cells that has entries,
+    in the order of start: a gene that all cells have is no single array.
+    """
+    cut = indexed_counts.withColumn("piece", F.floor(F.col("cell_idx") / most_cells).cast("long"))
+    packed = cut.groupBy("gene_idx", "piece").agg(F.sort_array(F.collect_list(F.struct("cell_idx", "n"))).alias("entries"))
+    full = rows.select("gene_idx").join(packed, "gene_idx", "left").withColumns({"piece": F.coalesce("piece", F.lit(0)), "entries": F.coalesce("entries", F.array().cast(packed.schema["entries"].dataType))})
+    starts = running_total(full, ["gene_idx", "piece"], F.size("entries"), "start")
+    return starts.select("gene_idx", "start", F.col("entries.cell_idx").alias("cells"), F.col("entries.n").alias("values"))
 
 
 def from_values(values: DataFrame) -> DataFrame:
