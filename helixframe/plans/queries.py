@@ -826,6 +826,39 @@ def stream_live_qc(spark, d):
     return jobs.live_qc(spark, f"{d}/events.parquet")
 
 
+#: Cells of events that are no errors, with event_id % 7 as UMI.
+LIVE_CELLS = CELLS.replace("count(*)::BIGINT AS n FROM events", "count(DISTINCT event_id % 7)::BIGINT AS n FROM events WHERE event_type <> 'error'")
+
+
+def live_folder(spark, d):
+    from helixframe.streaming import jobs
+
+    rows = views.user_cells(jobs.stream_of(spark, f"{d}/events.parquet"))
+    cell = F.when(F.col("event_type") != "error", F.col("barcode"))
+    folder = jobs.shared(spark, "live")
+    for running in jobs.start_live_cells(rows.select(cell.alias("cell"), "gene", (F.col("event_id") % 7).cast("string").alias("umi")), folder):
+        running.awaitTermination()
+    return folder
+
+
+@query(f"WITH {LIVE_CELLS} SELECT * FROM cm")
+def stream_live_cells(spark, d):
+    """Distinct UMIs of each cell from a stream, with what has been seen as state."""
+    from helixframe.streaming import jobs
+
+    return jobs.live_cells(spark, live_folder(spark, d))
+
+
+@query(
+    f"""WITH {LIVE_CELLS}, v AS (SELECT (SELECT round(100.0::DOUBLE * count(*) FILTER (event_type <> 'error') / count(*), 6) FROM events) AS valid_percent, count(*)::BIGINT AS n_cells, list_sort(list(n_genes))[count(*) // 2 + 1]::BIGINT AS median_genes FROM cm)
+    SELECT *, concat_ws('; ', CASE WHEN valid_percent < 50 THEN 'valid barcodes under 50 %' END, CASE WHEN median_genes < 500 THEN 'median genes under 500' END, CASE WHEN n_cells < 100 THEN 'fewer than 100 cells' END) AS warnings FROM v"""
+)
+def stream_live_view(spark, d):
+    from helixframe.streaming import jobs
+
+    return jobs.live_view(spark, live_folder(spark, d)).withColumn("warnings", F.array_join("warnings", "; "))
+
+
 @query(f"WITH {READS} SELECT rec_no // 3000 AS chunk, count(*)::BIGINT AS records, sum(length(seq))::BIGINT AS bases FROM reads GROUP BY ALL")
 def stream_record_chunks(spark, d):
     from helixframe.streaming import jobs

@@ -74,12 +74,16 @@ fixed AS (SELECT d.barcode, CASE WHEN wl.barcode IS NOT NULL THEN 'exact' WHEN i
 matched AS (SELECT e.*, f.status, f.corrected AS cell, f.distance FROM extracted e LEFT JOIN fixed f ON e.barcode = f.barcode)"""
 
 
-def counts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as cells, keys of props as genes; genes under 5 are mitochondrial."""
-    e = table(spark, sf_dir, "events")
+def user_cells(events: DataFrame) -> DataFrame:
+    """Adds gene and barcode: users as cells, keys of props as genes; genes under 5 are mitochondrial."""
     k = F.get_json_object("props", "$.k")
     gene = F.when(k.cast("int") < 5, F.concat(F.lit("MT-"), k)).otherwise(F.concat(F.lit("GENE_"), F.lpad(k, 4, "0")))
-    return e.select(gene.alias("gene"), F.format_string("CELL_%06d", "user_id").alias("barcode")).groupBy("gene", "barcode").agg(F.count(F.lit(1)).alias("n"))
+    return events.withColumns({"gene": gene, "barcode": F.format_string("CELL_%06d", "user_id")})
+
+
+def counts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user and key as counts."""
+    return user_cells(table(spark, sf_dir, "events")).groupBy("gene", "barcode").agg(F.count(F.lit(1)).alias("n"))
 
 
 COUNTS_A = r"""

@@ -1,14 +1,18 @@
-"""Structured Streaming over reads: bounded chunks with a callback, and live quality by hour.
+"""Structured Streaming over reads: bounded chunks with a callback, live quality by hour and by cell, progress as it is made.
 
 Sources are folders or files of Parquet; every job reads what is there and ends (availableNow).
 """
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from helixframe.operators import qc
 from helixframe.operators.graph import numbered, shared_folder
 from helixframe.sources.fastq import FastqSource, read_fastq
 
@@ -124,3 +128,92 @@ def live_qc(spark: SparkSession, path: str, delay: str = "1 hour") -> DataFrame:
     running.awaitTermination()
     rows = spark.read.schema("hour timestamp_ntz, reads long, mapped long, chunk long").parquet(where)
     return rows.groupBy("hour").agg(F.max_by("reads", "chunk").alias("reads"), F.max_by("mapped", "chunk").alias("mapped"))
+
+
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def start_live_cells(found: DataFrame, folder: str, expire: str | None = None, trigger: dict | None = None) -> list[StreamingQuery]:
+    """Starts live quality by cell over a stream of (cell, gene, umi), or (cell, gene, umi, ts) with expire: one query counts reads, one new UMIs.
+
+    What has been seen is Spark's own state, a row for each UMI of a cell and gene, on the executors' disks and in
+    the checkpoint: no cell is one task or one object, however many reads it has. With expire, UMIs that have not come
+    for so long are forgotten (and counted again if they come back); without, state grows with distinct UMIs.
+    Each batch adds a table under its number, so one that is repeated after a failure counts once, and queries that are
+    started again with the same folder go on where they stopped. Reads without a cell count as read, not as valid;
+    reads without gene or UMI are in no cell's counts.
+    """
+    spark, trigger = found.sparkSession, trigger or {"availableNow": True}
+
+    def reads(chunk: DataFrame, number: int) -> None:
+        chunk.agg(F.count(F.lit(1)).alias("reads"), F.count("cell").alias("valid")).write.mode("overwrite").parquet(f"{folder}/reads/batch={number}")
+
+    def umis(chunk: DataFrame, number: int) -> None:
+        chunk.groupBy("cell", "gene").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/umis/batch={number}")
+
+    whole = found.where("cell is not null and gene is not null and umi is not null")
+    keys = ["cell", "gene", "umi"]
+    new = whole.withWatermark("ts", expire).dropDuplicatesWithinWatermark(keys) if expire else whole.select(*keys).dropDuplicates(keys)
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ON_DISK)
+    try:
+        return [
+            stream.writeStream.queryName(f"live {name}").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoints/{name}").trigger(**trigger).start()
+            for name, stream, keep in (("reads", found, reads), ("umis", new, umis))
+        ]
+    finally:
+        spark.conf.set(STATE_PROVIDER, before) if before else spark.conf.unset(STATE_PROVIDER)
+
+
+def live_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(gene, barcode, n): distinct UMIs so far."""
+    rows = spark.read.schema("cell string, gene string, n long").parquet(f"{folder}/umis/batch=*")
+    return rows.groupBy("gene", F.col("cell").alias("barcode")).agg(F.sum("n").alias("n"))
+
+
+def live_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """(barcode, n_genes, total, mito_percent) so far."""
+    return qc.cell_metrics(live_counts(spark, folder))
+
+
+def live_view(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: valid_percent, n_cells, median_genes, warnings so far; 0 % without reads."""
+    reads = spark.read.schema("reads long, valid long").parquet(f"{folder}/reads/batch=*")
+    share = reads.agg(F.coalesce(F.round(100 * F.sum("valid") / F.nullif(F.sum("reads"), F.lit(0)), 6), F.lit(0.0)).alias("valid_percent"))
+    sizes = live_cells(spark, folder).agg(F.count(F.lit(1)).alias("n_cells"), qc.upper_median("n_genes").cast("long").alias("median_genes"))
+    return qc.live_warnings(share.crossJoin(F.broadcast(sizes)))  # one row each
+
+
+class Progress(StreamingQueryListener):
+    """Hands send() a dictionary for each micro-batch of any query (its name, number, rows in, rows of state) and for each end (its error or None)."""
+
+    def __init__(self, send: Callable[[dict], None]):
+        self.send, self.names = send, {}
+
+    def onQueryStarted(self, event):
+        self.names[event.runId] = event.name
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.send({"query": p.name, "batch": p.batchId, "rows": p.numInputRows, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.send({"query": self.names.pop(event.runId, None), "ended": True, "error": event.exception})
+
+
+@contextmanager
+def progress_of(spark: SparkSession, send: Callable[[dict], None], last_events: float = 30):
+    """Inside, send() hears of all queries of the session; at the end it waits so many seconds at most for events of queries that have ended."""
+    listener = Progress(send)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+        until = time.monotonic() + last_events
+        while listener.names.keys() - {q.runId for q in spark.streams.active} and time.monotonic() < until:
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(listener)

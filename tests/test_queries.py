@@ -14,7 +14,7 @@ def plain(rows):
     return sorted(tuple(None if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) if not isinstance(v, (int, bool)) else v for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["flagship_count_matrix", "barcode_correct_d2", "umi_components", "csr_indptr", "qc_summary", "hvg", "marker_ranksum", "extract_confusion", "nmi", "concordance", "pass_fail", "stream_live_qc"])
+@pytest.mark.parametrize("name", ["flagship_count_matrix", "barcode_correct_d2", "umi_components", "csr_indptr", "qc_summary", "hvg", "marker_ranksum", "extract_confusion", "nmi", "concordance", "pass_fail", "umi_hamming_edges", "stream_live_qc", "stream_live_cells", "stream_live_view"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
