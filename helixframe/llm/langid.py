@@ -18,6 +18,8 @@ from helixframe.llm.common import materialize, slices
 
 #: Words of one length up to this are summed over together; longer ones each alone.
 TOGETHER = 96
+#: Words whose sums are in memory at once.
+AT_ONCE = 1 << 12
 #: Characters of such a word whose pieces are looked up at once.
 STRETCH = 1 << 14
 SPACE = "▁"
@@ -132,26 +134,32 @@ class PieceModel:
         out = np.zeros((len(words), len(self.langs)))
         lengths = np.array([len(w) for w in words])
         for size in np.unique(lengths):
-            at = np.flatnonzero(lengths == size)
-            codes = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le"), dtype="<u4").reshape(len(at), size).astype(np.uint64) + np.uint64(1)
-            alpha = np.zeros((size + 1, len(at), len(self.langs)))
-            alpha[0], carried = 1.0, np.zeros((len(at), len(self.langs)))
-            for end in range(1, size + 1):
-                h = np.zeros(len(at), dtype=np.uint64)
-                for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                    h += codes[:, start] * POWERS[end - 1 - start]
-                    row = self.rows(h)
-                    found = np.flatnonzero(row != len(self.keys) - 1)
-                    if len(found):
-                        alpha[end, found] += alpha[start, found] * self.table[row[found]]
-                alpha[end] += alpha[end - 1] * (UNKNOWN * LIFT)
-                low = alpha[end] < SMALL
-                if low.any():  # all that later ends start from
-                    alpha[max(0, end + 1 - self.longest) : end + 1] *= np.where(low, 1 / SMALL, 1.0)
-                    carried[low] += np.log(SMALL)
-            out[at] = np.log(alpha[size]) + carried - size * np.log(LIFT)
+            of_size = np.flatnonzero(lengths == size)
+            for first in range(0, len(of_size), AT_ONCE):
+                at = of_size[first : first + AT_ONCE]
+                out[at] = self.forward_of_size([words[i] for i in at], int(size))
         return out
 
+    def forward_of_size(self, words: list[str], size: int) -> np.ndarray:
+        """The same of words of one length."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), size).astype(np.uint64) + np.uint64(1)
+        alpha = np.zeros((size + 1, len(words), len(self.langs)))
+        alpha[0], carried = 1.0, np.zeros((len(words), len(self.langs)))
+        for end in range(1, size + 1):
+            h = np.zeros(len(words), dtype=np.uint64)
+            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                h += codes[:, start] * POWERS[end - 1 - start]
+                row = self.rows(h)
+                found = np.flatnonzero(row != len(self.keys) - 1)
+                if len(found):
+                    alpha[end, found] += alpha[start, found] * self.table[row[found]]
+            alpha[end] += alpha[end - 1] * (UNKNOWN * LIFT)
+            low = alpha[end] < SMALL
+            if low.any():  # all that later ends start from
+                alpha[max(0, end + 1 - self.longest) : end + 1] *= np.where(low, 1 / SMALL, 1.0)
+                carried[low] += np.log(SMALL)
+        return np.log(alpha[size]) + carried - size * np.log(LIFT)
+
     def forward_alone(self, word: str) -> np.ndarray:
         """The same of one word of any length, by language; it keeps the sums of the last characters only."""
         codes = np.frombuffer(word.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
@@ -192,17 +200,18 @@ class PieceModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and posteriors under equal priors; und and 0 for null and for texts without a letter."""
-        split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
-        sizes = np.array([len(s) for s in split])
-        flat = [w for s in split for w in s]
-        self.score_new(list(dict.fromkeys(flat)))
-        scores = self.scores[np.fromiter(map(self.cached.__getitem__, flat), dtype=np.int64, count=len(flat))]
-        sums = np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(sizes)
-        if len(full):
-            sums[full] = np.add.reduceat(scores, np.concatenate([[0], np.cumsum(sizes[full])[:-1]]), axis=0)
+        full = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+        distinct: dict[str, None] = {}
+        for i in full:  # texts are split once more below, so that the words of one text at a time are in memory
+            distinct.update(dict.fromkeys(words_of(texts[i])))
+        self.score_new(list(distinct))
+        del distinct
+        sizes, sums = np.zeros(len(texts), dtype=int), np.zeros((len(texts), len(self.langs)))
+        for i in full:
+            rows = np.fromiter(map(self.cached.__getitem__, words_of(texts[i])), dtype=np.int64)
+            sizes[i], sums[i] = len(rows), self.scores[rows].sum(axis=0)
         best = sums.argmax(axis=1)
         posterior = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         return [self.langs[b] if n else "und" for b, n in zip(best, sizes, strict=True)], [float(p) if n else 0.0 for p, n in zip(posterior, sizes, strict=True)]
@@ -242,7 +251,7 @@ def identify(docs: DataFrame, fitted: tuple, text_col: str = "text") -> DataFram
 
     def score(batches):
         model = PieceModel(*shared.value)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 1024):
             langs, scores = model.predict(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,21 @@ def test_forward_sums_all_segmentations():
             langid.STRETCH = before
 
 
+def test_prediction_holds_the_words_of_one_text_at_a_time(monkeypatch):
+    pieces = sorted({*"abcdehlnrtu ▁", "▁the", "▁und"})
+    model = langid.PieceModel(["en", "xx"], np.arange(1, 2 * len(pieces) + 1, dtype=float).reshape(-1, 2), pieces)
+    words = [f"{a}{b}{c}" for a in "abcdeh" for b in "lnrtu" for c in "abcdehlnrtu"]
+    texts = [" ".join(words[(7 * i + k) % len(words)] for k in range(200)) for i in range(2000)]
+    tracemalloc.start()
+    langs, scores = model.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10_000_000  # 400,000 words are 20 MB and more as strings
+    monkeypatch.setattr(langid, "AT_ONCE", 7)
+    alone = [langid.PieceModel(model.langs, np.arange(1, 2 * len(pieces) + 1, dtype=float).reshape(-1, 2), pieces).predict([t]) for t in texts[:3]]
+    assert [(x, pytest.approx(y)) for x, y in zip(langs, scores, strict=True)][:3] == [(x[0], y[0]) for x, y in alone]
+
+
 def spans_of(text):
     """Base spans by the plain patterns."""
     out = []
