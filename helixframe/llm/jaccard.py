@@ -37,7 +37,6 @@ from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize,
 from helixframe.llm.components import components
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-KEPT_WORDS = 500_000
 BLOCK = 2000
 #: Shingles of a set of usual size: blocks with shingles have at most about BLOCK times so many.
 SHINGLES = 300
@@ -54,27 +53,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts; remembers word hashes."""
+    """Sorted distinct shingle hashes of texts; a word is hashed faster than its hash is found again."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        size = min(self.words, len(words))
-        total = np.full(len(words) - size + 1, size, dtype=np.uint64)
+        return np.unique(self.in_order(self.hashes(words_of(text))))
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+    def in_order(self, hashes: np.ndarray) -> np.ndarray:
+        """The shingle at each place of a text, from the hashes of its words."""
+        if not len(hashes):
+            return hashes
+        size = min(self.words, len(hashes))
+        total = np.full(len(hashes) - size + 1, size, dtype=np.uint64)
         for k in range(size):
-            total = mixed(total * M1 + hashes[k : k + len(total)])
-        return np.unique(total)
+            total *= M1
+            total += hashes[k : k + len(total)]
+            for shift, factor in ((30, M2), (27, M3), (31, None)):  # mixed(), in place
+                total ^= total >> np.uint64(shift)
+                if factor is not None:
+                    total *= factor
+        return total
 
 
 def halves(digest: int) -> tuple[int, int]:

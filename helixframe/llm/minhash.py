@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize, slices
-from helixframe.llm.jaccard import SetColumns, Shingler, classes, mixed, numbered, set_rows
+from helixframe.llm.jaccard import SetColumns, Shingler, classes, mixed, numbered, set_rows, words_of
 
 #: Hash functions, and the rows of a band. Of sets with a similarity of 0.8, all but one pair in 10**7 share a band; at 0.3, a fifth.
 FUNCTIONS, ROWS = 128, 4
@@ -71,7 +71,8 @@ class Marked:
     """A text with its set and fingerprint."""
 
     def __init__(self, text: str, shingler: Shingler):
-        self.text, self.shingles = text, shingler(text)
+        self.text, self.hashes = text, shingler.hashes(words_of(text))
+        self.shingles = np.unique(shingler.in_order(self.hashes))
         self.least = signature(self.shingles)
         self.digits = digits(self.least)
 
@@ -82,6 +83,16 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def edited_hashes(own: Marked, after: Marked, new: str, shingler: Shingler) -> np.ndarray:
+    """The hashes of the words of new, the edited text; all but those at its cuts are the two texts' own."""
+    cut = len(own.text) - len(own.text) // 2
+    words, before, behind = words_of(new), len(words_of(new[:cut])), len(words_of(new[cut:]))
+    head, tail = max(0, before - 1), max(0, behind - 2)  # without the last word before the cut, the first behind it and the last of all
+    last = words[-1:] if behind > 1 else []
+    middle = words[head : len(words) - tail - len(last)]
+    return np.concatenate([own.hashes[:head], shingler.hashes(middle), after.hashes[1 : 1 + tail], shingler.hashes(last)])
+
+
 def range_heads(docs: DataFrame, ranges: int) -> list[tuple]:
     """The largest key (not null, id, hash) of each of so many ranges of the order, ascending."""
     rows = docs.select(F.struct(F.col("id").isNotNull().alias("known"), "id", "h").alias("key"))
@@ -167,8 +178,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         size = 0
         for key, text, after in pairs:
             own = own if own is not None and own.text == text else Marked(text, shingler)
-            new, other = Marked(edited(text, after), shingler), Marked(after, shingler)
-            rows.append((key, len(text), hashlib.sha256(new.text.encode()).digest(), own.digits.tobytes(), new.digits.tobytes(), likeness(own.digits, new.digits), likeness(own.digits, other.digits)))
+            new, other = edited(text, after), Marked(after, shingler)
+            new_digits = digits(signature(shingler.in_order(edited_hashes(own, other, new, shingler))))
+            rows.append((key, len(text), hashlib.sha256(new.encode()).digest(), own.digits.tobytes(), new_digits.tobytes(), likeness(own.digits, new_digits), likeness(own.digits, other.digits)))
             marked.append(own)
             size, own = size + len(text), other
             if len(rows) == 512 or size > 1 << 22:

@@ -58,6 +58,19 @@ def test_edits_follow_the_order_of_ids(spark, partitions, monkeypatch):
     assert rows[texts.index("same text here")]["fingerprint"] == rows[texts.index("same text here") + 1]["fingerprint"]
 
 
+def test_edited_texts_hash_words_at_their_cuts_only(monkeypatch):
+    texts = ["", " ", "x", "é", "ab", "a b", " a", "a ", "one two", "One  two\tthree four", "x" * 9, "\n a bb ccc dddd\x0b", "é" * 5 + " \U0001f600 z", " ".join(WORDS[:41])]
+    shingler = jaccard.Shingler(3)
+    marked = [minhash.Marked(t, shingler) for t in texts]
+    hashed, hashes = [], jaccard.Shingler.hashes
+    monkeypatch.setattr(jaccard.Shingler, "hashes", lambda self, words: hashed.append(len(words)) or hashes(self, words))
+    for own in marked:
+        for after in marked:
+            new = minhash.edited(own.text, after.text)
+            assert minhash.edited_hashes(own, after, new, shingler).tolist() == hashes(shingler, jaccard.words_of(new)).tolist(), (own.text, after.text)
+    assert max(hashed) <= 2
+
+
 def test_bands_find_near_duplicates(spark):
     texts = [*texts_with_copies(4), *ODD]
     sets = dict(enumerate(sets_of(texts, 3)))
