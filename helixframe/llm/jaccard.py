@@ -169,23 +169,27 @@ class Heads:
 
 
 class SetColumns:
-    """The columns n, low, high, tid, bits, sigs and heads of texts and their sets; remembers what this task has given.
+    """The columns n, low, high, tid, bits, sigs and heads of texts and their sets, without sign the first five (OWN); remembers what this task has given.
 
     n: set size; low, high: the set's hash, null for the empty set; tid: half of the text's; bits:
     parities; sigs: what sign makes of the shingles, keys (uint64) of lists in which similar sets meet,
     which a task gives once for equal sets; heads: low of the head of each one's list.
     """
 
-    LONGS = ("n", "low", "high", "tid")
+    LONGS, OWN = ("n", "low", "high", "tid"), 5
     ARROW = [*[(c, pa.int64()) for c in LONGS], ("bits", pa.binary()), ("sigs", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))]
     SPARK = [*[T.StructField(c, T.LongType()) for c in LONGS], T.StructField("bits", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sigs", "heads")]]
 
-    def __init__(self, sign: Callable[[np.ndarray], np.ndarray]):
+    def __init__(self, sign: Callable[[np.ndarray], np.ndarray] | None = None):
         self.sign, self.given, self.heads_of = sign, set(), Heads()
 
     def __call__(self, texts: list[str | None], sets: list[np.ndarray]) -> list[pa.Array]:
         digests = [set_digest(s) if len(s) else None for s in sets]
         lows, highs = zip(*[(None, None) if d is None else halves(d) for d in digests], strict=True)
+        columns = [[len(s) for s in sets], lows, highs, [halves(text_digest(t))[0] for t in texts]]
+        own = [*[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary())]
+        if self.sign is None:
+            return own
         found = []
         for shingles, digest in zip(sets, digests, strict=True):
             new = digest is not None and digest not in self.given
@@ -197,9 +201,7 @@ class SetColumns:
         flat = np.concatenate([found[i] for i in new]) if new else np.zeros(0, dtype=np.int64)
         heads = self.heads_of(flat, np.repeat(np.array([lows[i] or 0 for i in range(len(texts))], dtype=np.int64), sizes)) if len(flat) else flat
         offsets, empty = np.concatenate([[0], np.cumsum(sizes)]), pa.array([f is None for f in found])
-        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x), mask=empty) for x in (flat, heads)]
-        columns = [[len(s) for s in sets], lows, highs, [halves(text_digest(t))[0] for t in texts]]
-        return [*[pa.array(c, pa.int64()) for c in columns], pa.array(map(parities, sets), pa.binary()), *lists]
+        return own + [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x), mask=empty) for x in (flat, heads)]
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, words: int, sign: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -465,8 +467,8 @@ def similar_sets(docs: DataFrame, keyed: DataFrame, sets: DataFrame, doubled: fr
     return components(stars_known.unionByName(more))
 
 
-def classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> tuple[frozenset[int], DataFrame]:
-    """The doubled low halves, and (sid, least, docs) of each set: the least id of its component and how many rows it has; keyed as set_rows() gives it."""
+def set_classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> tuple[frozenset[int], DataFrame]:
+    """The doubled low halves, and (sid, first, docs, least) of each set: its least id, how many rows it has, the least id of its component; keyed as set_rows() gives it."""
     doubled = collided(keyed)
     keyed = numbered(keyed, doubled)
     if doubled:  # heads are low halves, which do not tell these sets apart: each of their rows is a head
@@ -476,7 +478,7 @@ def classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: i
     linked = similar_sets(docs, keyed, sets, doubled, text_col, words, num, den)
     named = materialize(sets.select("sid", "first", "docs").join(linked.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"))
     least = materialize(named.groupBy("comp").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("sets")))
-    return doubled, materialize(join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "least", "docs"))
+    return doubled, join_hot(named, least, ["comp"], "sets", ["sid"]).select("sid", "first", "docs", "least")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -490,6 +492,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty one; other columns of docs are not read.
     """
     keyed = materialize(set_rows(docs, id_col, text_col, words, partial(signatures, num=num, den=den)))
-    doubled, of_sid = classes(docs, keyed, text_col, words, num, den)
+    doubled, of_sid = set_classes(docs, keyed, text_col, words, num, den)
+    of_sid = materialize(of_sid.select("sid", "least", "docs"))
     rows = join_hot(numbered(keyed, doubled).select("doc", "n", "sid"), of_sid, ["sid"], "docs", ["doc"], "left")
     return rows.select("doc", F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component"))

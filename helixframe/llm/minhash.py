@@ -17,14 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.common import bit_filter, in_filter, join_hot, materialize, slices
-from helixframe.llm.jaccard import SetColumns, Shingler, classes, mixed, numbered, set_rows, words_of
+from helixframe.llm.common import bit_filter, discard, in_filter, join_hot, materialize, slices
+from helixframe.llm.jaccard import Heads, SetColumns, Shingler, mixed, numbered, set_classes, words_of
 
 #: Hash functions, and the rows of a band. Of sets with a similarity of 0.8, all but one pair in 10**7 share a band; at 0.3, a fifth.
 FUNCTIONS, ROWS = 128, 4
 #: Shingles that are hashed at once, so that the values stay in a core's cache.
 AT_ONCE = 1024
 SEED = 20260101
+#: Bits of a band's key by which bands are counted: of 10**9 keys, one in a thousand looks as if it were there twice.
+COUNTED = 40
+#: Sets with a component to look up, beyond which rows are joined to them by a shuffle and not by a broadcast.
+FEW = 50_000
 
 
 @lru_cache(maxsize=1)
@@ -47,14 +51,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def bands(shingles: np.ndarray) -> np.ndarray:
     """A key (uint64) for each band of the signature; none for no shingles."""
-    return band_keys(signature(shingles)) if len(shingles) else np.zeros(0, dtype=np.uint64)
+    return band_keys(digits(signature(shingles)).tobytes())[0] if len(shingles) else np.zeros(0, dtype=np.uint64)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.astype(np.uint64).reshape(-1, ROWS)
-    keys = np.arange(len(rows), dtype=np.uint64)
-    for column in rows.T:
-        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + column)
+def band_keys(fingerprints: bytes) -> np.ndarray:
+    """The keys (uint64, sets x bands) of fingerprints that stand one behind the other."""
+    rows = np.frombuffer(fingerprints, dtype=">u2").astype(np.uint64).reshape(-1, FUNCTIONS // ROWS, ROWS)
+    keys = np.arange(FUNCTIONS // ROWS, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
     return keys
 
 
@@ -73,8 +78,7 @@ class Marked:
     def __init__(self, text: str, shingler: Shingler):
         self.text, self.hashes = text, shingler.hashes(words_of(text))
         self.shingles = np.unique(shingler.in_order(self.hashes))
-        self.least = signature(self.shingles)
-        self.digits = digits(self.least)
+        self.digits = digits(signature(self.shingles))
 
 
 def edited(text: str, after: str) -> str:
@@ -150,7 +154,7 @@ def beside_next(docs: DataFrame, id_col: str, text_col: str, run, kind: T.Struct
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row, digests as binary, and jaccard.SetColumns with bands.
+    """(doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row, digests as binary, and jaccard.SetColumns without lists, which fingerprints give.
 
     edited(): the text with its last half from the next document, by descending id. near_edited and
     near_next are the shares of FUNCTIONS in which fingerprints agree, those of empty sets in all.
@@ -158,17 +162,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fields = [("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     spark_types = {pa.int64(): T.LongType(), pa.binary(): T.BinaryType(), pa.float64(): T.DoubleType()}
     key_type = docs.schema[id_col].dataType
-    kind = T.StructType([T.StructField("doc", key_type), *[T.StructField(n, spark_types[t]) for n, t in fields], *SetColumns.SPARK])
+    kind = T.StructType([T.StructField("doc", key_type), *[T.StructField(n, spark_types[t]) for n, t in fields], *SetColumns.SPARK[: SetColumns.OWN]])
     arrow_key = docs.select(id_col).limit(0).toArrow().schema.field(0).type
 
     def run(pairs):
-        shingler, own, rows, marked = Shingler(words), None, [], []
-        signatures: dict[bytes, np.ndarray] = {}
-        columns_of = SetColumns(lambda shingles: band_keys(signatures[shingles.tobytes()]))
+        shingler, columns_of, own, rows, marked = Shingler(words), SetColumns(), None, [], []
 
         def sent():
-            signatures.clear()
-            signatures.update((m.shingles.tobytes(), m.least) for m in marked)
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [arrow_key, *[t for _, t in fields]], strict=True)]
             columns += columns_of([m.text for m in marked], [m.shingles for m in marked])
             rows.clear()
@@ -192,41 +192,101 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return beside_next(docs, id_col, text_col, run, kind)
 
 
+def fingerprint_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc, fingerprint) of each row and jaccard.SetColumns without lists, in one pass over the texts."""
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    kind = T.StructType([rows.schema["doc"], T.StructField("fingerprint", T.BinaryType()), *SetColumns.SPARK[: SetColumns.OWN]])
+
+    def run(batches):
+        shingler, columns_of = Shingler(words), SetColumns()
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            sets = [shingler(t) for t in texts]
+            marks = pa.array([digits(signature(s)).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), marks, *columns_of(texts, sets)], names=[f.name for f in kind])
+
+    return rows.mapInArrow(run, kind)
+
+
+def new_bands(batch: pa.RecordBatch, given: set[int]) -> tuple[list[int], np.ndarray]:
+    """The rows of batch (fingerprint, low, high) whose sets are not empty and not among those given so far, and their bands."""
+    rows = []
+    for i, (low, high) in enumerate(zip(batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)):
+        if low is not None and (digest := (high << 64) + low) not in given:
+            given.add(digest)
+            rows.append(i)
+    return rows, band_keys(b"".join(batch.column("fingerprint").take(pa.array(rows, pa.int64())).to_pylist()))
+
+
 def shared_bands(keyed: DataFrame) -> DataFrame:
-    """keyed, its sigs and heads without bands that one row alone has: most documents have no other.
+    """(doc, n, low, high, tid, bits, sigs, heads) as jaccard.set_rows() gives them, of keyed (materialized), which has fingerprints in place of the lists.
 
-    Bands are counted as they come from the tasks, and those found twice go into a bit filter of at most
-    64 MB; what it lets through by chance is a list of one set.
+    Bands are made from fingerprints, here and nowhere else, so they are not written out. Those that one
+    row alone has are left out: most documents have no other. Bands are counted as they come from the
+    tasks, by COUNTED bits, and those found twice go into a bit filter of at most 64 MB; what it lets
+    through by chance is a list of one set.
     """
-    twice = keyed.select(F.explode("sigs").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    cut = np.uint64(64 - COUNTED)
+
+    def counted(batches):
+        given = set()
+        for batch in slices(batches, 4096):
+            _, keys = new_bands(batch, given)
+            yield pa.RecordBatch.from_arrays([pa.array((keys.ravel() >> cut).view(np.int64))], names=["id"])
+
+    twice = keyed.select("fingerprint", "low", "high").mapInArrow(counted, "id long").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     bits = keyed.sparkSession.sparkContext.broadcast(bit_filter(materialize(twice)))
-    rows = keyed.withColumn("lone", F.col("sigs").isNull())
+    own = ["doc", *[f.name for f in SetColumns.SPARK[: SetColumns.OWN]]]
+    kind = T.StructType([*keyed.select(*own).schema, *SetColumns.SPARK[SetColumns.OWN :]])
+
+    def run(batches):
+        known, given, heads_of = bits.value, set(), Heads()
+        for batch in slices(batches, 4096):
+            rows, keys = new_bands(batch, given)
+            keep = in_filter(known, keys >> cut)
+            sizes, lows = np.zeros(batch.num_rows, dtype=np.int64), np.array([batch.column("low")[i].as_py() for i in rows], dtype=np.int64)
+            sizes[rows] = keep.sum(axis=1)
+            sigs = keys[keep].view(np.int64)
+            heads = heads_of(sigs, np.repeat(lows, sizes[rows])) if len(sigs) else sigs
+            lone = np.ones(batch.num_rows, dtype=bool)
+            lone[rows] = False
+            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x), mask=pa.array(lone)) for x in (sigs, heads)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *lists], names=[f.name for f in kind])
+
+    return keyed.select(*own, "fingerprint").mapInArrow(run, kind)
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with asked: whether their sid may be one of ids (id), by a bit filter; some others are, by chance."""
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(ids))
+    kind = T.StructType([*rows.schema, T.StructField("asked", T.BooleanType())])
 
     def run(batches):
-        known = bits.value
         for batch in batches:
-            at = batch.schema.get_field_index("sigs")
-            sigs, heads = batch.column(at), batch.column(at + 1)
-            sizes = np.diff(sigs.offsets.to_numpy())
-            first, last = sigs.offsets[0].as_py(), sigs.offsets[-1].as_py()
-            flat = sigs.values.to_numpy()[first:last]
-            keep = in_filter(known, flat.view(np.uint64))
-            kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
-            bounds = pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32())
-            columns = list(batch.columns)
-            for i, values in ((at, flat), (at + 1, heads.values.to_numpy()[heads.offsets[0].as_py() : heads.offsets[-1].as_py()])):
-                columns[i] = pa.ListArray.from_arrays(bounds, pa.array(values[keep]), mask=batch.column(batch.schema.get_field_index("lone")))
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return rows.mapInArrow(run, rows.schema).drop("lone")
+            sids = batch.column("sid")
+            hit = in_filter(bits.value, sids.fill_null(0).to_numpy().view(np.uint64)) & sids.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[f.name for f in kind])
+
+    return rows.mapInArrow(run, kind)
 
 
 def with_classes(docs: DataFrame, keyed: DataFrame, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """keyed (materialized) with n_shingles and component instead of the columns of sets."""
-    narrow = materialize(shared_bands(keyed.select("doc", *[f.name for f in SetColumns.SPARK])))
-    doubled, of_sid = classes(docs, narrow, text_col, words, num, den)
-    rows = numbered(keyed, doubled).drop("low", "high", "tid", "bits", "sigs", "heads")
-    rows = join_hot(rows, of_sid, ["sid"], "docs", ["doc"], "left")
+    """keyed (materialized) with n_shingles and component instead of the columns of sets.
+
+    Rows are wide, and most are a component by themselves: those are not joined, so they are not shuffled.
+    """
+    narrow = materialize(shared_bands(keyed))
+    doubled, of_sid = set_classes(docs, narrow, text_col, words, num, den)
+    of_sid = materialize(of_sid.where("docs > 1 or not (least <=> first)").drop("first"))
+    discard(narrow)
+    rows = numbered(keyed, doubled).drop("low", "high", "tid", "bits")
+    if of_sid.count() <= FEW:
+        rows = join_hot(rows, of_sid, ["sid"], "docs", ["doc"], "left", few=FEW)
+    else:
+        rows = among(rows, of_sid.select(F.col("sid").alias("id")))
+        lone = rows.where("not asked").withColumns({"least": F.lit(None).cast(of_sid.schema["least"].dataType), "docs": F.lit(None).cast("long")})
+        rows = join_hot(rows.where("asked"), of_sid, ["sid"], "docs", ["doc"], "left", few=None).unionByName(lone).drop("asked")
     return rows.withColumnRenamed("n", "n_shingles").withColumn("component", F.coalesce("least", "doc")).drop("sid", "least", "docs")
 
 
@@ -237,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none below the bound links. Sets, empty texts, repeated rows, null ids and empty tables are as in
     jaccard.jaccard_join(), which finds the pairs without bands.
     """
-    return with_classes(docs, materialize(set_rows(docs, id_col, text_col, words, bands)), text_col, words, num, den)
+    return with_classes(docs, materialize(fingerprint_sets(docs, id_col, text_col, words)), text_col, words, num, den).drop("fingerprint")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -80,6 +80,31 @@ def test_bands_find_near_duplicates(spark):
     assert {r["doc"]: r["n_shingles"] for r in rows} == {i: len(s) for i, s in sets.items()}
 
 
+def test_bands_come_from_fingerprints_and_lone_rows_are_not_joined(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    own = [" ".join(rng.choice(WORDS, 60)) for _ in range(300)]
+    texts = [*own, *own[:12], *[" ".join([*t.split(), "end"]) for t in own[12:20]], "", None]
+    docs = documents(spark, texts)
+    made = minhash.fingerprint_edits(docs, words=3)
+    assert not {"sigs", "heads"} & set(made.columns)  # what is written and read again holds each band once, in the fingerprint
+    narrow = {r["doc"]: r for r in minhash.shared_bands(minhash.materialize(made.coalesce(1))).collect()}
+    sets = [np.unique(jaccard.Shingler(3)(t)) for t in texts]
+    bands = [set(minhash.bands(s).view(np.int64).tolist()) for s in sets]
+    met = Counter(b for i, found in enumerate(bands) for b in found if i < 300 or 312 <= i < 320)
+    for i, found in enumerate(bands):
+        sigs = narrow[i]["sigs"]
+        assert sigs is None if not found else sigs is None or {b for b in found if met[b] > 1} <= set(sigs) <= found
+    assert sum(len(r["sigs"] or ()) for r in narrow.values()) < 0.2 * 32 * len(texts)
+    joined, join = [], minhash.join_hot
+    monkeypatch.setattr(minhash, "join_hot", lambda rows, *a, **b: joined.append(rows.count()) or join(rows, *a, **b))
+    wanted = {(r["doc"], r["component"], r["n_shingles"]) for r in minhash.fingerprint_documents(docs, words=3).collect()}
+    monkeypatch.setattr(minhash, "FEW", -1, raising=False)
+    rows = minhash.fingerprint_documents(docs, words=3).collect()
+    assert {(r["doc"], r["component"], r["n_shingles"]) for r in rows} == wanted and len(rows) == len(texts)
+    assert {r["doc"]: r["component"] for r in rows} == {i: i - 300 if 300 <= i < 320 else i for i in range(len(texts))}
+    assert 32 <= joined[-1] < 40  # 24 rows with a copy and 8 that are linked to a smaller one
+
+
 def test_fingerprints_of_odd_rows(spark):
     docs = odd_rows(spark)
     rows = minhash.fingerprint_documents(docs).collect()
