@@ -33,17 +33,27 @@ def detection_sets(truth: DataFrame, detected: DataFrame, observed: DataFrame) -
 
 
 def extraction_confusion(matched: DataFrame, truth: DataFrame, mutated: DataFrame, invalid: DataFrame) -> DataFrame:
+    """read_confusion() of reads (barcode, status, cell) whose truth is known by barcode: mutated (mutated, original) and invalid (barcode).
+
+    A sequence that comes from several originals is right with any of them; its reads count once each.
+    """
+    pairs = mutated.select(F.col("mutated").alias("barcode"), F.col("original").alias("cell")).distinct()
+    marks = [(truth, "known", ["barcode"]), (invalid, "bad", ["barcode"]), (pairs, "mutation", ["barcode"]), (pairs, "right", ["barcode", "cell"])]
+    rows = matched
+    for df, name, on in marks:
+        rows = rows.join(df.select(*on).distinct().withColumn(name, F.lit(True)), on, "left")
+    return read_confusion(rows.fillna(False, [name for _, name, _ in marks]))
+
+
+def read_confusion(rows: DataFrame) -> DataFrame:
     """One row tp, fp, tn, fn, total_mutations, correct_corrections, correction_accuracy with rates.
 
-    matched: reads (barcode, status, cell). Exact barcodes are hits if true. Corrected ones: of a known
-    mutation, a hit if corrected to its original, else false; of an invalid barcode, false; else a hit.
-    Unmatched: invalid ones are true negatives, all others misses.
+    rows: reads (status, known, bad, mutation, right), a row each. Exact barcodes are hits if known. Corrected
+    ones: of a mutation, a hit if right (corrected to its original), else false; of an invalid (bad) barcode,
+    false; else a hit. Unmatched: invalid ones are true negatives, all others misses.
     """
-    m = mutated.select(F.col("mutated").alias("barcode"), "original")
-    rows = matched.join(m, "barcode", "left").join(invalid.select("barcode").distinct().withColumn("bad", F.lit(True)), "barcode", "left")
-    rows = rows.join(truth.select("barcode").distinct().withColumn("known", F.lit(True)), "barcode", "left").fillna(False, ["bad", "known"])
     exact, fixed, none = (F.col("status") == s for s in ("exact", "corrected", "no_match"))
-    mutation, bad, right = F.col("original").isNotNull(), F.col("bad"), F.coalesce(F.col("cell") == F.col("original"), F.lit(False))
+    mutation, bad, right = F.col("mutation"), F.col("bad"), F.col("right")
     kind = (
         F.when(exact & F.col("known"), "tp")
         .when(fixed & mutation & right, "tp")

@@ -113,3 +113,40 @@ def test_synthetic_sample_validates(spark):
     assert again.exceptAll(data["truth_counts"]).count() == 0
     report = {r["stage"]: r for r in pipelines.validate(data)["report"].collect()}
     assert report["extract"]["passed"] and report["count"]["passed"]
+
+
+def test_reads_of_a_mutation_with_two_originals_count_once(spark):
+    """AAAC comes from AAAA and from AACC; one read is corrected to one of them, another is not corrected."""
+    matched = spark.createDataFrame([("AAAC", "corrected", "AAAA"), ("AAAC", "no_match", None), ("AAAC", "corrected", "AAAG"), ("AAAA", "exact", "AAAA")], "barcode string, status string, cell string")
+    truth = spark.createDataFrame([("AAAA",), ("AACC",)], "barcode string")
+    mutated = spark.createDataFrame([("AAAC", "AAAA"), ("AAAC", "AACC")], "mutated string, original string")
+    row = validation.extraction_confusion(matched, truth, mutated, truth.limit(0)).first()
+    assert (row["tp"], row["fp"], row["tn"], row["fn"], row["total_mutations"], row["correct_corrections"]) == (2, 1, 0, 1, 3, 1)
+
+
+def test_extract_confusion_of_users_one_base_apart(spark, tmp_path):
+    """Two users whose barcodes are two bases apart, and reads that make the same sequence of both: the query equals its SQL."""
+    import hashlib
+
+    import __spark_entry__
+    import duckdb
+
+    number = {}
+    for user in range(200_000):
+        code = hashlib.md5(str(user).encode()).hexdigest()[:16].translate(str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT"))
+        for place in range(0, 16, 2):  # event 10 i changes places 1, 3, ...
+            changed = code[:place] + code[place].translate(str.maketrans("ACGT", "CGTA")) + code[place + 1 :]
+            other = number.setdefault(changed, (user, place))
+            if other[0] != user:
+                break
+        else:
+            continue
+        break
+    event = lambda p: next(i for i in range(10, 10_000, 10) if i % 16 == p and i % 50 != 7)
+    rows = [(event(place), user), (event(other[1]) + 80_000 * (event(other[1]) == event(place)), other[0]), (2, user), (3, other[0]), (21, user)]
+    spark.createDataFrame(rows, "event_id long, user_id long").selectExpr("*", "'view' AS event_type", "'{\"k\": 1}' AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = __spark_entry__.queries()["extract_confusion"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(__spark_entry__.oracle_sql()["extract_confusion"]).select(", ".join(got.columns)).fetchall()
+    assert list(map(tuple, got.collect())) == want and want[0][got.columns.index("total_mutations")] == 2
