@@ -1,14 +1,14 @@
 """Barcode correction against a whitelist, as equi-joins.
 
-Distances become joins on derived keys: one-mismatch neighbours for distance 1, equal segments
-(pigeonhole) for more, so no join compares all pairs. Distinct barcodes are corrected, once each.
+Distances become joins on derived keys: one-mismatch neighbours or one place blanked for distance 1,
+equal segments (pigeonhole) for more, so no join compares all pairs. Distinct barcodes are corrected, once each.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.sequences import hamming, neighbours, segments
-from helixframe.operators.graph import checkpointed
+from helixframe.functions.sequences import blanked, hamming, neighbours, segments
+from helixframe.operators.graph import checkpointed, forgotten
 
 
 def match_exact(barcodes: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -25,13 +25,54 @@ def mismatch_index(whitelist: DataFrame) -> DataFrame:
 
 
 def nearest(barcodes: DataFrame, whitelist: DataFrame, max_distance: int, by: tuple = ()) -> DataFrame:
-    """(*by, barcode, distance, n, original): the least distance up to max_distance to the whitelist (of each by) and how many have it."""
-    parts = max_distance + 1
-    cut = lambda df, c, name: df.select(*by, F.col(c).alias(name), F.length(c).alias("len"), F.explode(segments(c, parts)).alias("s")).select(*by, name, "len", "s.part", "s.text")
-    near = cut(barcodes, "barcode", "barcode").join(cut(whitelist.distinct(), "barcode", "original"), [*by, "len", "part", "text"]).select(*by, "barcode", "original").distinct()
-    near = near.withColumn("distance", hamming("barcode", "original")).where(F.col("distance") <= max_distance)
-    ranked = near.groupBy(*by, "barcode", "distance").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original"))
-    return ranked.groupBy(*by, "barcode").agg(F.min(F.struct("distance", "n", "original")).alias("best")).select(*by, "barcode", "best.*")
+    """(*by, barcode, distance, n, original): the least distance up to max_distance to the whitelist (of each by) and how many have it.
+
+    Distance by distance, nearest first; barcodes that have found entries do not go on.
+    """
+    wl = checkpointed(whitelist.select(*by, F.col("barcode").alias("original")).where("original is not null").distinct())
+    seen = barcodes.select(*by, "barcode").where("barcode is not null").distinct()
+    equal = wl.select(*by, F.col("original").alias("barcode"))
+    listed = seen.join(equal, [*by, "barcode"], "left_semi")
+    hits = listed.select(*by, "barcode", F.lit(0).alias("distance"), F.lit(1).cast("long").alias("n"), F.col("barcode").alias("original"))
+    has_n = wl.where(F.col("original").contains("N")).limit(1).count() > 0
+    off = F.lit(0) if has_n else F.length("barcode") - F.length(F.replace("barcode", F.lit("N"), F.lit("")))
+    left = checkpointed(seen.join(equal, [*by, "barcode"], "left_anti").withColumn("off", off))
+    for distance in range(1, max_distance + 1):
+        asked = left.where(F.col("off") <= distance)
+        if not asked.limit(1).count():
+            continue
+        near = one_off(asked, wl, by) if distance == 1 else at_distance(asked, wl, distance, by)
+        found = checkpointed(near.groupBy(*by, "barcode").agg(F.count(F.lit(1)).alias("n"), F.min("original").alias("original")))
+        hits = hits.unionByName(found.withColumn("distance", F.lit(distance)))
+        if distance < max_distance:
+            before, left = left, checkpointed(left.join(found.select(*by, "barcode"), [*by, "barcode"], "left_anti"))
+            forgotten(before)
+    return hits
+
+
+def one_off(barcodes: DataFrame, wl: DataFrame, by: tuple) -> DataFrame:
+    """(*by, barcode, original): barcodes (*by, barcode), none of them listed, and entries of wl (*by, original) that are equal but for one place."""
+    cut = lambda df, c: df.where(F.length(c) > 0).select(*by, c, F.explode(blanked(c, 1)).alias("b")).select(*by, c, "b.at", "b.text")
+    return cut(barcodes, "barcode").join(cut(wl, "original"), [*by, "at", "text"]).select(*by, "barcode", "original")
+
+
+def at_distance(barcodes: DataFrame, wl: DataFrame, distance: int, by: tuple) -> DataFrame:
+    """(*by, barcode, original): barcodes (*by, barcode, off) that have no nearer entry and entries of wl (*by, original) at the distance.
+
+    off places are off for sure, as the barcode has an N there and no entry has. Where more than distance - off
+    parts of a barcode have no such place, one of those is equal in both (pigeonhole). A barcode is cut in as
+    few parts as do that, so that few entries share one of them.
+    """
+    cut = lambda c, parts: F.transform(segments(c, parts), lambda s: F.struct(F.lit(parts).alias("parts"), s["part"].alias("part"), s["text"].alias("text")))
+    chosen = F.lit(None)
+    for parts in range(distance + 1, 0, -1):
+        free = F.filter(cut("barcode", parts), lambda s: (F.col("off") == 0) | ~s["text"].contains("N"))
+        chosen = F.when(F.size(free) > F.lit(distance) - F.col("off"), free).otherwise(chosen)
+    asked = barcodes.select(*by, "barcode", F.length("barcode").alias("len"), F.explode(chosen).alias("s")).select(*by, "barcode", "len", "s.*")
+    every = F.flatten(F.array(*[cut("original", parts) for parts in range(1, distance + 2)]))
+    given = wl.select(*by, "original", F.length("original").alias("len"), F.explode(every).alias("s")).select(*by, "original", "len", "s.*")
+    near = asked.join(given, [*by, "len", "parts", "part", "text"]).select(*by, "barcode", "original")
+    return near.where(hamming("barcode", "original") == distance).distinct()
 
 
 def lookup(whitelist: DataFrame, by: tuple = ()) -> DataFrame:

@@ -86,3 +86,31 @@ def test_pairs_of_unequal_files_fail(spark):
 def test_shards_are_the_input_once(spark):
     rows = spark.range(10).select(F.col("id").alias("rec_no"))
     assert sorted(r[0] for i in range(3) for r in reads.shard(rows, 3, i).collect()) == list(range(10))
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTN", "ab"])
+def test_nearest_equals_all_pairs(spark, letters):
+    """Barcodes at all distances, with N for sure off and N in the whitelist, letters of no index, ties, other lengths."""
+    import random
+
+    rng = random.Random(len(letters))
+    word = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    wl = sorted({word(8, letters) for _ in range(40)} | {"ACGT", ""})
+    seen = sorted({word(8, "ACGTN") for _ in range(60)} | {"NNNN" + w[4:] for w in wl[:20]} | {"N" + w[1:7] + "x" for w in wl[:20]} | set(wl[:5]) | {"ACGG", "A", "", "xCGT"})
+    want = []
+    for b in seen:
+        dist = sorted((sum(x != y for x, y in zip(b, w, strict=True)), w) for w in wl if len(w) == len(b))
+        if dist and dist[0][0] <= 6:
+            want.append((b, dist[0][0], sum(x == dist[0][0] for x, _ in dist), dist[0][1]))
+    df = lambda rows: spark.createDataFrame([(r,) for r in rows], "barcode string")
+    got = barcodes.nearest(df(seen), df(wl), 6).select("barcode", "distance", "n", "original").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+def test_barcodes_that_are_near_meet_few_entries(spark, monkeypatch):
+    """Barcodes with five N do not meet all the entries that share two bases with them."""
+    wl = spark.range(3000).select(F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT").alias("barcode"))
+    some = wl.limit(300)
+    off = some.select(F.concat(F.lit("NNNNN"), F.substring("barcode", 6, 11)).alias("barcode"), F.lit(5).alias("off"))
+    monkeypatch.setattr(barcodes, "hamming", lambda a, b: F.lit(5))  # all that meet
+    assert barcodes.at_distance(off, wl.withColumnRenamed("barcode", "original"), 5, ()).count() < 330
