@@ -98,3 +98,21 @@ def test_table_functions(spark):
     spark.createDataFrame([("c", "g", "u1"), ("c", "g", "u1"), ("c", "g", "u2"), (None, "g", None)], "cell string, gene string, umi string").createOrReplaceTempView("odd_found")
     got = spark.sql("SELECT * FROM umi_counts(TABLE(odd_found) PARTITION BY (cell, gene) ORDER BY umi)").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(["('c', 'g', 3, 2)", "(None, 'g', 1, 1)"])
+
+
+def test_chunks_run_in_tasks(spark):
+    """300 chunks are one job over tasks, not a job each; each has its records in order, the last one what is left."""
+    import pyarrow as pa
+    from helixframe.streaming import jobs
+    from pyspark.sql import functions as F
+
+    reads = spark.range(2995).select((2994 - F.col("id")).alias("rec_no"), F.when(F.col("id") % 3 > 0, F.repeat(F.lit("A"), (F.col("id") % 5).cast("int"))).alias("seq"))
+    first = lambda number, t: pa.table({"chunk": [number], "first": [t["rec_no"][0].as_py()], "last": [t["rec_no"][-1].as_py()]})
+    got = sorted(map(tuple, jobs.map_chunks(reads, first, "chunk long, first long, last long", 10).collect()))
+    assert got == [(i, 10 * i, min(10 * i + 9, 2994)) for i in range(300)]
+    spark.sparkContext.setJobGroup("chunks", "chunks")
+    sums = sorted(map(tuple, jobs.record_chunks(reads, 10).collect()))
+    ran = spark.sparkContext.statusTracker().getJobIdsForGroup("chunks")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = reads.groupBy(F.floor(F.col("rec_no") / 10).alias("chunk")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("b"))
+    assert sums == sorted(map(tuple, want.collect())) and len(sums) == 300 and 0 < len(ran) < 10
